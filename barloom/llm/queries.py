@@ -8,21 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, substrings, tokencount, toxicity
+from . import ann, boilerplate, bpe, mixing, neardup, pivots, substrings, tokencount, toxicity, urlfilter
 from .common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Rules of the URL filter by (host and path, verdict).
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+#: Listed sites: the front page of each stands for all of it and its subdomains.
+LISTED = [f"http://{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES, spark.createDataFrame([(u,) for u in LISTED], "url string"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER_FILE, keep=["doc_id"])
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top(table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -51,6 +73,42 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP2_SQL = rf"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') AS host,
+         coalesce(regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path
+  FROM rest),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM split),
+listed AS (SELECT unnest({[u.removeprefix("http://").rstrip("/") for u in LISTED]}) AS site)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN EXISTS (SELECT 1 FROM listed WHERE host = site OR ends_with(host, '.' || site)) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+OP4_SQL = r"""
+WITH main AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '') AS a FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(?:b|i|a|em|strong|span)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM main),
+decoded AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM plain),
+done AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM done
+"""
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+pair AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pair)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP3_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, len({WORDS}) AS size, coalesce(text, '') AS t,
@@ -107,5 +165,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op3_source_mixing": OP3_SQL, "op8_substring_dedup": OP8_SQL}
+    found = {"op2_url_filter": OP2_SQL, "op4_main_text": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op3_source_mixing": OP3_SQL, "op8_substring_dedup": OP8_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
