@@ -38,10 +38,10 @@ from pyspark.sql import types as T
 from . import common
 
 #: Neighbours listed, listing nodes sampled, rounds at most, share of changed entries that ends them.
-NEIGHBOURS, LISTED_BY, ROUNDS, SETTLED = 20, 20, 8, 0.01
+NEIGHBOURS, LISTED_BY, ROUNDS, SETTLED = 28, 24, 8, 0.01
 TREES, BUCKET = 5, 120
 #: Nodes kept in a beam, expanded in a round, rounds of search, rescored exactly.
-BEAM, EXPAND, SEARCH_ROUNDS, RESCORED = 72, 18, 6, 48
+BEAM, EXPAND, SEARCH_ROUNDS, RESCORED = 96, 20, 7, 60
 MEMBERS = 24
 MESSAGE = T.StructType([T.StructField("dest", T.LongType()), T.StructField("node", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("fresh", T.BooleanType()), T.StructField("least", T.FloatType())])
 FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType())])
@@ -104,7 +104,7 @@ def coded(nodes: DataFrame, dims: int, norm: float) -> DataFrame:
             codes = np.rint(x / scale[:, None]).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], names=schema.names)
 
-    return nodes.select("node", "vec").mapInArrow(run, schema)
+    return nodes.select("node", "vec").mapInArrow(common.tidy(run), schema)
 
 
 def to_buckets(codes: DataFrame, dims: int, bits: int, seed: int = 5) -> DataFrame:
@@ -122,7 +122,7 @@ def to_buckets(codes: DataFrame, dims: int, bits: int, seed: int = 5) -> DataFra
             rep = lambda x: [v for v in x for _ in range(TREES)]
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rep(node), pa.int64()), pa.array(rep(code), pa.binary()), pa.array(rep(scale), pa.float32()), pa.array([True] * n), pa.array([-math.inf] * n, pa.float32())], names=MESSAGE.names)
 
-    return codes.mapInArrow(run, MESSAGE)
+    return codes.mapInArrow(common.tidy(run), MESSAGE)
 
 
 def meet(messages: DataFrame, parts: int, most: int) -> DataFrame:
@@ -163,7 +163,7 @@ def meet(messages: DataFrame, parts: int, most: int) -> DataFrame:
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=FOUND.names)
 
-    return messages.repartition(parts, "dest").mapInArrow(run, FOUND)
+    return messages.repartition(parts, "dest").mapInArrow(common.tidy(run), FOUND)
 
 
 def learn(state: DataFrame, found: DataFrame, parts: int) -> DataFrame:
@@ -188,7 +188,7 @@ def learn(state: DataFrame, found: DataFrame, parts: int) -> DataFrame:
         for k in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows[k : k + 10_000]), (pa.int64(), pa.binary(), pa.float32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], names=STATE.names)
 
-    return both.repartition(parts, "node").mapInArrow(run, STATE)
+    return both.repartition(parts, "node").mapInArrow(common.tidy(run), STATE)
 
 
 def spread(state: DataFrame, parts: int, round_: int) -> DataFrame:
@@ -236,7 +236,7 @@ def spread(state: DataFrame, parts: int, round_: int) -> DataFrame:
     def pack(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.float32(), pa.bool_(), pa.float32()))], names=MESSAGE.names)
 
-    return state.select(*STATE.names[:6]).mapInArrow(reverse, rows).repartition(parts, "node").mapInArrow(run, MESSAGE)
+    return state.select(*STATE.names[:6]).mapInArrow(common.tidy(reverse), rows).repartition(parts, "node").mapInArrow(common.tidy(run), MESSAGE)
 
 
 def graph(codes: DataFrame, n: int, dims: int) -> DataFrame:
@@ -281,7 +281,7 @@ def neighbourhoods(state: DataFrame, parts: int) -> DataFrame:
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=schema.names)
 
-    return spread(state, parts, ROUNDS).repartition(parts * 2, "dest").mapInArrow(run, schema)
+    return spread(state, parts, ROUNDS).repartition(parts * 2, "dest").mapInArrow(common.tidy(run), schema)
 
 
 BEAMS = T.StructType([T.StructField("node", T.LongType()), T.StructField("query", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType()), T.StructField("done", T.BinaryType()), T.StructField("open", T.IntegerType())])
@@ -303,7 +303,7 @@ def expansions(beams: DataFrame) -> DataFrame:
                 query += [got["query"][k]] * len(some)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(node, pa.int64()), pa.array(query, pa.binary())], names=schema.names)
 
-    return beams.mapInArrow(run, schema)
+    return beams.mapInArrow(common.tidy(run), schema)
 
 
 def scored(met: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def scored(met: DataFrame) -> DataFrame:
                 scores.append(((x.astype(np.float32) @ q) * s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.binary())], names=FOUND.names)
 
-    return met.select("node", "ids", "query", "codes", "scales").mapInArrow(run, FOUND)
+    return met.select("node", "ids", "query", "codes", "scales").mapInArrow(common.tidy(run), FOUND)
 
 
 def merged(beams: DataFrame, found: DataFrame, parts: int) -> DataFrame:
@@ -351,7 +351,7 @@ def merged(beams: DataFrame, found: DataFrame, parts: int) -> DataFrame:
         rows = [(int(node[k]), got["query"][k], ids[a:b].tobytes(), scores[a:b].tobytes(), done[a:b].tobytes(), int((done[a:b] == 0).sum())) for k, a, b in zip(home, first.tolist(), last.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4, pa.int32()))], names=BEAMS.names)
 
-    return both.repartition(parts, "node").mapInArrow(run, BEAMS)
+    return both.repartition(parts, "node").mapInArrow(common.tidy(run), BEAMS)
 
 
 def search(nodes: DataFrame, queries: DataFrame, near: DataFrame, n_queries: int) -> DataFrame:
@@ -366,7 +366,7 @@ def search(nodes: DataFrame, queries: DataFrame, near: DataFrame, n_queries: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([np.int64(k).tobytes() for k in got["node"]], pa.binary()), pa.array([np.float32(v @ v).tobytes() for v in x], pa.binary()), pa.array([b"\0"] * len(x), pa.binary()), pa.array([1] * len(x), pa.int32())], names=BEAMS.names)
 
     asked = nodes.join(common.small(queries, n_queries, 16), "node", "left_semi").select("node", "vec")
-    beams = common.work_table(asked.mapInArrow(begin, BEAMS), "ann-beams")
+    beams = common.work_table(asked.mapInArrow(common.tidy(begin), BEAMS), "ann-beams")
     for _ in range(SEARCH_ROUNDS):
         step = common.work_table(expansions(beams), "ann-expansions")
         met = near.join(common.small(step, step.count(), 512), "at")
@@ -384,7 +384,7 @@ def search(nodes: DataFrame, queries: DataFrame, near: DataFrame, n_queries: int
             ids = [np.frombuffer(i, np.int64)[:RESCORED] for i in got["ids"]]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(got["node"], np.int64), [len(i) for i in ids])), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]))], names=schema.names)
 
-    return beams.select("node", "ids").mapInArrow(end, schema)
+    return beams.select("node", "ids").mapInArrow(common.tidy(end), schema)
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
