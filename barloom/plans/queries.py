@@ -349,7 +349,8 @@ def stream_bars5(spark, sf_dir):
 def stream_bars44(spark, sf_dir):
     from ..streaming.bars import replayed_frames44
 
-    return replayed_frames44(load(spark, sf_dir), phase_symbols(spark), HOUR, MINUTE)
+    frames = replayed_frames44(load(spark, sf_dir), phase_symbols(spark), HOUR, MINUTE)
+    return frames.select("phase", "symbol", "anchor_ns", *(rnd(c) if c in ROUNDED else F.col(c) for c in FEATURES_44))
 
 
 @query

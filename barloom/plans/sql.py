@@ -200,6 +200,7 @@ e AS (SELECT symbol, sip_ns, 0 AS k, bid_px, ask_px, NULL::DOUBLE AS price, NULL
 j AS (SELECT o.*, e.* EXCLUDE symbol FROM o LEFT JOIN e ON o.symbol = e.symbol AND e.sip_ns BETWEEN placed_ns AND ended_ns)
 SELECT order_id, symbol, limit_px, max(bid_px) AS max_bid, min(bid_px) AS min_bid, max(ask_px) AS max_ask, min(ask_px) AS min_ask, max((bid_px + ask_px) / 2) AS max_mid, min((bid_px + ask_px) / 2) AS min_mid, {rnd('(min(sip_ns) FILTER (WHERE bid_px > limit_px) - min(placed_ns)) / 1e9')} AS first_jump_s, count(*) FILTER (WHERE price <= limit_px) AS trades_at_limit, count(DISTINCT CASE WHEN price <= limit_px THEN (sip_ns, price, size) END) AS distinct_trades_at_limit FROM j GROUP BY order_id, symbol, limit_px""",
     "json_decode": f"{BASE} SELECT symbol, sip_ns // 1000000 * 1000000 AS sip_ns, tick_type, bid_px, ask_px, price, size FROM ticks",
+    "stream_bars44": f"{BASE} SELECT * FROM frames",
     "stream_bars5": f"{BASE} SELECT * FROM b5",
     "parquet_roundtrip": f"{BASE} SELECT symbol, sip_ns, part_ns, tick_type, bid_px, ask_px, bid_sz, ask_sz, CASE WHEN tick_type = 0 THEN CASE WHEN bid_px > 0 AND ask_px > 0 THEN (bid_px + ask_px) / 2 WHEN ask_px > 0 THEN ask_px END ELSE price END AS price, size, is_dark FROM ticks",
     "lineitem_volume": "SELECT 'P' || l_suppkey::VARCHAR AS symbol, date_trunc('day', l_shipdate::TIMESTAMP)::DATE AS day, sum(l_quantity)::DOUBLE AS volume, count(*) AS trades FROM lineitem GROUP BY ALL",
