@@ -12,6 +12,11 @@ def _col(x: Column | int) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("long")
 
 
+def micros(ts: Column) -> Column:
+    """Whole microseconds of nanoseconds. The division is exact: the remainder goes first."""
+    return ((ts - F.pmod(ts, _col(1000))) / 1000).cast("long")
+
+
 def anchor(ts: Column, cadence: int, offset: Column | int = 0) -> Column:
     """The end of the bar that holds ts: the first lattice point after it."""
     return ts - F.pmod(ts - _col(offset), _col(cadence)) + _col(cadence)
@@ -46,7 +51,7 @@ def half_even_ticks(px: Column, per_unit: float = 10000.0) -> Column:
 
 def trading_open(ts: Column, tz: str = "America/New_York", open_: str = "09:30:00", seconds: int = 23400) -> Column:
     """Nanoseconds of a session's opening: that of the local day if ts is no later than its close, else ts cut to the second; 0 for small test times."""
-    local = F.from_utc_timestamp(F.timestamp_micros((ts / 1000).cast("long")), tz)
+    local = F.from_utc_timestamp(F.timestamp_micros(micros(ts)), tz)
     opened = F.unix_micros(F.to_utc_timestamp(F.to_timestamp(F.concat(F.date_format(local, "yyyy-MM-dd"), F.lit(" " + open_))), tz)) * 1000
     cut = ts - F.pmod(ts, F.lit(1_000_000_000).cast("long"))
     return F.when(ts < 10**18, F.lit(0).cast("long")).when(ts <= opened + F.lit(seconds).cast("long") * 1_000_000_000, opened).otherwise(cut)
@@ -65,7 +70,7 @@ def clock_seconds(text: str) -> int:
 
 def in_session(ts: Column, start: str = "09:30:00", end: str = "16:00:00", tz: str = "America/New_York") -> Column:
     """Monday to Friday between two local times of day, both included."""
-    local = F.from_utc_timestamp(F.timestamp_micros((ts / 1000).cast("long")), tz)
+    local = F.from_utc_timestamp(F.timestamp_micros(micros(ts)), tz)
     second = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
     whole = F.pmod(ts, F.lit(1_000_000_000).cast("long")) == 0
     last = clock_seconds(end)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, Phase, from_dict
+from ..functions.lattice import micros
 from ..schema import FEATURES_5
 
 SIDECAR = "_barloom_config.json"
@@ -31,7 +32,11 @@ def read_config(spark: SparkSession, path: str, sample: int = 4096) -> Config:
     """The configuration beside the data; else symbols and number of features as a sample of rows shows them."""
     p, fs = _fs(spark, f"{path.rstrip('/')}/{SIDECAR}")
     if fs.exists(p):
-        return from_dict(json.loads("".join(r[0] for r in spark.read.text(str(p)).collect())))
+        stream = fs.open(p)
+        try:
+            return from_dict(json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
     rows = playback(spark, path).limit(sample)
     found = rows.groupBy("symbol").agg(F.min("ts_ns").alias("t"), F.max(F.size("features")).alias("n")).orderBy("t", "symbol").collect()
     n = max((r["n"] for r in found if r["n"]), default=0)
@@ -52,7 +57,7 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 def record(rows: DataFrame, path: str, config: Config | None = None) -> None:
     """Recorded rows by UTC date, appended: a restart loses nothing."""
-    dated = rows.withColumn("date", F.to_date(F.timestamp_micros((F.col("ts_ns") / 1000).cast("long"))))
+    dated = rows.withColumn("date", F.to_date(F.timestamp_micros(micros(F.col("ts_ns")))))
     dated.repartition("date").write.mode("append").partitionBy("date").option("compression", "snappy").parquet(path)
     if config:
         write_config(rows.sparkSession, path, config)
@@ -75,7 +80,7 @@ def export_features(frames: DataFrame, path: str, features: list[str], max_frame
 def spool(messages: DataFrame, path: str, column: str = "value", at: str = "received_ns") -> None:
     """Raw messages as text by UTC date, line ends trimmed, blank ones left out; none is dropped."""
     text = F.regexp_replace(F.col(column), r"[\r\n]+$", "")
-    rows = messages.select(F.to_date(F.timestamp_micros((F.col(at) / 1000).cast("long"))).alias("date"), text.alias("value")).where(F.trim("value") != "")
+    rows = messages.select(F.to_date(F.timestamp_micros(micros(F.col(at)))).alias("date"), text.alias("value")).where(F.trim("value") != "")
     rows.write.mode("append").partitionBy("date").option("compression", "gzip").text(path)
 
 

@@ -83,11 +83,12 @@ def flexible_number(text: Column) -> Column:
     return F.when(text.isNull() | (t == "") | (F.lower(t) == "null"), F.lit(0.0)).otherwise(t.cast("double"))
 
 
-def decode_events(messages: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Ticks of JSON messages, each an array of events or one event. Status events, and trades without price, size or time, give none; a message that starts otherwise is an error."""
+def decode_events(messages: DataFrame, column: str = "value", keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """Ticks of JSON messages, numbered by the order column (a stream needs one for ticks of equal times). Each is an array of events or one event. Status events, and trades without price, size or time, give none; a message that starts otherwise is an error."""
     v = F.trim(F.col(column))
     array = F.when(F.startswith(v, F.lit("[")), v).when(F.startswith(v, F.lit("{")), F.concat(F.lit("["), v, F.lit("]"))).otherwise(F.raise_error(F.concat(F.lit("not a JSON event: "), F.substring(v, 1, 40))))
-    events = messages.select(*keep, F.monotonically_increasing_id().alias("_m"), F.posexplode(F.from_json(array, T.ArrayType(EVENT))).alias("_p", "e")).select(*keep, "_m", "_p", "e.*")
+    _m = F.col(order).cast("long") if order else F.lit(0).cast("long") if messages.isStreaming else F.monotonically_increasing_id()
+    events = messages.select(*keep, _m.alias("_m"), F.posexplode(F.from_json(array, T.ArrayType(EVENT))).alias("_p", "e")).select(*keep, "_m", "_p", "e.*")
     ns = lambda c: F.col(c) * F.lit(1_000_000).cast("long")
     size = F.when(flexible_number(F.col("ds")) > 0, flexible_number(F.col("ds"))).otherwise(F.col("s"))
     rows = events.where(F.col("ev").isin("Q", "T")).withColumn("_size", F.when(F.col("ev") == "T", size))
@@ -97,7 +98,7 @@ def decode_events(messages: DataFrame, column: str = "value", keep: tuple[str, .
     t = lambda c: F.when(~quote, F.col(c))
     out = rows.select(
         *keep, F.col("sym").alias("symbol"), ns("t").alias("sip_ns"), F.when(F.col("pt") > 0, ns("pt")).otherwise(ns("t")).alias("part_ns"), F.when(quote, QUOTE).otherwise(TRADE).alias("tick_type"),
-        (F.col("_m") * 4096 + F.col("_p")).alias("seq"), q("bp").alias("bid_px"), q("ap").alias("ask_px"), q("bs").alias("bid_sz"), q("as").alias("ask_sz"), q("bx").alias("bid_exch"), q("ax").alias("ask_exch"),
+        (F.col("_m") * (1 if order else 1024) + F.col("_p")).alias("seq"), q("bp").alias("bid_px"), q("ap").alias("ask_px"), q("bs").alias("bid_sz"), q("as").alias("ask_sz"), q("bx").alias("bid_exch"), q("ax").alias("ask_exch"),
         t("p").alias("price"), F.col("_size").alias("size"), t("x").alias("trade_exch"), t("trfi").alias("_trfi"),
     )
     out = out.withColumn("is_dark", F.when(F.col("tick_type") == TRADE, F.coalesce(F.col("_trfi") > 0, F.lit(False))))
