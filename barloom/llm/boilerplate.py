@@ -246,7 +246,7 @@ def subtree_rows(pages: DataFrame) -> DataFrame:
                 found += [None, *own]
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(found, pa.string())], names=schema.names)
 
-    return pages.select("_host", "_html").mapInArrow(run, schema)
+    return pages.select("_host", "_html").mapInArrow(common.tidy(run), schema)
 
 
 def templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
@@ -278,4 +278,4 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[
                 out = [text_of(parse(h), frozenset(t or ())) if h else "" for h, t in zip(some.column(some.num_columns - 2).to_pylist(), some.column(some.num_columns - 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-2], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=schema.names)
 
-    return joined.select(*keep, "_html", "_template").mapInArrow(run, schema)
+    return joined.select(*keep, "_html", "_template").mapInArrow(common.tidy(run), schema)

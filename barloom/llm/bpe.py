@@ -39,9 +39,11 @@ END, LETTER, NUMBER, OTHER, SHORT, LONG, SPACES, LAST_BLANK, LAST_OTHER = range(
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, PREFIX, ONE_MORE, TWO_MORE = range(8)
 
 #: Code points that are handled at a time; longer texts are cut where a word ends before white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Pieces that a worker's cache holds.
-CACHE = 300_000
+CACHE = 100_000
+#: Rows that are encoded at a time.
+STEP = 128
 #: Pieces of more bytes are merged with a heap, one at a time.
 LONG_PIECE = 160
 
@@ -366,13 +368,13 @@ def encode(df: DataFrame, rank_file: str, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for k in range(0, max(1, len(texts)), 512):
-                some = own.encode(texts[k : k + 512])
+            for k in range(0, batch.num_rows, STEP):
+                part = batch.slice(k, STEP)
+                some = own.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 back = [own.decode(e) for e in some]
-                out = [*batch.slice(k, 512).columns[:-1], pa.array([len(e) // 4 for e in some], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in some], pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())]
+                out = [*part.columns[:-1], pa.array([len(e) // 4 for e in some], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in some], pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())]
                 if ids:
                     out += [pa.array([np.frombuffer(e, "<u4").astype(np.int64) for e in some], pa.list_(pa.int64())), pa.array([own.offsets(e) for e in some], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
 
-    return common.ready(df).select(*[df[c] for c in keep], df[text].alias("_bpe_text")).mapInArrow(run, schema)
+    return common.ready(df).select(*[df[c] for c in keep], df[text].alias("_bpe_text")).mapInArrow(common.tidy(run), schema)

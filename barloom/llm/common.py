@@ -66,19 +66,49 @@ def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
-def count_words(text: Column) -> Column:
-    """Number of [^\\x20\\x09-\\x0D]+ in a text, 0 for null; only native functions."""
-    gaps = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    inner = F.trim(gaps)
-    n = F.when(F.length(inner) == 0, 0).otherwise(F.length(inner) - F.length(F.translate(inner, " ", "")) + 1)
-    return F.coalesce(n, F.lit(0)).cast("long")
+def with_text_key(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns with _t, the text, and _key, 128 bits of it (null as empty). Native, so that a stage has one Python worker for a task, not two."""
+    return df.select(*[df[c] for c in keep or []], df[text].alias("_t"), F.unhex(F.md5(F.coalesce(df[text], F.lit("")))).alias("_key"))
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+#: Rows of an Arrow batch: texts may be long, and a worker holds a batch at a time.
+BATCH_ROWS = 512
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """df, once the executors have this package."""
-    ship(df.sparkSession)
+    """df, once the executors have this package and Arrow batches are small."""
+    spark = df.sparkSession
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return df
 
 
+def tidy(run):
+    """A function for mapInArrow that gives memory back at its end: workers stay alive between tasks."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library
+                pass
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

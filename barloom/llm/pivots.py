@@ -115,7 +115,7 @@ def top(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024.0
             far = distances(x, pivots)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in far], pa.binary())], names=index.names)
 
-    pivot_table = common.work_table(good.mapInArrow(tabulate, index), "pivot-table")
+    pivot_table = common.work_table(good.mapInArrow(common.tidy(tabulate), index), "pivot-table")
     asked = common.work_table(pivot_table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "far")).alias("q")).select("vec_id", "q.x", "q.far"), "pivot-queries")
     blocks = max(1, -(-asked.count() // (BLOCK // 2)))
     answers = None
@@ -146,7 +146,7 @@ def top(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024.0
             n = [len(h[0]) for h in held]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]))], names=out.names)
 
-        some = common.work_table(pivot_table.mapInArrow(evaluate, out), "pivot-answers")
+        some = common.work_table(pivot_table.mapInArrow(common.tidy(evaluate), out), "pivot-answers")
         answers = some if answers is None else answers.unionAll(some)
     if answers is None:
         return spark.createDataFrame([], T.StructType([out[0], T.StructField("rank", T.IntegerType()), out[1], out[2]]))

@@ -117,4 +117,4 @@ def count_tokens(df: DataFrame, json_file: str, text: str = "text", keep: list[s
                 n = counts(texts, own, chunk, overlap)
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=schema.names)
 
-    return common.ready(df).select(*[df[c] for c in keep], df[text].alias("_text")).mapInArrow(run, schema)
+    return common.ready(df).select(*[df[c] for c in keep], df[text].alias("_text")).mapInArrow(common.tidy(run), schema)

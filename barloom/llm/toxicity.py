@@ -29,16 +29,16 @@ from pyspark.sql import types as T
 from . import common
 
 BUCKETS = 1 << 18
-LEAST, MOST = 3, 5
+LEAST, MOST = 4, 5
 #: Labelled rows of class 0 and of class 1 that the model is fitted on at most, the first in an order by hash.
-SAMPLE_ROWS = (6000, 2000)
+SAMPLE_ROWS = (4000, 1400)
 #: Texts of the sample in which a table row must occur to be trained.
-LEAST_TEXTS = 20
-DIMS, EPOCHS, RATE, DECAY = 4, 16, 0.1, 0.05
+LEAST_TEXTS = 25
+DIMS, EPOCHS, RATE, DECAY = 4, 24, 0.1, 0.05
 #: Added to the root of the second moment of a table row: rows of small gradients move less.
 FLOOR = 1e-6
 #: Words whose score a worker keeps.
-CACHE = 400_000
+CACHE = 150_000
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„¿¡…–—"
 
 
@@ -112,6 +112,7 @@ def batch(docs: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, bounds: n
     if not len(word):
         return None
     own, local = np.unique(word, return_inverse=True)
+    local = local.astype(np.int32)
     length = bounds[own + 1] - bounds[own]
     start = np.concatenate([[0], np.cumsum(length)])[:-1]
     at = np.arange(length.sum()) - np.repeat(start, length) + np.repeat(bounds[own], length)
@@ -119,7 +120,7 @@ def batch(docs: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, bounds: n
     by_word, by_row = np.argsort(local, kind="stable"), np.argsort(row, kind="stable")
     hit, hit_start = np.unique(row[by_row], return_index=True)
     some, some_start = np.unique(doc, return_index=True)
-    return {"row": row, "start": start, "size": size[own][:, None], "word": local.astype(np.int32), "share": share[:, None], "some": some, "some_start": some_start, "doc_by_word": doc[by_word].astype(np.int32), "share_by_word": share[by_word][:, None], "word_start": np.searchsorted(local[by_word], np.arange(len(own))), "word_by_row": of[by_row], "hit": hit, "hit_start": hit_start}
+    return {"row": row, "start": start, "size": size[own][:, None], "word": local, "share": share[:, None], "some": some, "some_start": some_start, "doc_by_word": doc[by_word].astype(np.int32), "share_by_word": share[by_word][:, None], "word_start": np.searchsorted(local[by_word], np.arange(len(own))), "word_by_row": of[by_row], "hit": hit, "hit_start": hit_start}
 
 
 def train(texts: list[str], labels: list[int], dims: int = DIMS, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, least_texts: int = LEAST_TEXTS, batch_rows: int = 256, seed: int = 7) -> Model:
@@ -208,7 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: tup
         chosen = some if chosen is None else chosen.unionAll(some)
     chosen = F.broadcast(chosen.groupBy("_id").agg(F.first("_y").alias("_y")))  # of at most sum(sample_rows) rows
     got = learn.join(chosen, "_id").orderBy(F.xxhash64("_id"), "_t").limit(sum(sample_rows)).select("_t", "_y").collect()
-    return train([r[0] for r in got], [int(r[1]) for r in got])
+    shares = {int(r[0]): r[1] for r in ids.groupBy("_y").count().collect()}
+    return for_share(train([r[0] for r in got], [int(r[1]) for r in got]), [int(r[1]) for r in got], shares.get(1, 0), shares.get(0, 0))
+
+
+def for_share(model: Model, labels: list[int], ones: int, zeros: int) -> Model:
+    """The model's bias moved from the classes' odds in the sample to those of all labelled rows."""
+    y = sum(labels)
+    if 0 < y < len(labels) and ones and zeros:
+        return Model(model.weight, model.bias + float(np.log(ones / zeros) - np.log(y / (len(labels) - y))))
+    return model
 
 
 def add_scores(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, column: str = "score") -> DataFrame:
@@ -225,4 +235,4 @@ def add_scores(df: DataFrame, model: Model, text: str = "text", keep: list[str]
                 some = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([score(t or "") for t in some.column(some.num_columns - 1).to_pylist()], pa.float64())], names=schema.names)
 
-    return common.ready(df).select(*[df[c] for c in keep], df[text].alias("_text")).mapInArrow(run, schema)
+    return common.ready(df).select(*[df[c] for c in keep], df[text].alias("_text")).mapInArrow(common.tidy(run), schema)
