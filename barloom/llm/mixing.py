@@ -42,13 +42,13 @@ def quality(text: Column, size: Column) -> Column:
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """docs with _size, _key and _bucket."""
+    """docs with size, key and bucket, under names that start with __mix_ as all that this module adds."""
     t = F.coalesce(F.col(text), F.lit(""))
     draw = F.md5(F.concat_ws("|", F.lit(seed), F.col(doc_id).cast("string"), F.md5(t)))
     uniform = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    out = docs.withColumn("_size", size_of(F.col(text)))
-    out = out.withColumn("_key", -F.log(uniform) / quality(F.col(text), F.col("_size")))
-    return out.withColumn("_bucket", F.floor(F.col("_key") / (1.0 + F.col("_key")) * BUCKETS).cast("int"))
+    out = docs.withColumn("__mix_size", size_of(F.col(text)))
+    out = out.withColumn("__mix_key", -F.log(uniform) / quality(F.col(text), F.col("__mix_size")))
+    return out.withColumn("__mix_bucket", F.floor(F.col("__mix_key") / (1.0 + F.col("__mix_key")) * BUCKETS).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
@@ -56,67 +56,67 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     order = Window.orderBy(F.col("source").isNull(), "source")
     place = (F.row_number().over(order) - 1) % len(weights)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place + 1)
-    s = sizes.withColumn("_w", weight).withColumn("_cap", F.col("_s") * F.lit(float(limit)))
-    s = s.withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    by = Window.orderBy("_ratio", F.col("source").isNull(), "source")
+    s = sizes.withColumn("__mix_w", weight).withColumn("__mix_cap", F.col("__mix_s") * F.lit(float(limit)))
+    s = s.withColumn("__mix_ratio", F.col("__mix_cap") / F.col("__mix_w"))
+    by = Window.orderBy("__mix_ratio", F.col("source").isNull(), "source")
     all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_before", F.coalesce(F.sum("_cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("_left", F.sum("_w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("_total", F.sum("_s").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(float(share)))
-    s = s.withColumn("_over", F.col("_total") - F.col("_before"))
+    s = s.withColumn("__mix_before", F.coalesce(F.sum("__mix_cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    s = s.withColumn("__mix_left", F.sum("__mix_w").over(by.rowsBetween(0, Window.unboundedFollowing)))
+    s = s.withColumn("__mix_total", F.sum("__mix_s").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(float(share)))
+    s = s.withColumn("__mix_over", F.col("__mix_total") - F.col("__mix_before"))
     # the first source in this order that the level leaves under its limit sets the level
-    free = F.col("_cap") * F.col("_left") > F.col("_w") * F.col("_over")
-    s = s.withColumn("_level", F.min(F.when(free, F.struct(F.col("_ratio"), F.col("source").isNull().alias("n"), F.col("source").alias("s"), F.col("_over"), F.col("_left")))).over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    level = F.col("_w") * F.col("_level._over") / F.col("_level._left")
+    free = F.col("__mix_cap") * F.col("__mix_left") > F.col("__mix_w") * F.col("__mix_over")
+    s = s.withColumn("__mix_level", F.min(F.when(free, F.struct(F.col("__mix_ratio"), F.col("source").isNull().alias("n"), F.col("source").alias("s"), F.col("__mix_over"), F.col("__mix_left")))).over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    level = F.col("__mix_w") * F.col("__mix_level.__mix_over") / F.col("__mix_level.__mix_left")
     del all_
-    return s.select("source", "_s", F.coalesce(F.least("_cap", level), F.col("_cap")).alias("_target"))
+    return s.select("source", "__mix_s", F.coalesce(F.least("__mix_cap", level), F.col("__mix_cap")).alias("__mix_target"))
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, doc_id: str = "doc_id") -> DataFrame:
     """One row for each source: _s, _target, _epochs, and where its fractional epoch ends: key _bk, id _bi, _br words left for _bm rows."""
-    hist = common.work_table(rows.groupBy("source", "_bucket").agg(F.sum("_size").alias("_size")), "mix-sizes")
-    goal = targets(hist.groupBy("source").agg(F.sum("_size").alias("_s")), weights, share, limit)
-    goal = goal.withColumn("_budget", F.floor(F.col("_target") + 0.5).cast("long"))
-    epochs = F.when(F.col("_s") > 0, F.floor(F.col("_budget") / F.greatest(F.col("_s"), F.lit(1)))).otherwise(0).cast("long")
-    goal = common.work_table(goal.withColumn("_epochs", epochs).withColumn("_rest", F.col("_budget") - F.col("_epochs") * F.col("_s")), "mix-targets")
+    hist = common.work_table(rows.groupBy("source", "__mix_bucket").agg(F.sum("__mix_size").alias("__mix_size")), "mix-sizes")
+    goal = targets(hist.groupBy("source").agg(F.sum("__mix_size").alias("__mix_s")), weights, share, limit)
+    goal = goal.withColumn("__mix_budget", F.floor(F.col("__mix_target") + 0.5).cast("long"))
+    epochs = F.when(F.col("__mix_s") > 0, F.floor(F.col("__mix_budget") / F.greatest(F.col("__mix_s"), F.lit(1)))).otherwise(0).cast("long")
+    goal = common.work_table(goal.withColumn("__mix_epochs", epochs).withColumn("__mix_rest", F.col("__mix_budget") - F.col("__mix_epochs") * F.col("__mix_s")), "mix-targets")
     n = goal.count()
-    to = common.small(goal.select(F.col("source").alias("_src"), "_rest"), n, 256)
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = hist.withColumn("_before", before).join(to, F.col("source").eqNullSafe(F.col("_src")))
-    cut = cut.where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_size"))).select("_src", F.col("_bucket").alias("_cut"), (F.col("_rest") - F.col("_before")).alias("_over"))
+    to = common.small(goal.select(F.col("source").alias("__mix_src"), "__mix_rest"), n, 256)
+    before = F.coalesce(F.sum("__mix_size").over(Window.partitionBy("source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = hist.withColumn("__mix_before", before).join(to, F.col("source").eqNullSafe(F.col("__mix_src")))
+    cut = cut.where((F.col("__mix_before") <= F.col("__mix_rest")) & (F.col("__mix_rest") < F.col("__mix_before") + F.col("__mix_size"))).select("__mix_src", F.col("__mix_bucket").alias("__mix_cut"), (F.col("__mix_rest") - F.col("__mix_before")).alias("__mix_over"))
     cut = common.work_table(cut, "mix-cuts")
-    near = rows.select("source", "_bucket", "_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_id"), "_size")
-    near = near.join(common.small(cut, n, 256), F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_cut")))
-    near = near.groupBy("_src", "_key", "_id", "_over").agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_bm"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_src").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = near.withColumn("_b", before).where((F.col("_b") <= F.col("_over")) & (F.col("_over") < F.col("_b") + F.col("_size")))
-    edge = edge.select(F.col("_src").alias("_src2"), F.col("_key").alias("_bk"), F.col("_id").alias("_bi"), (F.col("_over") - F.col("_b")).alias("_br"), "_bm")
-    return common.work_table(goal.join(edge, F.col("source").eqNullSafe(F.col("_src2")), "left").select(F.col("source").alias("_src"), "_s", "_target", "_epochs", "_bk", "_bi", "_br", "_bm"), "mix-plan")
+    near = rows.select("source", "__mix_bucket", "__mix_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__mix_id"), "__mix_size")
+    near = near.join(common.small(cut, n, 256), F.col("source").eqNullSafe(F.col("__mix_src")) & (F.col("__mix_bucket") == F.col("__mix_cut")))
+    near = near.groupBy("__mix_src", "__mix_key", "__mix_id", "__mix_over").agg(F.sum("__mix_size").alias("__mix_size"), F.count(F.lit(1)).alias("__mix_bm"))
+    before = F.coalesce(F.sum("__mix_size").over(Window.partitionBy("__mix_src").orderBy("__mix_key", "__mix_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = near.withColumn("__mix_b", before).where((F.col("__mix_b") <= F.col("__mix_over")) & (F.col("__mix_over") < F.col("__mix_b") + F.col("__mix_size")))
+    edge = edge.select(F.col("__mix_src").alias("__mix_src2"), F.col("__mix_key").alias("__mix_bk"), F.col("__mix_id").alias("__mix_bi"), (F.col("__mix_over") - F.col("__mix_b")).alias("__mix_br"), "__mix_bm")
+    return common.work_table(goal.join(edge, F.col("source").eqNullSafe(F.col("__mix_src2")), "left").select(F.col("source").alias("__mix_src"), "__mix_s", "__mix_target", "__mix_epochs", "__mix_bk", "__mix_bi", "__mix_br", "__mix_bm"), "mix-plan")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with _size, _s, _target, _epochs (complete ones) and _part (words of the fractional one)."""
-    light = keyed(docs, text, doc_id).select(doc_id, "source", "_size", "_key", "_bucket")
+    light = keyed(docs, text, doc_id).select(doc_id, "source", "__mix_size", "__mix_key", "__mix_bucket")
     goal = plan(common.work_table(light, "mix-keys"), weights, share, limit, doc_id)
     n = goal.count()
-    rows = keyed(docs, text, doc_id).join(common.small(goal, n, 256), F.col("source").eqNullSafe(F.col("_src")), "left")
+    rows = keyed(docs, text, doc_id).join(common.small(goal, n, 256), F.col("source").eqNullSafe(F.col("__mix_src")), "left")
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    first = (F.col("_key") < F.col("_bk")) | ((F.col("_key") == F.col("_bk")) & (own < F.col("_bi")))
-    edge = (F.col("_key") == F.col("_bk")) & (own == F.col("_bi"))
-    part = F.when(first, F.col("_size")).when(edge, F.expr("_br div _bm")).otherwise(0)
-    return rows.withColumn("_part", F.coalesce(part, F.lit(0)).cast("long"))
+    first = (F.col("__mix_key") < F.col("__mix_bk")) | ((F.col("__mix_key") == F.col("__mix_bk")) & (own < F.col("__mix_bi")))
+    edge = (F.col("__mix_key") == F.col("__mix_bk")) & (own == F.col("__mix_bi"))
+    part = F.when(first, F.col("__mix_size")).when(edge, F.expr("__mix_br div __mix_bm")).otherwise(0)
+    return rows.withColumn("__mix_part", F.coalesce(part, F.lit(0)).cast("long"))
 
 
 def amounts(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken words of each row."""
     m = mixed(docs, **options)
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("_s").alias("source_size"), F.round("_target", 6).alias("target"), (F.col("_epochs") * F.col("_size") + F.col("_part")).alias("taken"))
+    return m.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_s").alias("source_size"), F.round("__mix_target", 6).alias("target"), (F.col("__mix_epochs") * F.col("__mix_size") + F.col("__mix_part")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, one row for each time that one is taken. The document at a source's boundary is taken whole if at least half of it is."""
     m = mixed(docs, **options)
-    times = F.col("_epochs") + F.when((F.col("_size") > 0) & (2 * F.col("_part") >= F.col("_size")), 1).otherwise(0)
-    times = F.when(F.col("_size") > 0, times).otherwise(0).cast("int")
+    times = F.col("__mix_epochs") + F.when((F.col("__mix_size") > 0) & (2 * F.col("__mix_part") >= F.col("__mix_size")), 1).otherwise(0)
+    times = F.when(F.col("__mix_size") > 0, times).otherwise(0).cast("int")
     # array_repeat rather than sequence: of 0 times it has no element
-    return m.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return m.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

@@ -1,6 +1,6 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Rows of equal word sequences form a class at once; one text of each goes on. A shingle is
+Rows of equal texts form a class at once; one of each goes on. A shingle is
 five consecutive words (fewer if the text is shorter), its weight tf * idf. idf falls from
 1, for shingles of few documents, to 0.5 for one that all have; the frequent ones come from
 mergeable summaries of heavy hitters over all texts, whose number has a fixed bound.
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .substrings import KEY, distinct_texts, keyed, with_text_key
+from .common import with_text_key
+from .substrings import KEY, distinct_texts
 from .wordhash import mixed, windows, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, DEPTH = 10, 3, 3
+BANDS, ROWS, DEPTH = 10, 3, 4
 SAMPLES = BANDS * ROWS
 #: Counters of a summary of heavy hitters. Shingles of more than 2 / HITTERS of all shingle occurrences get an idf under 1; there are fewer than HITTERS.
 HITTERS = 50_000
@@ -91,7 +92,7 @@ def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([docs], pa.int64()), pa.array([held.total], pa.int64())], names=schema.names)
         yield pa.RecordBatch.from_arrays([pa.array(held.values.view(np.int64)), pa.array(held.counts), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64))], names=schema.names)
 
-    summary = common.work_table(source.select("_t").mapInArrow(run, schema).groupBy("_h").agg(F.sum("_c").alias("_c"), F.sum("_docs").alias("_docs"), F.sum("_all").alias("_all")), "neardup-hitters")
+    summary = common.work_table(source.select("_t").mapInArrow(common.tidy(run), schema).groupBy("_h").agg(F.sum("_c").alias("_c"), F.sum("_docs").alias("_docs"), F.sum("_all").alias("_all")), "neardup-hitters")
     sums = summary.where("_h is null").first()
     if sums is None or not sums["_all"]:
         return np.empty(0, np.uint64), np.empty(0)
@@ -154,7 +155,7 @@ class Sampler:
 
 
 def band_rows(source: DataFrame, hot) -> DataFrame:
-    """(_key, _k0, _k1, _k2): for each text and band the keys by 3, 6 and 9 samples."""
+    """(_key, _k0 to _k3): for each text and band the keys by 3, 6, 9 and all samples."""
     schema = T.StructType([KEY, *(T.StructField(f"_k{d}", T.LongType()) for d in range(DEPTH))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,16 +168,19 @@ def band_rows(source: DataFrame, hot) -> DataFrame:
                 part = mixed(s[:, 0] + mixed(s[:, 1] + mixed(s[:, 2])))
                 band = np.arange(BANDS)
                 k, levels = mixed(part + band.astype(np.uint64)), []
-                for d in range(DEPTH):
+                for d in range(DEPTH - 1):
                     levels.append(k.view(np.int64).copy())
                     k = mixed(k + part[(band + d + 1) % BANDS])
+                for d in range(DEPTH - 1, BANDS - 1):
+                    k = mixed(k + part[(band + d + 1) % BANDS])
+                levels.append(k.view(np.int64).copy())
                 keys += [key] * BANDS
                 out.append(np.stack(levels))
             if out:
                 both = np.concatenate(out, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(both[d]) for d in range(DEPTH))], names=schema.names)
 
-    return source.select("_t", "_key").mapInArrow(run, schema)
+    return source.select("_t", "_key").mapInArrow(common.tidy(run), schema)
 
 
 def candidate_pairs(bands: DataFrame) -> DataFrame:
@@ -215,7 +219,7 @@ def alike(pairs: DataFrame, texts: DataFrame, hot) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*good)], names=schema.names)
 
     a, b = texts.select(F.col("_key").alias("_a"), F.col("_t").alias("_ta")), texts.select(F.col("_key").alias("_b"), F.col("_t").alias("_tb"))
-    return pairs.select("_a", "_b").join(a, "_a").join(b, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(run, schema)
+    return pairs.select("_a", "_b").join(a, "_a").join(b, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(common.tidy(run), schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,9 +245,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     """(_key, _root) of the texts that are like others; texts that aren't have no row."""
-    spark = df.sparkSession
+    spark = common.ready(df).sparkSession
     empty = T.StructType([KEY, T.StructField("_root", T.BinaryType())])
-    source, _ = distinct_texts(df, text, 1)
+    source, _ = distinct_texts(df, text)
     hot = spark.sparkContext.broadcast(frequent(source))
     pairs = common.work_table(candidate_pairs(common.work_table(band_rows(source, hot), "neardup-bands")), "neardup-pairs")
     if pairs.isEmpty():
@@ -258,14 +262,16 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     open_ = pairs.join(first.withColumn("_done", F.lit(True)), ["_a", "_b"], "left_anti").join(at("_a"), "_a", "left").join(at("_b"), "_b", "left")
     open_ = open_.where(F.coalesce("_ar", "_a") != F.coalesce("_br", "_b")).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     more = common.work_table(alike(common.work_table(open_, "neardup-open"), texts, hot), "neardup-links")
+    common.drop_table(source)
+    common.drop_table(texts)
     return roots if more.isEmpty() else components(links.unionAll(more))
 
 
 def members(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows, texts). rows: _id and _key of each row. texts: _key, _class (the least id of the class), _least (of this text), _winner (whether the class keeps this text), _same (rows with the least id), _rows."""
+    """(rows, texts). rows: _id and _key of each row, _some if it has words. texts: _key, _class (the least id of the class), _least (of this text), _winner (whether the class keeps this text), _same (rows with the least id), _rows."""
     base = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_x"))
-    rows = common.work_table(with_text_key(common.ready(base), "_x", ["_id"]).select("_id", "_key", "_n"), "neardup-rows")
-    by_id = rows.where("_n > 0").groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("_c"))
+    rows = common.work_table(with_text_key(base, "_x", ["_id"]).select("_id", "_key", common.has_words(F.col("_t")).alias("_some")), "neardup-rows")
+    by_id = rows.where("_some").groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("_c"))
     texts = by_id.groupBy("_key").agg(F.min(F.struct("_id", "_c")).alias("_x"), F.sum("_c").alias("_rows")).select("_key", F.col("_x._id").alias("_least"), F.col("_x._c").alias("_same"), "_rows")
     roots = text_classes(df, text)
     # only texts that are like others need their class's least id
@@ -282,19 +288,18 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     n = texts.count()
     out = rows.join(common.small(texts.select("_key", "_class"), n, 64), "_key", "left")
     back = lambda c: F.when(c == NO_ID, F.lit(None)).otherwise(c)
-    # texts without words share a key but no class
-    return out.select(back(F.col("_id")).alias("doc_id"), back(F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.coalesce("_class", "_id"))).alias("class_id"))
+    return out.select(back(F.col("_id")).alias("doc_id"), back(F.when(F.col("_some"), F.coalesce("_class", "_id")).otherwise(F.col("_id"))).alias("class_id"))
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df with one row of each class: that of the least doc_id."""
     _, texts = members(df, text, doc_id)
     n = texts.count()
-    rest = [c for c in df.columns if c != text]
-    every = with_text_key(common.ready(df), text, rest).join(common.small(texts, n, 96), "_key", "left")
-    mine = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_least")
-    kept = every.where(F.col("_least").isNull() | (F.col("_n") == 0) | (F.col("_winner") & mine))
-    cols = [F.col("_t").alias(c) if c == text else F.col(c) for c in df.columns]
+    names = [f"__{k}" for k in range(len(df.columns))]  # theirs may clash
+    plain = df.select(*(df[c].alias(x) for c, x in zip(df.columns, names)), df[text].alias("__text"), F.coalesce(df[doc_id].cast("long"), F.lit(NO_ID)).alias("__id"))
+    every = with_text_key(plain, "__text", [x for c, x in zip(df.columns, names) if c != text] + ["__id"]).join(common.small(texts, n, 96), "_key", "left")
+    kept = every.where(F.col("_least").isNull() | (F.col("_winner") & (F.col("__id") == F.col("_least"))))
+    cols = [F.col("_t" if c == text else x).alias(c) for c, x in zip(df.columns, names)]
     single = kept.where(F.coalesce(F.col("_same"), F.lit(1)) == 1)
     if texts.where("_winner and _same > 1").isEmpty():
         return single.select(*cols)

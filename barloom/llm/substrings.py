@@ -11,9 +11,8 @@ minimiser, the inner window of least hash: two equal windows choose equal minimi
 none is lost, and about 2 / (min_words - length + 2) of all positions are counted instead
 of all.
 
-Documents of equal word sequences form a class first. A class of two or more is repeated
-as a whole; one of its documents takes part, counted twice, so groups of copies cost one
-member's windows. Counting is by hash with partial sums before each shuffle; a hot passage
+Rows of equal texts form a class first. A class of two or more is repeated as a whole; one
+of its rows takes part, counted twice, so groups of copies cost one member's windows. Counting is by hash with partial sums before each shuffle; a hot passage
 is one counted key. The candidates of a document are packed into one row, and they meet
 their texts in a join that broadcasts them only below a checked size. Hashes of the last
 level have 128 bits.
@@ -34,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .wordhash import minima, mixed, text_key, windows, word_hashes, words
+from .common import with_text_key
+from .wordhash import minima, mixed, windows, word_hashes, words
 
 MIN_WORDS = 35
 KEY = T.StructField("_key", T.BinaryType())
@@ -68,18 +68,6 @@ def covered(starts: np.ndarray, min_words: int, n: int) -> np.ndarray:
     return np.cumsum(mark)[:n] > 0
 
 
-def keyed(df: DataFrame, text: str) -> DataFrame:
-    """One row for each row of df: _key of its words, their number."""
-    schema = T.StructType([KEY, T.StructField("_n", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [words(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(w) for w in found], pa.binary()), pa.array([len(w) for w in found], pa.int64())], names=schema.names)
-
-    return common.ready(df).select(F.col(text).alias("_t")).mapInArrow(run, schema)
-
-
 def emitted(source: DataFrame, min_words: int, length: int, last: bool) -> DataFrame:
     """(_key, _w, _h, _g, _at): the windows of one level that are still candidates.
 
@@ -126,7 +114,7 @@ def emitted(source: DataFrame, min_words: int, length: int, last: bool) -> DataF
     def pack(keys, times, first, second, at) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(times)), pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), pa.array(np.concatenate(at))], names=schema.names)
 
-    return source.select("_t", "_key", "_w", "_c").mapInArrow(run, schema)
+    return source.select("_t", "_key", "_w", "_c").mapInArrow(common.tidy(run), schema)
 
 
 def survivors(source: DataFrame, packed: DataFrame, min_words: int, length: int) -> DataFrame:
@@ -150,49 +138,42 @@ def survivors(source: DataFrame, packed: DataFrame, min_words: int, length: int)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f) for x, f in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], names=schema.names)
 
-    return source.join(packed, "_key").select("_t", "_key", "_w", "_c", "_hit").mapInArrow(run, schema)
+    return source.join(packed, "_key").select("_t", "_key", "_w", "_c", "_hit").mapInArrow(common.tidy(run), schema)
 
 
-def distinct_texts(df: DataFrame, text: str, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """(source, copied). source: _t, _key, _w, one row for each sequence of at least so many words, _w 2 if several rows have it, else 1. copied: _key, _n of those."""
-    keys = common.work_table(keyed(df, text), "text-keys")
-    classes = keys.where(F.col("_n") >= least_words).groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.first("_n").alias("_n"))
-    copied = common.work_table(classes.where("_rows > 1").select("_key", "_n"), "text-copied")
-    common.drop_table(keys)
+def distinct_texts(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(source, copied). source: _t, _key, _w, one row for each text with words, _w 2 if several rows have it, else 1. copied: the _key of those."""
+    every = with_text_key(df.where(common.has_words(F.col(text))), text)
+    copied = every.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_key")
+    copied = common.work_table(copied, "text-copied")
     n = copied.count()
-    every = with_text_key(df, text).where(F.col("_n") >= least_words)
     if not n:
-        return every.select("_t", "_key", F.lit(1).alias("_w")), copied
-    among = common.small(copied.select("_key"), n, 64)
-    one = every.join(among, "_key", "left_semi").select("_key", "_t").groupBy("_key").agg(F.min("_t").alias("_t"))
-    one = common.work_table(one, "text-of-copies")
+        return common.work_table(every.select("_t", "_key", F.lit(1).alias("_w")), "texts"), copied
+    among = common.small(copied, n, 64)
+    one = every.join(among, "_key", "left_semi").groupBy("_key").agg(F.min("_t").alias("_t"))
     alone = every.join(among, "_key", "left_anti").select("_t", "_key", F.lit(1).alias("_w"))
-    return alone.unionByName(one.select("_t", "_key", F.lit(2).alias("_w"))), copied
+    return common.work_table(alone.unionByName(one.select("_t", "_key", F.lit(2).alias("_w"))), "texts"), copied
 
 
 def repeated_words(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_key, _runs): for the words of a text, by their key, the packed runs [start, end) of words that go. Texts that lose nothing have no row."""
-    spark = df.sparkSession
-    source, copied = distinct_texts(df, text, min_words)
-    candidates, old = None, []
+    """(_key, _runs): for a text, by its key, the packed runs [start, end) of words that go. Texts that lose nothing have no row."""
+    spark = common.ready(df).sparkSession
+    source, copied = distinct_texts(df, text)
+    candidates = None
     *below, _ = levels(min_words)
     for length in below:
         rows = source.withColumn("_c", F.lit(None).cast("binary")) if candidates is None else joined(source, candidates)
         found = emitted(rows, min_words, length, last=False)
         twice = found.groupBy("_h").agg(F.sum("_w").alias("_times")).where("_times > 1").select("_h")
-        hits = found.join(twice, "_h").groupBy("_key").agg(F.collect_list("_h").alias("_hit"))
-        hits = common.work_table(hits, f"substring-hits-{length}")
+        hits = common.work_table(found.join(twice, "_h").groupBy("_key").agg(F.collect_list("_h").alias("_hit")), f"substring-hits-{length}")
         n = hits.count()
         if not n:
             return spark.createDataFrame([], T.StructType([KEY, T.StructField("_runs", T.BinaryType())])).unionByName(whole(copied))
         size = hits.agg(F.sum(F.size("_hit"))).first()[0] * 8 + 64 * n
-        if candidates is not None:
-            old.append(candidates)
-        candidates = common.work_table(survivors(rows, common.small(hits, size, 1), min_words, length), f"substring-level-{length}")
+        before, candidates = candidates, common.work_table(survivors(rows, common.small(hits, size, 1), min_words, length), f"substring-level-{length}")
         common.drop_table(hits)
-        for x in old:
-            common.drop_table(x)
-        old = []
+        if before is not None:
+            common.drop_table(before)
     rows = source.withColumn("_c", F.lit(None).cast("binary")) if candidates is None else joined(source, candidates)
     found = emitted(rows, min_words, min_words, last=True)
     # each distinct window with its rows' weights; partial sums come before the shuffle
@@ -208,14 +189,20 @@ def repeated_words(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS
                 out.append(np.stack(spans(covered(at, min_words, int(at.max()) + min_words)), 1).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)
 
-    return common.work_table(starts.mapInArrow(run, schema).unionByName(whole(copied)), "substring-runs")
+    out = common.work_table(starts.mapInArrow(common.tidy(run), schema).unionByName(whole(copied)), "substring-runs")
+    common.drop_table(source)
+    if candidates is not None:
+        common.drop_table(candidates)
+    return out
+
+
+#: In place of runs: every word, if there is a window at all.
+ALL = b"*"
 
 
 def whole(copied: DataFrame) -> DataFrame:
-    """All words of the texts that occur in several rows."""
-    last = F.lpad(F.hex(F.col("_n").cast("int")), 8, "0")  # little-endian, after a start of 0
-    order = F.concat(F.lit("00000000"), F.substring(last, 7, 2), F.substring(last, 5, 2), F.substring(last, 3, 2), F.substring(last, 1, 2))
-    return copied.select("_key", F.unhex(order).alias("_runs"))
+    """The mark for the texts that occur in several rows."""
+    return copied.select("_key", F.lit(ALL).alias("_runs"))
 
 
 def joined(source: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -224,31 +211,21 @@ def joined(source: DataFrame, candidates: DataFrame) -> DataFrame:
     return source.join(common.small(candidates.select("_key", "_c"), size, 1), "_key")
 
 
-def with_text_key(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with _t, the text, its _key and its number of words _n."""
-    keep = keep or []
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("_t", T.StringType()), KEY, T.StructField("_n", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
-                found = [words(t) for t in some.column(some.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([text_key(w) for w in found], pa.binary()), pa.array([len(w) for w in found], pa.int64())], names=schema.names)
-
-    return common.ready(df).select(*[df[c] for c in keep], df[text].alias("_t")).mapInArrow(run, schema)
-
-
 def with_runs(df: DataFrame, text: str, min_words: int, keep: list[str]) -> DataFrame:
+    """The kept columns (by position, under other names, as theirs may clash), _t and _runs."""
     runs = repeated_words(df, text, min_words)
     n = runs.count()
     size = runs.agg(F.coalesce(F.sum(F.length("_runs")), F.lit(0))).first()[0] + 64 * n
-    return with_text_key(df, text, keep).join(common.small(runs, size, 1), "_key", "left")
+    names = [f"__{k}" for k in range(len(keep))]
+    plain = df.select(*(df[c].alias(n) for c, n in zip(keep, names)), df[text].alias("__text"))
+    return with_text_key(plain, "__text", names).join(common.small(runs, size, 1), "_key", "left").select(*names, "_t", "_runs")
 
 
-def kept_words(found: list[bytes], runs: bytes | None) -> list[bytes]:
+def kept_words(found: list[bytes], runs: bytes | None, min_words: int) -> list[bytes]:
     if not runs:
         return found
+    if runs == ALL:
+        return [] if len(found) >= min_words else found
     gone = np.frombuffer(runs, "<i4").reshape(-1, 2)
     out, start = [], 0
     for a, b in gone.tolist():
@@ -266,13 +243,13 @@ def digest(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, keep:
             n, gone, sha = [], [], []
             for t, r in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 found = words(t)
-                left = kept_words(found, r)
+                left = kept_words(found, r, min_words)
                 n.append(len(found))
                 gone.append(len(found) - len(left))
                 sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=schema.names)
 
-    return with_runs(df, text, min_words, list(keep)).select(*keep, "_t", "_runs").mapInArrow(run, schema)
+    return with_runs(df, text, min_words, list(keep)).mapInArrow(common.tidy(run), schema)
 
 
 def remove(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -280,9 +257,16 @@ def remove(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> Dat
     keep = [c for c in df.columns if c != text]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType())])
 
+    def removed(t: str | None, runs: bytes | None) -> str | None:
+        if not runs:
+            return t
+        found = words(t)
+        left = kept_words(found, runs, min_words)
+        return t if len(left) == len(found) else b" ".join(left).decode()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [b" ".join(kept_words(words(t), r)).decode() if r else t for t, r in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            out = [removed(t, r) for t, r in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=schema.names)
 
-    return with_runs(df, text, min_words, keep).select(*keep, "_t", "_runs").mapInArrow(run, schema).select(*df.columns)
+    return with_runs(df, text, min_words, keep).mapInArrow(common.tidy(run), schema).select(*df.columns)

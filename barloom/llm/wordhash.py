@@ -14,11 +14,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def text_key(found: list[bytes]) -> bytes:
-    """128 bits for a sequence of words."""
-    return xxhash.xxh3_128_digest(b" ".join(found))
-
-
 def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
