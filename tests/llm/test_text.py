@@ -276,7 +276,7 @@ def test_model_finds_unseen_misspellings():
     score = toxicity.scorer(model)
     assert np.mean([score(t) < 0.5 for t in clean[200:]]) > 0.95 and np.mean([score(t) >= 0.5 for t in bad[80:]]) >= 0.7
     assert np.mean([score(t + " worthlesss moronn") > score(t) for t in clean[200:]]) > 0.95
-    assert 0 <= score("") <= 1 and toxicity.scorer(toxicity.train([], []))("x") == 0.0 and toxicity.scorer(toxicity.train(["a"], [1]))("x") == 1.0
+    assert 0 <= score("") <= 1 and toxicity.scorer(toxicity.train([], []))("x") < 1e-9 and toxicity.scorer(toxicity.train(["a"], [1]))("x") > 1 - 1e-9
 
 
 def test_scores_of_odd_rows(spark, odd, none):
