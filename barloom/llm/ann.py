@@ -38,10 +38,10 @@ from pyspark.sql import types as T
 from . import common
 
 #: Neighbours listed, listing nodes sampled, rounds at most, share of changed entries that ends them.
-NEIGHBOURS, LISTED_BY, ROUNDS, SETTLED = 28, 24, 8, 0.01
+NEIGHBOURS, LISTED_BY, ROUNDS, SETTLED = 32, 32, 9, 0.005
 TREES, BUCKET = 5, 120
 #: Nodes kept in a beam, expanded in a round, rounds of search, rescored exactly.
-BEAM, EXPAND, SEARCH_ROUNDS, RESCORED = 96, 20, 7, 60
+BEAM, EXPAND, SEARCH_ROUNDS, RESCORED = 200, 40, 8, 80
 MEMBERS = 24
 MESSAGE = T.StructType([T.StructField("dest", T.LongType()), T.StructField("node", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("fresh", T.BooleanType()), T.StructField("least", T.FloatType())])
 FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType())])
