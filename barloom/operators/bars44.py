@@ -8,7 +8,7 @@ symbol.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lattice import anchor, anchor_inclusive
@@ -28,15 +28,15 @@ def enriched(ticks: DataFrame, lag_ns: int = 1_000_000, cadence: int = 1_000_000
     return quotes.unionByName(trades, allowMissingColumns=True).withColumn("bar_ns", anchor(F.col("sip_ns"), cadence))
 
 
-def flow(rows: DataFrame) -> DataFrame:
-    """Volumes, notionals, counts and mid deltas by side, dark notional."""
-    buy, sell = F.col("is_buy"), ~F.col("is_buy")
+def flow() -> list[Column]:
+    """Aggregates: volumes, notionals, counts and mid deltas by side, dark notional."""
+    trade = F.col("tick_type") == TRADE
+    buy, sell = trade & F.col("is_buy"), trade & ~F.col("is_buy")
     notional = F.col("price") * F.col("size")
-    # the size is a number of either sign in a file; only the price decides what a trade is
     total = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0.0))
     dark = F.coalesce(F.col("is_dark"), F.lit(False))
     mid = F.col("mid_px") > 0
-    return rows.where(F.col("tick_type") == TRADE).groupBy(*BAR).agg(
+    return [
         total(buy, F.col("size")).alias("buy_volume"),
         total(sell, F.col("size")).alias("sell_volume"),
         total(buy, notional).alias("buy_notional"),
@@ -47,31 +47,41 @@ def flow(rows: DataFrame) -> DataFrame:
         total(sell & mid, F.col("size") * (F.col("mid_px") - F.col("price"))).alias("sell_mid_delta_notional"),
         total(sell & dark, notional).alias("dark_bid_trade_primitive"),
         total(buy & dark, notional).alias("dark_ask_trade_primitive"),
-    )
+    ]
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """Size-weighted population deviation and skew of trade prices, centred in a second pass."""
+def centred(rows: DataFrame) -> DataFrame:
+    """rows with the weight _w of their bar's trades and their weighted mean price _m: the first pass of the moments."""
     w = Window.partitionBy(*BAR)
-    t = rows.where(F.col("tick_type") == TRADE).withColumn("_w", F.sum("size").over(w)).withColumn("_m", F.when(F.col("_w") > 0, F.sum(F.col("size") * F.col("price")).over(w) / F.col("_w")))
-    d = F.col("price") - F.col("_m")
-    sums = t.groupBy(*BAR).agg(F.first("_w").alias("_w"), F.sum(F.col("size") * d * d).alias("_2"), F.sum(F.col("size") * d * d * d).alias("_3"))
-    std = F.when(F.col("_w") > 0, F.sqrt(F.col("_2") / F.col("_w"))).otherwise(0.0)
-    skew = F.when((F.col("_w") > 0) & (F.col("_s") > 1e-9), F.col("_3") / (F.col("_w") * F.col("_s") * F.col("_s") * F.col("_s"))).otherwise(0.0)
-    return sums.withColumn("_s", std).select(*BAR, F.col("_s").alias("trade_vol_std_px"), skew.alias("trade_vol_skew"))
+    size = F.when(F.col("tick_type") == TRADE, F.col("size"))
+    out = rows.withColumn("_w", F.sum(size).over(w))
+    return out.withColumn("_m", F.when(F.col("_w") > 0, F.sum(size * F.col("price")).over(w) / F.col("_w")))
 
 
-def extremes(rows: DataFrame, cadence: int) -> DataFrame:
-    """Highs and lows, and how long after the bar's start the first tick reached them."""
+def moments() -> list[Column]:
+    """Aggregates of centred rows: weight, and the second and third weighted sums."""
+    d = F.when(F.col("tick_type") == TRADE, F.col("price") - F.col("_m"))
+    return [F.max("_w").alias("_w"), F.sum(F.col("size") * d * d).alias("_2"), F.sum(F.col("size") * d * d * d).alias("_3")]
+
+
+def deviation_and_skew(bars: DataFrame) -> DataFrame:
+    """Size-weighted population deviation and skew of trade prices; null without a trade, 0 without weight."""
+    std = F.when(F.col("_w") > 0, F.sqrt(F.col("_2") / F.col("_w"))).when(F.col("_w").isNotNull(), 0.0)
+    out = bars.withColumn("trade_vol_std_px", std)
+    s = F.col("trade_vol_std_px")
+    return out.withColumn("trade_vol_skew", F.when((F.col("_w") > 0) & (s > 1e-9), F.col("_3") / (F.col("_w") * s * s * s)).when(s.isNotNull(), 0.0))
+
+
+def extremes() -> list[Column]:
+    """Aggregates: highs and lows, and the times of the first ticks that reached them."""
     quote, trade = F.col("tick_type") == QUOTE, F.col("tick_type") == TRADE
-    start = F.col("bar_ns") - cadence
 
-    def first_at(column: str, cond, high: bool):
+    def first_at(column: str, cond: Column, high: bool) -> Column:
         # of the ticks with the extreme value the first in order
         value = -F.col(column) if high else F.col(column)
         return F.min(F.when(cond, F.struct(value.alias("v"), F.col("sip_ns").alias("t"), F.col("seq").alias("s"))))["t"]
 
-    out = rows.groupBy(*BAR).agg(
+    return [
         F.max(F.when(trade, F.col("price"))).alias("high_px"),
         F.min(F.when(trade, F.col("price"))).alias("low_px"),
         *(f(F.when(quote, F.col(f"{side}_px"))).alias(f"{name}_{side}_px") for side in ("bid", "ask") for name, f in (("high", F.max), ("low", F.min))),
@@ -79,22 +89,27 @@ def extremes(rows: DataFrame, cadence: int) -> DataFrame:
         first_at("price", trade, False).alias("low_px_ns"),
         first_at("ask_px", quote, True).alias("high_ask_px_ns"),
         first_at("ask_px", quote, False).alias("low_ask_px_ns"),
-    )
-    for c in ("high_px_ns", "low_px_ns", "high_ask_px_ns", "low_ask_px_ns"):
-        out = out.withColumn(c, (F.col(c) - start).cast("double"))
-    return out
+    ]
 
 
-def last_values(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """What of the state a bar's ticks change, and how many there are."""
+def last_values() -> list[Column]:
+    """Aggregates: what of the state a bar's ticks change, and how many there are."""
     quote, trade = F.col("tick_type") == QUOTE, F.col("tick_type") == TRADE
-    return rows.groupBy(*by).agg(
+    return [
         *(last_of(c, quote).alias(f"_{c}") for c in ("bid_px", "ask_px", "bid_sz", "ask_sz")),
         last_of("sip_ns", quote).alias("_quote_ns"),
         last_of("price", trade).alias("_trade_px"),
         F.count_if(quote).alias("_quotes"),
         F.count_if(trade).alias("_trades"),
-    )
+    ]
+
+
+def gathered(rows: DataFrame, cadence: int) -> DataFrame:
+    """One row for each bar with ticks, of all aggregates, in one pass over the rows."""
+    out = deviation_and_skew(centred(rows).groupBy(*BAR).agg(*flow(), *moments(), *extremes(), *last_values()))
+    for c in ("high_px_ns", "low_px_ns", "high_ask_px_ns", "low_ask_px_ns"):
+        out = out.withColumn(c, (F.col(c) - (F.col("bar_ns") - cadence)).cast("double"))
+    return out.drop("_w", "_2", "_3")
 
 
 STATE = ("_bid_px", "_ask_px", "_bid_sz", "_ask_sz", "_quote_ns", "_trade_px")
@@ -137,8 +152,8 @@ def whole_bars(ticks: DataFrame, symbols: DataFrame, cadence: int, lag_ns: int =
     grid = frame_grid(ticks, symbols.select("symbol", F.lit(0).cast("long").alias("offset_ns")).distinct(), cadence, start_ns, end_ns)
     early = grid.groupBy("symbol").agg((F.min("anchor_ns") - cadence).alias("anchor_ns"))
     grid = grid.select("symbol", "anchor_ns").unionByName(early).select("symbol", F.col("anchor_ns").alias("bar_ns"), F.lit(True).alias("_grid"))
-    state = filled(last_values(rows, BAR).join(grid, list(BAR), "full"), "bar_ns").where("_grid").drop("_grid")
-    out = state.join(flow(rows), list(BAR), "left").join(moments(rows), list(BAR), "left").join(extremes(rows, cadence), list(BAR), "left").join(venues_at_best(rows, state, start_ns), list(BAR), "left")
+    state = filled(gathered(rows, cadence).join(grid, list(BAR), "full"), "bar_ns").where("_grid").drop("_grid")
+    out = state.join(venues_at_best(rows, state, start_ns), list(BAR), "left")
     quotes = F.coalesce(F.col("_quotes"), F.lit(0)).cast("double")
     out = out.select(
         "*",
@@ -157,7 +172,7 @@ def terminal(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, rows: Dat
     each = rows.join(F.broadcast(phase_symbols.select("phase", "offset_ns", "symbol")), "symbol")
     each = each.withColumn("anchor_ns", anchor_inclusive(F.col("sip_ns"), cadence, F.col("offset_ns")))
     keys = ("phase", "symbol")
-    state = filled(last_values(each, (*keys, "anchor_ns")).join(grid, [*keys, "anchor_ns"], "full"), "anchor_ns", keys).where("_grid")
+    state = filled(each.groupBy(*keys, "anchor_ns").agg(*last_values()).join(grid, [*keys, "anchor_ns"], "full"), "anchor_ns", keys).where("_grid")
     names = dict(zip(("_bid_px", "_ask_px", "_bid_sz", "_ask_sz", "_trade_px"), FEATURES_44[36:41]))
     return state.select(*keys, "offset_ns", "anchor_ns", *(F.col(a).alias(b) for a, b in names.items()), F.col("_quote_ns").cast("double").alias("asof_sip_timestamp"), F.col("quote_idx").alias("asof_quote_idx"), F.col("trade_idx").alias("asof_trade_idx"))
 
