@@ -189,6 +189,8 @@ def candidate_pairs(bands: DataFrame) -> DataFrame:
     for d in range(DEPTH):
         k = f"_k{d}"
         bucket = rows.groupBy(k).agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct(F.xxhash64("_key", k).alias("o"), F.col("_key").alias("key"))).alias("_hub")).where("_size > 1")
+        # written before it is joined, so that the join has shuffles of its own, whose hot partitions Spark can split
+        bucket = common.work_table(bucket, f"neardup-buckets-{d}")
         met = rows.join(bucket.select(k, "_size", F.col("_hub.key").alias("_b")), k)
         met = common.work_table(met.select("_key", *(f"_k{j}" for j in range(d + 1, DEPTH)), "_size", "_b"), f"neardup-bands-{d}")
         some = met.where("_key <> _b").select(F.col("_key").alias("_a"), "_b")

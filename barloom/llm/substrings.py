@@ -164,7 +164,8 @@ def repeated_words(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS
     for length in below:
         rows = source.withColumn("_c", F.lit(None).cast("binary")) if candidates is None else joined(source, candidates)
         found = emitted(rows, min_words, length, last=False)
-        twice = found.groupBy("_h").agg(F.sum("_w").alias("_times")).where("_times > 1").select("_h")
+        # written before it is joined, so that the join has shuffles of its own, whose hot partitions Spark can split
+        twice = common.work_table(found.groupBy("_h").agg(F.sum("_w").alias("_times")).where("_times > 1").select("_h"), f"substring-twice-{length}")
         hits = common.work_table(found.join(twice, "_h").groupBy("_key").agg(F.collect_list("_h").alias("_hit")), f"substring-hits-{length}")
         n = hits.count()
         if not n:
@@ -172,12 +173,13 @@ def repeated_words(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS
         size = hits.agg(F.sum(F.size("_hit"))).first()[0] * 8 + 64 * n
         before, candidates = candidates, common.work_table(survivors(rows, common.small(hits, size, 1), min_words, length), f"substring-level-{length}")
         common.drop_table(hits)
+        common.drop_table(twice)
         if before is not None:
             common.drop_table(before)
     rows = source.withColumn("_c", F.lit(None).cast("binary")) if candidates is None else joined(source, candidates)
     found = emitted(rows, min_words, min_words, last=True)
     # each distinct window with its rows' weights; partial sums come before the shuffle
-    twice = found.groupBy("_h", "_g").agg(F.sum("_w").alias("_times")).where("_times > 1").select("_h", "_g")
+    twice = common.work_table(found.groupBy("_h", "_g").agg(F.sum("_w").alias("_times")).where("_times > 1").select("_h", "_g"), "substring-twice")
     starts = found.where("_w = 1").join(twice, ["_h", "_g"]).groupBy("_key").agg(F.collect_list("_at").alias("_starts"))
     schema = T.StructType([KEY, T.StructField("_runs", T.BinaryType())])
 
@@ -190,9 +192,9 @@ def repeated_words(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)
 
     out = common.work_table(starts.mapInArrow(common.tidy(run), schema).unionByName(whole(copied)), "substring-runs")
-    common.drop_table(source)
-    if candidates is not None:
-        common.drop_table(candidates)
+    for used in (source, twice, candidates):
+        if used is not None:
+            common.drop_table(used)
     return out
 
 
