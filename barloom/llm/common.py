@@ -75,17 +75,18 @@ def has_words(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
-#: Rows of an Arrow batch: texts may be long, and a worker holds a batch at a time.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: texts may be long, and a worker holds a batch at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def ready(df: DataFrame) -> DataFrame:
     """df, once the executors have this package and Arrow batches are small."""
     spark = df.sparkSession
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
     return df
 
 
