@@ -59,7 +59,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     s = sizes.withColumn("__mix_w", weight).withColumn("__mix_cap", F.col("__mix_s") * F.lit(float(limit)))
     s = s.withColumn("__mix_ratio", F.col("__mix_cap") / F.col("__mix_w"))
     by = Window.orderBy("__mix_ratio", F.col("source").isNull(), "source")
-    all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("__mix_before", F.coalesce(F.sum("__mix_cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("__mix_left", F.sum("__mix_w").over(by.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("__mix_total", F.sum("__mix_s").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(float(share)))
@@ -68,7 +67,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     free = F.col("__mix_cap") * F.col("__mix_left") > F.col("__mix_w") * F.col("__mix_over")
     s = s.withColumn("__mix_level", F.min(F.when(free, F.struct(F.col("__mix_ratio"), F.col("source").isNull().alias("n"), F.col("source").alias("s"), F.col("__mix_over"), F.col("__mix_left")))).over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     level = F.col("__mix_w") * F.col("__mix_level.__mix_over") / F.col("__mix_level.__mix_left")
-    del all_
     return s.select("source", "__mix_s", F.coalesce(F.least("__mix_cap", level), F.col("__mix_cap")).alias("__mix_target"))
 
 
