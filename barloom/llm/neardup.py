@@ -12,6 +12,10 @@ weighted Jaccard similarity. Ten bands of three samples make keys; a band's rows
 hub, so a bucket of n rows gives n - 1 pairs. Buckets of three or more are split again by
 three further samples, and once more, each part with its own hub, so that close texts meet
 also within a bucket of loosely alike ones. Hubs are drawn by hash and differ by bucket.
+What hubs leave in different components of one bucket is then compared row by row: a bucket
+over BLOCK rows first tries its most central row, the one with the most company in all
+bands, as a hub for as long as that links; then all rows of different components meet in
+blocks of bounded size. So each pair of a bucket is in one component or was verified.
 
 A pair is a link if its weighted Jaccard similarity is 0.8 or more, or the plain one of its
 shingle sets is. First each text's likeliest pair is verified, then all pairs that the
@@ -41,6 +45,8 @@ BANDS, ROWS, DEPTH = 10, 3, 4
 SAMPLES = BANDS * ROWS
 #: Counters of a summary of heavy hitters. Shingles of more than 2 / HITTERS of all shingle occurrences get an idf under 1; there are fewer than HITTERS.
 HITTERS = 50_000
+#: Rows of a bucket that meet in one group at most, twice.
+BLOCK = 256
 TABLE_BITS = 16
 NO_ID = -(1 << 63)
 
@@ -183,20 +189,21 @@ def band_rows(source: DataFrame, hot) -> DataFrame:
     return source.select("_t", "_key").mapInArrow(common.tidy(run), schema)
 
 
-def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """(_a, _b, _n): texts and hubs, and in how many buckets they met."""
-    pairs, rows = None, bands
+def candidate_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_a, _b, _n): texts and hubs, and in how many buckets they met; (_key, _k0, _size): the rows of buckets by 3 samples."""
+    pairs, rows, first = None, bands, None
     for d in range(DEPTH):
         k = f"_k{d}"
         bucket = rows.groupBy(k).agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct(F.xxhash64("_key", k).alias("o"), F.col("_key").alias("key"))).alias("_hub")).where("_size > 1")
         # written before it is joined, so that the join has shuffles of its own, whose hot partitions Spark can split
         bucket = common.work_table(bucket, f"neardup-buckets-{d}")
         met = rows.join(bucket.select(k, "_size", F.col("_hub.key").alias("_b")), k)
-        met = common.work_table(met.select("_key", *(f"_k{j}" for j in range(d + 1, DEPTH)), "_size", "_b"), f"neardup-bands-{d}")
+        met = common.work_table(met.select("_key", *(f"_k{j}" for j in range(d + (d > 0), DEPTH)), "_size", "_b"), f"neardup-bands-{d}")
+        first = first or met
         some = met.where("_key <> _b").select(F.col("_key").alias("_a"), "_b")
         pairs = some if pairs is None else pairs.unionAll(some)
-        rows = met.where("_size > 2").drop("_size", "_b")
-    return pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+        rows = met.where("_size > 2").drop("_size", "_b", "_k0")
+    return pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")), first.select("_key", "_k0", "_size")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, hot) -> DataFrame:
@@ -224,6 +231,89 @@ def alike(pairs: DataFrame, texts: DataFrame, hot) -> DataFrame:
     return pairs.select("_a", "_b").join(a, "_a").join(b, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(common.tidy(run), schema)
 
 
+def open_rows(members_: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_key, _k0, _root, _c, _n, _few): rows of the buckets that hold several components; rows of the same component in the bucket, of all, and of components of BLOCK rows at most."""
+    own = members_.where("_size > 2").select("_key", "_k0").join(roots, "_key", "left").select("_key", "_k0", F.coalesce("_root", "_key").alias("_root"))
+    own = common.work_table(own, "neardup-own")
+    per = common.work_table(own.groupBy("_k0", "_root").agg(F.count(F.lit(1)).alias("_c")), "neardup-per")
+    some = per.groupBy("_k0").agg(F.count(F.lit(1)).alias("_roots"), F.sum("_c").alias("_n"), F.sum(F.when(F.col("_c") <= BLOCK, F.col("_c"))).alias("_few")).where("_roots > 1").drop("_roots")
+    some = common.work_table(some, "neardup-some")
+    out = common.work_table(own.join(per.join(some, "_k0"), ["_k0", "_root"]), "neardup-left")
+    for used in (own, per, some):
+        common.drop_table(used)
+    return out
+
+
+def central_pairs(left: DataFrame) -> DataFrame:
+    """(_a, _b): the rows of buckets over BLOCK and the row of another component there that has the most company in all its buckets."""
+    company = left.groupBy("_key").agg(F.sum("_n").alias("_s"))
+    large = left.where(F.col("_n") > BLOCK)
+    hub = large.join(company, "_key").groupBy("_k0").agg(F.max(F.struct("_s", "_key", "_root")).alias("_hub"))
+    hub = common.work_table(hub.select("_k0", F.col("_hub._key").alias("_b"), F.col("_hub._root").alias("_rb")), "neardup-central")
+    return large.join(hub, "_k0").where("_root <> _rb").select(F.col("_key").alias("_a"), "_b").distinct()
+
+
+def block_links(left: DataFrame, source: DataFrame, hot) -> DataFrame:
+    """The links (_a, _b) among all pairs of rows of different components of a bucket.
+
+    A component of over BLOCK rows of the bucket has blocks of its own, the others share
+    some; each two blocks meet in a group, but for those of one component. A pair that
+    meets in several buckets is judged in the one of least key.
+    """
+    own = F.col("_c") > BLOCK
+    part = F.pmod(F.xxhash64("_key", "_k0"), F.ceil(F.when(own, F.col("_c")).otherwise(F.col("_few")) / BLOCK))
+    placed = left.withColumn("_g", F.when(own, F.col("_root")).otherwise(F.lit(b""))).withColumn("_l", F.xxhash64("_g", part))
+    placed = common.work_table(placed.select("_key", "_k0", "_root", "_g", "_l"), "neardup-placed")
+    at = common.work_table(placed.select("_k0", "_g", "_l").distinct(), "neardup-blocks")
+    two = at.join(at.select("_k0", F.col("_g").alias("_h"), F.col("_l").alias("_m")), "_k0").where((F.col("_l") <= F.col("_m")) & ((F.col("_g") != F.col("_h")) | (F.length("_g") == 0)))
+    two = common.work_table(two.select("_k0", F.col("_l").alias("_i"), F.col("_m").alias("_j")), "neardup-two")
+    to = two.select("_k0", F.col("_i").alias("_l"), "_i", "_j").unionAll(two.where("_i <> _j").select("_k0", F.col("_j").alias("_l"), "_i", "_j"))
+    buckets = left.groupBy("_key").agg(F.sort_array(F.collect_list("_k0")).alias("_all"))
+    rows = placed.join(to, ["_k0", "_l"]).join(buckets, "_key").join(source.select("_key", "_t"), "_key").select("_key", "_k0", "_root", "_l", "_i", "_j", "_all", "_t")
+    schema = T.StructType([T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType())])
+
+    def run(group: pa.Table) -> pa.Table:
+        c = group.to_pydict()
+        good = linked_pairs([shingles(t) for t in c["_t"]], hot.value, c["_root"], c["_l"] if c["_i"][0] != c["_j"][0] else None, c["_all"], c["_k0"][0])
+        return pa.table([pa.array([c["_key"][a] for a, _ in good], pa.binary()), pa.array([c["_key"][b] for _, b in good], pa.binary())], names=schema.names)
+
+    return rows.groupBy("_k0", "_i", "_j").applyInArrow(run, schema)
+
+
+def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], hot, roots: list, sides: list | None, buckets: list[list[int]], bucket: int) -> list[tuple[int, int]]:
+    """Links of texts of different components (and of different sides, if there are any), without those that earlier ones imply."""
+    n = len(sets)
+    size = np.array([len(h) for h, _ in sets])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    w = np.concatenate([weights(h, tf, hot) for h, tf in sets])
+    total = np.add.reduceat(w, starts[:-1])
+    vocabulary, ids = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    component = np.unique(np.array([bytes(r).hex() for r in roots]), return_inverse=True)[1]
+    side = np.arange(n) if sides is None else np.array(sides)
+    earlier = [{k for k in x if k < bucket} for x in buckets]
+    dense, good = np.zeros(len(vocabulary)), []
+    for a in range(n - 1):
+        # a similarity of 0.8 needs totals or sizes within 0.8 of each other
+        near = (np.minimum(total, total[a]) >= SIMILARITY * np.maximum(total, total[a]) - 1e-9) | (np.minimum(size, size[a]) >= SIMILARITY * np.maximum(size, size[a]))
+        some = np.flatnonzero(near & (component != component[a]) & (side != side[a]))
+        some = np.array([b for b in some[some > a] if earlier[a].isdisjoint(earlier[b])], np.int64)
+        if not len(some):
+            continue
+        own = slice(starts[a], starts[a + 1])
+        dense[ids[own]] = w[own]
+        first = np.concatenate([[0], np.cumsum(size[some])])[:-1]
+        at = np.arange(size[some].sum()) + np.repeat(starts[some] - first, size[some])
+        theirs = dense[ids[at]]
+        low, both = np.add.reduceat(np.minimum(theirs, w[at]), first), np.add.reduceat((theirs > 0).astype(np.int64), first)
+        dense[ids[own]] = 0
+        hit = (low >= SIMILARITY * (total[a] + total[some] - low)) | (both >= SIMILARITY * (size[a] + size[some] - both))
+        for b in some[hit].tolist():
+            if component[b] != component[a]:
+                good.append((a, b))
+                component[component == component[b]] = component[a]
+    return good
+
+
 def components(links: DataFrame) -> DataFrame:
     """(_key, _root) of every text in a link: each round hooks a component to its least neighbour and contracts the graph."""
     edges = common.work_table(links.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
@@ -251,7 +341,8 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     empty = T.StructType([KEY, T.StructField("_root", T.BinaryType())])
     source, _ = distinct_texts(df, text)
     hot = spark.sparkContext.broadcast(frequent(source))
-    pairs = common.work_table(candidate_pairs(common.work_table(band_rows(source, hot), "neardup-bands")), "neardup-pairs")
+    pairs, met = candidate_pairs(common.work_table(band_rows(source, hot), "neardup-bands"))
+    pairs = common.work_table(pairs, "neardup-pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], empty)
     nodes = common.work_table(pairs.select(F.col("_a").alias("_key")).unionAll(pairs.select(F.col("_b").alias("_key"))).distinct(), "neardup-nodes")
@@ -264,6 +355,21 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     open_ = pairs.join(first.withColumn("_done", F.lit(True)), ["_a", "_b"], "left_anti").join(at("_a"), "_a", "left").join(at("_b"), "_b", "left")
     open_ = open_.where(F.coalesce("_ar", "_a") != F.coalesce("_br", "_b")).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     more = common.work_table(alike(common.work_table(open_, "neardup-open"), texts, hot), "neardup-links")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        roots = components(links)
+    left = open_rows(met, roots)
+    while not left.where(F.col("_n") > BLOCK).isEmpty():
+        tried = common.work_table(central_pairs(left), "neardup-tried")
+        more = common.work_table(alike(tried, texts, hot), "neardup-links")
+        found = more.count()
+        if found:
+            links = links.unionAll(more)
+            roots = components(links)
+            left = open_rows(met, roots)
+        if 4 * found < tried.count():
+            break
+    more = common.work_table(block_links(left, texts, hot), "neardup-links")
     common.drop_table(source)
     common.drop_table(texts)
     return roots if more.isEmpty() else components(links.unionAll(more))

@@ -221,6 +221,25 @@ def test_classes_equal_brute_force(spark):
     assert got == plain_classes([r for r in rows if r[1] and r[1].strip()]) | {900: 900, 901: 901, 902: 902}
 
 
+def test_star_and_templates_equal_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, form = [word() for _ in range(300)], [word() for _ in range(300)]
+
+    def edited(w, n):
+        v = w[:]
+        for k in range(n):  # one edit in each stretch, so that each breaks five shingles
+            v[(300 // n) * k + rng.randrange(4, 300 // n - 4)] = word()
+        return " ".join(v)
+
+    # copies are at 0.85 to the original and about 0.73 to each other; the forms aren't alike but for two pairs
+    rows = [(k, edited(base, 5)) for k in range(1000)] + [(1000, " ".join(base))]
+    rows += [(2000 + k, edited(form, 6)) for k in range(100)]
+    rows += [(3000 + k, rows[1001 + 7 * k][1].rsplit(" ", 3)[0]) for k in range(2)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = neardup.classes(odd).collect()
     got = {r.doc_id: r.class_id for r in rows}
