@@ -15,6 +15,8 @@ Repeated rows are scored each for itself; further columns pass through.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,11 +31,11 @@ from pyspark.sql import types as T
 from . import common
 
 BUCKETS = 1 << 18
-LEAST, MOST = 4, 5
+LEAST, MOST = 3, 5
 #: Labelled rows of class 0 and of class 1 that the model is fitted on at most, the first in an order by hash.
 SAMPLE_ROWS = (4000, 1400)
 #: Texts of the sample in which a table row must occur to be trained.
-LEAST_TEXTS = 25
+LEAST_TEXTS = 20
 DIMS, EPOCHS, RATE, DECAY = 4, 24, 0.1, 0.05
 #: Added to the root of the second moment of a table row: rows of small gradients move less.
 FLOOR = 1e-6
@@ -134,15 +136,20 @@ def train(texts: list[str], labels: list[int], dims: int = DIMS, epochs: int = E
     used, docs, rows, bounds, size = features(texts, min(least_texts, max(1, len(texts) // 20)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
-    groups = [order[k : k + batch_rows] for k in range(0, len(y), batch_rows)]
-    held = [(y[g], batch([docs[k] for k in g], rows, bounds, size)) for g in groups]
+    # built one at a time and kept in a file: the index arrays of all batches would take several times the memory of the texts' words
+    held, places = tempfile.TemporaryFile(), []
+    for k in range(0, len(y), batch_rows):
+        g = order[k : k + batch_rows]
+        places.append(held.tell())
+        pickle.dump((y[g], batch([docs[i] for i in g], rows, bounds, size)), held, 5)
     del docs, rows, bounds, size
     params = [rng.normal(0, 0.1, (len(used), dims)).astype(np.float32), rng.normal(0, 1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, steps = 0, epochs * len(held)
+    step, steps = 0, epochs * len(places)
     for _ in range(epochs):
-        for k in rng.permutation(len(held)):
-            (want, b), step = held[k], step + 1
+        for k in rng.permutation(len(places)):
+            held.seek(places[k])
+            (want, b), step = pickle.load(held), step + 1
             table, soft, bias = params
             doc = np.zeros((len(want), dims), np.float32)
             if b:
@@ -163,6 +170,7 @@ def train(texts: list[str], labels: list[int], dims: int = DIMS, epochs: int = E
                 second[i] += 0.01 * (grad * grad - second[i])
                 move = (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + (FLOOR if i == 0 else 1e-8))
                 params[i] = params[i] * (1 - now * decay * (i == 0)) - now * move
+    held.close()
     table, soft, bias = params
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = table @ (soft[:, 1] - soft[:, 0])

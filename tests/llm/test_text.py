@@ -298,6 +298,16 @@ def test_model_finds_unseen_misspellings():
     assert 0 <= score("") <= 1 and toxicity.scorer(toxicity.train([], []))("x") < 1e-9 and toxicity.scorer(toxicity.train(["a"], [1]))("x") > 1 - 1e-9
 
 
+def test_inner_letters_of_short_words():
+    pairs = [("clown", "cl0wn"), ("trash", "tr4sh"), ("idiot", "idxot"), ("scum", "sc0m")]
+    assert all(set(toxicity.subwords(a)) & set(toxicity.subwords(b)) for a, b in pairs)
+    rng = random.Random(1)
+    clean = [" ".join("".join(rng.choices(["be", "lo", "ma", "ne", "vu"], k=rng.randrange(1, 4))) for _ in range(40)) for _ in range(300)]
+    bad = [f"{t} you {rng.choice(pairs)[0]} and {rng.choice(pairs)[0]}" for t in clean[:120]]
+    score = toxicity.scorer(toxicity.train(clean[:200] + bad, [0] * 200 + [1] * 120))
+    assert all(np.mean([score(f"{t} {b}") > score(f"{t} vumabe") for t in clean[200:]]) > 0.95 for _, b in pairs)
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 0, 1), (4, 1, 0), (4, 1, None), (None, 1, 1), (3, 1, 7)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, labels)
