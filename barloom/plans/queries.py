@@ -323,11 +323,20 @@ def seq_gap_jitter(spark, sf_dir):
     return replicate.gaps_and_jitter(packets, "symbol", "seq", "sip_ns", "part_ns").select("symbol", "seq", "missed", "jitter_ns")
 
 
+def quote_orders(quotes):
+    return quotes.select(F.col("seq").alias("order_id"), "symbol", (F.col("bid_px") + 20).alias("limit_px"), F.col("sip_ns").alias("placed_ns"), (F.col("sip_ns") + F.lit(6 * HOUR)).alias("ended_ns"))
+
+
 @query
 def order_watch(spark, sf_dir):
     ticks = load(spark, sf_dir)
-    placed = quality.dedup_quotes(ticks).where("seq % 97 = 0").select(F.col("seq").alias("order_id"), "symbol", (F.col("bid_px") + 20).alias("limit_px"), F.col("sip_ns").alias("placed_ns"), (F.col("sip_ns") + F.lit(6 * HOUR)).alias("ended_ns"))
-    return orders.watch(placed, ticks).withColumn("first_jump_s", F.round("first_jump_s", 6))
+    return orders.watch(quote_orders(quality.dedup_quotes(ticks).where("seq % 97 = 0")), ticks).withColumn("first_jump_s", F.round("first_jump_s", 6))
+
+
+@query
+def order_watch_all(spark, sf_dir):
+    ticks = load(spark, sf_dir)
+    return orders.watch(quote_orders(quality.dedup_quotes(ticks)), ticks).withColumn("first_jump_s", F.round("first_jump_s", 6))
 
 
 @query
