@@ -34,16 +34,21 @@ def venue_quote(ticks: DataFrame, name: str = "quote_b") -> DataFrame:
     return out.withColumn(name, F.when(F.col("_venue").isNotNull(), F.col(name))).drop("_venue")
 
 
-def matched_quote(ticks: DataFrame, lag_ns: int = 1_000_000, venue_not_after: bool = False) -> DataFrame:
-    """Trades with mid_px of their quote: the venue's, if its participant time is no later and it is newer than the lagged one; else the lagged one. mid_from is B or A."""
-    both = venue_quote(lagged_quote(ticks, lag_ns)).where(F.col("tick_type") == TRADE)
+def matched_quote(ticks: DataFrame, lag_ns: int = 1_000_000, venue_not_after: bool = False, keep_quotes: bool = False) -> DataFrame:
+    """Trades with mid_px of their quote: the venue's, if its participant time is no later and it is newer than the lagged one; else the lagged one. mid_from is B or A.
+
+    With keep_quotes the other rows stay, without these two.
+    """
+    trade = F.col("tick_type") == TRADE
+    both = venue_quote(lagged_quote(ticks, lag_ns))
+    both = both if keep_quotes else both.where(trade)
     take = F.col("quote_b").isNotNull() & (F.col("quote_b.part_ns") <= F.col("part_ns")) & F.coalesce(F.col("quote_b.sip_ns") > F.col("quote_a.sip_ns"), F.lit(True))
     if venue_not_after:
         take = take & (F.col("quote_b.sip_ns") <= F.col("sip_ns"))
     both = both.withColumn("_take", F.coalesce(take, F.lit(False)))
     quote = F.when(F.col("_take"), F.col("quote_b")).otherwise(F.col("quote_a"))
-    out = both.withColumn("_q", quote)
-    return out.withColumn("mid_px", (F.col("_q.bid_px") + F.col("_q.ask_px")) / 2).withColumn("mid_from", F.when(F.col("_take"), "B").when(F.col("quote_a").isNotNull(), "A")).drop("_q", "_take", "quote_a", "quote_b")
+    out = both.withColumn("_q", F.when(trade, quote))
+    return out.withColumn("mid_px", (F.col("_q.bid_px") + F.col("_q.ask_px")) / 2).withColumn("mid_from", F.when(trade, F.when(F.col("_take"), "B").when(F.col("quote_a").isNotNull(), "A"))).drop("_q", "_take", "quote_a", "quote_b")
 
 
 def point_in_time(quotes: DataFrame, instants: DataFrame, at: str = "at_ns", retention_ns: int | None = None) -> DataFrame:
@@ -56,8 +61,9 @@ def point_in_time(quotes: DataFrame, instants: DataFrame, at: str = "at_ns", ret
     i = instants.select("*", F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(0).cast("long").alias("seq"))
     both = i.unionByName(q, allowMissingColumns=True)
     running = Window.partitionBy("symbol").orderBy("_t", "_k", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("symbol").orderBy("_t", "_k", "seq").rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_found", F.coalesce(F.last("_q", ignorenulls=True).over(running), F.first("_q", ignorenulls=True).over(ahead)))
+    # before the first quote the first one counts: one value for each symbol, not a look ahead from each row
+    first = F.min(F.when(F.col("_k") == 0, F.struct("_t", "seq", "_q"))).over(Window.partitionBy("symbol"))
+    both = both.withColumn("_found", F.coalesce(F.last("_q", ignorenulls=True).over(running), first["_q"]))
     out = both.where("_k = 1").withColumn("quote_ns", F.col("_found.sip_ns")).withColumn("bid_px", F.col("_found.bid_px")).withColumn("ask_px", F.col("_found.ask_px"))
     return out.withColumn("mid_px", (F.col("bid_px") + F.col("ask_px")) / 2).select(*instants.columns, "quote_ns", "bid_px", "ask_px", "mid_px")
 
@@ -68,8 +74,23 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts:
     both = left.withColumn("_t", F.col(left_ts)).unionByName(r, allowMissingColumns=True).withColumn("_left", F.col("_r").isNull())
     order = Window.partitionBy(key).orderBy("_t", "_left")
     before = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # the next one is the last one in falling order: each row is looked at once
+    after = F.last("_r", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_left")).rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("_b", before).withColumn("_a", after).where("_left")
     closer = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a.t") - F.col("_t") < F.col("_t") - F.col("_b.t")))
     pick = F.when(closer, F.col("_a")).otherwise(F.col("_b"))
     return both.select(*left.columns, pick["t"].alias("near_ts"), pick["v"].alias(value))
+
+
+def prevailing(quotes: DataFrame, now: DataFrame, ages: list[int]) -> DataFrame:
+    """now (symbol, now_ns) with found: an array of (bid_px, ask_px, mid_px) in force at now_ns less each age; before the first quote the first one.
+
+    Few instants a symbol, so each is an aggregate: one pass with partial sums, no sort of the history.
+    """
+    q = quotes.select("symbol", "sip_ns", "seq", "bid_px", "ask_px")
+    quote = F.struct("sip_ns", "seq", "bid_px", "ask_px")
+    rows = now.select("symbol", "now_ns").join(q, "symbol", "left")
+    at = [F.max(F.when(F.col("sip_ns") <= F.col("now_ns") - F.lit(a).cast("long"), quote)) for a in ages]
+    out = rows.groupBy("symbol", "now_ns").agg(F.min(F.when(F.col("sip_ns").isNotNull(), quote)).alias("_first"), *(x.alias(f"_{k}") for k, x in enumerate(at)))
+    pick = [F.coalesce(f"_{k}", "_first") for k in range(len(ages))]
+    return out.select("symbol", "now_ns", F.array(*(F.struct(p["bid_px"].alias("bid_px"), p["ask_px"].alias("ask_px"), ((p["bid_px"] + p["ask_px"]) / 2).alias("mid_px")) for p in pick)).alias("found"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lattice import dense, half_even_ticks, trading_open
 from ..schema import NO_MID_TICKS
 from .classify import lit_flow
-from .grid import backward, forward, last_of
+from .grid import backward, earliest, forward, last_of
 from .quality import quote_valid, trade_valid
 
 BUCKET_NS, BASELINE = 250_000_000, 3600
@@ -57,7 +57,7 @@ def buckets(ticks: DataFrame, width: int = BUCKET_NS, open_ns: Column | int | No
     rows = rows.withColumn("mid_ticks", F.coalesce(forward(F.when(two, (F.col("_fb") + F.col("_fa")) / 2), keys, "bucket_col"), F.lit(NO_MID_TICKS)))
     return rows.select(
         "symbol", "bucket_col",
-        F.coalesce("_fb", backward("_bt", keys, "bucket_col")).alias("bid_ticks"), F.coalesce("_fa", backward("_at", keys, "bucket_col")).alias("ask_ticks"),
+        F.coalesce("_fb", earliest("_bt", keys, "bucket_col")).alias("bid_ticks"), F.coalesce("_fa", earliest("_at", keys, "bucket_col")).alias("ask_ticks"),
         "lit_buy_vol", "lit_sell_vol",
         trailing(loads("lit_buy_vol") + loads("lit_sell_vol"), baseline).alias("cnt_15m"),
         trailing(F.sqrt("lit_buy_vol") + F.sqrt("lit_sell_vol"), baseline).alias("q_15m"),
@@ -71,7 +71,6 @@ def window_250ms(bars: DataFrame, symbol: str, now_col: int, n: int = 41) -> Dat
     end = own.agg(F.least(F.max("bucket_col"), F.lit(now_col - 2).cast("long")).alias("_end"))
     grid = end.select(F.explode(F.sequence(F.col("_end") - (n - 1), F.col("_end"))).alias("col")).withColumn("bucket_col", F.greatest("col", F.lit(0).cast("long")))
     out = grid.join(own, "bucket_col", "left").withColumn("symbol", F.lit(symbol))
-    w = Window.partitionBy("symbol").orderBy("col").rowsBetween(0, Window.unboundedFollowing)
-    fill = lambda c: F.coalesce(F.col(c), F.first(c, ignorenulls=True).over(w))
+    fill = lambda c: F.coalesce(F.col(c), backward(c, ("symbol",), "col"))
     volume = lambda c: F.when(F.col("col") < 0, 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
     return out.select("symbol", "col", "bucket_col", fill("bid_ticks").alias("bid_ticks"), fill("ask_ticks").alias("ask_ticks"), volume("lit_buy_vol").alias("lit_buy_vol"), volume("lit_sell_vol").alias("lit_sell_vol"), "cnt_15m", "q_15m", F.coalesce("mid_ticks", F.lit(NO_MID_TICKS)).alias("mid_ticks"))

@@ -11,21 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lattice import anchor, anchor_inclusive
-from ..schema import FEATURES_44, QUOTE, TRADE
+from ..functions.lattice import anchor, anchor_inclusive, latest_anchor
+from ..schema import FEATURES_44, OPEN, QUOTE, TRADE
 from .asof import matched_quote
 from .classify import trade_side
-from .grid import forward, frame_grid, last_of
-from .quality import dedup_quotes, trade_valid
+from .grid import last_of, openings, spread_out
+from .quality import checked, quote_valid, trade_valid, without_repeats
 
 BAR = ("symbol", "bar_ns")
 
 
 def enriched(ticks: DataFrame, lag_ns: int = 1_000_000, cadence: int = 1_000_000_000) -> DataFrame:
-    """Accepted quotes, and trades with mid_px and is_buy; bar_ns is the end of the bar of each."""
-    quotes = dedup_quotes(ticks)
-    trades = trade_side(matched_quote(quotes.unionByName(ticks.where(trade_valid())), lag_ns))
-    return quotes.unionByName(trades, allowMissingColumns=True).withColumn("bar_ns", anchor(F.col("sip_ns"), cadence))
+    """Accepted quotes, and trades with mid_px and is_buy; bar_ns is the end of the bar of each.
+
+    One shuffle by symbol; what follows sorts within its partitions. OPEN rows (see
+    grid.openings) pass; theirs is the bar before the first.
+    """
+    rows = with_openings(ticks)
+    rows = trade_side(matched_quote(rows, lag_ns, keep_quotes=True))
+    return rows.withColumn("bar_ns", anchor(F.col("sip_ns"), cadence) - F.when(F.col("tick_type") == OPEN, F.lit(cadence).cast("long")).otherwise(F.lit(0).cast("long")))
+
+
+def with_openings(ticks: DataFrame) -> DataFrame:
+    return without_repeats(ticks.where(quote_valid() | trade_valid() | (F.col("tick_type") == OPEN)))
 
 
 def flow() -> list[Column]:
@@ -92,96 +100,109 @@ def extremes() -> list[Column]:
     ]
 
 
-def last_values() -> list[Column]:
-    """Aggregates: what of the state a bar's ticks change, and how many there are."""
+def last_values(*more: str) -> list[Column]:
+    """Aggregates: what of the state a bar's ticks change, how many there are, and the end of the grid if one begins here. The last quote is one aggregate, so that its fields are of one tick."""
     quote, trade = F.col("tick_type") == QUOTE, F.col("tick_type") == TRADE
     return [
-        *(last_of(c, quote).alias(f"_{c}") for c in ("bid_px", "ask_px", "bid_sz", "ask_sz")),
-        last_of("sip_ns", quote).alias("_quote_ns"),
+        F.max(F.when(quote, F.struct("sip_ns", "seq", "bid_px", "ask_px", "bid_sz", "ask_sz", *more))).alias("_quote"),
         last_of("price", trade).alias("_trade_px"),
         F.count_if(quote).alias("_quotes"),
         F.count_if(trade).alias("_trades"),
+        F.max(F.when(F.col("tick_type") == OPEN, F.col("part_ns"))).alias("_last"),
     ]
 
 
-def gathered(rows: DataFrame, cadence: int) -> DataFrame:
+def gathered(rows: DataFrame, cadence: int, more: tuple[str, ...] = ()) -> DataFrame:
     """One row for each bar with ticks, of all aggregates, in one pass over the rows."""
-    out = deviation_and_skew(centred(rows).groupBy(*BAR).agg(*flow(), *moments(), *extremes(), *last_values()))
+    out = deviation_and_skew(centred(rows).groupBy(*BAR).agg(*flow(), *moments(), *extremes(), *last_values(*more)))
     for c in ("high_px_ns", "low_px_ns", "high_ask_px_ns", "low_ask_px_ns"):
         out = out.withColumn(c, (F.col(c) - (F.col("bar_ns") - cadence)).cast("double"))
     return out.drop("_w", "_2", "_3")
 
 
-STATE = ("_bid_px", "_ask_px", "_bid_sz", "_ask_sz", "_quote_ns", "_trade_px")
-
-
 def filled(rows: DataFrame, at: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The state in force and running counts at each row."""
+    """The state in force and running counts at each row, and _first and _last of the grid."""
     w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.select(*(c for c in rows.columns if c not in STATE), *(F.last(c, ignorenulls=True).over(w).alias(c) for c in STATE))
-    return out.withColumn("quote_idx", F.sum(F.coalesce("_quotes", F.lit(0))).over(w).cast("double")).withColumn("trade_idx", F.sum(F.coalesce("_trades", F.lit(0))).over(w).cast("double"))
+    whole = Window.partitionBy(*keys)
+    out = rows.select(
+        *(c for c in rows.columns if c not in ("_quote", "_trade_px", "_last")),
+        *(F.last(c, ignorenulls=True).over(w).alias(c) for c in ("_quote", "_trade_px")),
+        F.sum("_quotes").over(w).cast("double").alias("quote_idx"), F.sum("_trades").over(w).cast("double").alias("trade_idx"),
+        F.max(F.when(F.col("_last").isNotNull(), F.col(at))).over(whole).alias("_first"), F.max("_last").over(whole).alias("_last"),
+    )
+    return out.select(*(c for c in out.columns if c != "_quote"), *(F.col("_quote")[f].alias(f"_{f}") for f in rows.schema["_quote"].dataType.names))
 
 
-def venues_at_best(rows: DataFrame, bars: DataFrame, start_ns: int | None = None) -> DataFrame:
-    """How many venues' latest bid (ask) equals the last bid (ask) at each bar's end.
+def venues_at_best(rows: DataFrame, side: str, start_ns: int | None = None) -> DataFrame:
+    """rows with bid_venues (or ask_venues): how many venues' latest price of the side equals this quote's.
 
-    Venues count from start_ns on. A symbol has 256 at most, so bars times venues is bounded.
-    bars: symbol, bar_ns, _bid_px, _ask_px.
+    Each quote opens its price at its venue and ends the venue's price before; the running sum
+    of these at one price is the number of venues that hold it. So no venue meets a bar, and a
+    row costs the same whatever the number of venues. Venues count from start_ns on.
     """
-    out = bars.select("symbol", "bar_ns", "_bid_px", "_ask_px")
-    quotes = rows.where(F.col("tick_type") == QUOTE)
+    px, exch = F.col(f"{side}_px"), F.col(f"{side}_exch")
+    own = (F.col("tick_type") == QUOTE) & exch.between(0, 255)
     if start_ns is not None:
-        quotes = quotes.where(F.col("sip_ns") >= start_ns)
-    for side, name in (("bid", "exchanges_at_bb_primitive"), ("ask", "exchanges_at_bo_primitive")):
-        venue = f"{side}_exch"
-        seen = quotes.where(F.col(venue).between(0, 255)).groupBy("symbol", venue, "bar_ns").agg(last_of(f"{side}_px").alias("_v"))
-        venues = seen.select("symbol", venue).distinct()
-        each = bars.select("symbol", "bar_ns", F.col(f"_{side}_px").alias("_best")).join(venues, "symbol").join(seen, ["symbol", venue, "bar_ns"], "left")
-        each = each.withColumn("_v", forward("_v", ("symbol", venue), "bar_ns"))
-        count = each.groupBy("symbol", "bar_ns").agg(F.count_if(F.col("_v") == F.col("_best")).cast("double").alias(name))
-        out = out.join(count, ["symbol", "bar_ns"], "left").withColumn(name, F.when(F.col(f"_{side}_px").isNotNull(), F.coalesce(name, F.lit(0.0))))
-    return out.drop("_bid_px", "_ask_px")
+        own = own & (F.col("sip_ns") >= start_ns)
+    order = ("sip_ns", "tick_type", "seq")
+    earlier = Window.partitionBy("symbol", "_v").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_v", F.when(own, exch)).withColumn("_was", F.when(F.col("_v").isNotNull(), F.last(px, ignorenulls=True).over(earlier)))
+    opened = F.struct(F.when(F.col("tick_type") == QUOTE, px).alias("px"), F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("d"))
+    ended = F.struct(F.col("_was").alias("px"), F.lit(-1).alias("d"))
+    out = out.withColumn("_e", F.explode(F.when(F.col("_was").isNotNull(), F.array(ended, opened)).otherwise(F.array(opened))))
+    running = Window.partitionBy("symbol", "_at").orderBy(*order, "_d").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_at", F.col("_e.px")).withColumn("_d", F.col("_e.d")).withColumn(f"{side}_venues", F.sum("_d").over(running))
+    return out.where("_d >= 0").drop("_v", "_was", "_e", "_at", "_d")
 
 
 ZERO = FEATURES_44[:8] + FEATURES_44[10:12]
 
 
-def whole_bars(ticks: DataFrame, symbols: DataFrame, cadence: int, lag_ns: int = 1_000_000, start_ns: int | None = None, end_ns: int | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """Slots 0 to 35 of the dense grid of whole-cadence bars. The grid begins one bar early, for anchors before the first whole one."""
-    rows = enriched(ticks, lag_ns, cadence) if rows is None else rows
-    grid = frame_grid(ticks, symbols.select("symbol", F.lit(0).cast("long").alias("offset_ns")).distinct(), cadence, start_ns, end_ns)
-    early = grid.groupBy("symbol").agg((F.min("anchor_ns") - cadence).alias("anchor_ns"))
-    grid = grid.select("symbol", "anchor_ns").unionByName(early).select("symbol", F.col("anchor_ns").alias("bar_ns"), F.lit(True).alias("_grid"))
-    state = filled(gathered(rows, cadence).join(grid, list(BAR), "full"), "bar_ns").where("_grid").drop("_grid")
-    out = state.join(venues_at_best(rows, state, start_ns), list(BAR), "left")
-    quotes = F.coalesce(F.col("_quotes"), F.lit(0)).cast("double")
-    out = out.select(
-        "*",
-        quotes.alias("bid_quote_count"), quotes.alias("ask_quote_count"), quotes.alias("nbbo_quote_rate_primitive"),
-        F.coalesce((F.col("bar_ns") - F.col("_quote_ns")) / 1e6, F.lit(0.0)).alias("nbbo_staleness_ms_primitive"),
-        F.col("_bid_px").alias("last_bid_px"), F.col("_ask_px").alias("last_ask_px"), F.col("_bid_sz").alias("last_bid_sz"), F.col("_ask_sz").alias("last_ask_sz"),
-        F.col("_trade_px").alias("last_trade_px"), F.col("_quote_ns").cast("double").alias("sip_timestamp"),
-    )
+VENUES = dict(zip(FEATURES_44[14:16], ("bid", "ask")))
+
+
+def whole_bars(ticks: DataFrame, symbols: DataFrame, cadence: int, lag_ns: int = 1_000_000, start_ns: int | None = None, end_ns: int | None = None, features: list[str] = FEATURES_44[:36]) -> DataFrame:
+    """Slots 0 to 35 (or some of them) of the dense grid of whole-cadence bars. The grid begins one bar early, for anchors before the first whole one."""
+    known = symbols.select("symbol").distinct()
+    both = ticks.join(checked(known), "symbol", "left_semi").unionByName(openings(ticks, known, start_ns, end_ns), allowMissingColumns=True)
+    rows, sides = enriched(both, lag_ns, cadence), [side for name, side in VENUES.items() if name in features]
+    for side in sides:
+        rows = venues_at_best(rows, side, start_ns)
+    state = filled(gathered(rows, cadence, tuple(f"{side}_venues" for side in sides)), "bar_ns")
+    out = spread_out(state, ("symbol",), "bar_ns", cadence, F.col("_first"), latest_anchor(F.col("_last"), cadence))
+    own = lambda c: F.when(F.col("_own"), F.col(c))
+    quotes = F.coalesce(own("_quotes"), F.lit(0)).cast("double")
+    of = lambda c: F.col(f"_{c}")
+    slots = {c: own(c) for c in (*FEATURES_44[:8], *FEATURES_44[10:12], *FEATURES_44[16:22], *FEATURES_44[28:34])}
+    slots |= {"bid_quote_count": quotes, "ask_quote_count": quotes, "nbbo_quote_rate_primitive": quotes}
+    slots |= {"nbbo_staleness_ms_primitive": F.coalesce((F.col("bar_ns") - of("sip_ns")) / 1e6, F.lit(0.0))}
+    slots |= {name: of(f"{side}_venues").cast("double") for name, side in VENUES.items() if side in sides}
+    slots |= {"last_bid_px": of("bid_px"), "last_ask_px": of("ask_px"), "last_bid_sz": of("bid_sz"), "last_ask_sz": of("ask_sz"), "last_trade_px": F.col("_trade_px"), "sip_timestamp": of("sip_ns").cast("double")}
+    slots |= {"quote_idx": F.col("quote_idx"), "trade_idx": F.col("trade_idx")}
     fill = {c: 0.0 for c in ZERO} | {c: -1.0 for c in FEATURES_44[30:34]}
-    return out.select("symbol", "bar_ns", *((F.coalesce(F.col(c), F.lit(fill[c])) if c in fill else F.col(c)).alias(c) for c in FEATURES_44[:36]))
+    return out.select("symbol", "bar_ns", *((F.coalesce(slots[c], F.lit(fill[c])) if c in fill else slots[c]).alias(c) for c in features))
 
 
-def terminal(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, rows: DataFrame, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+def terminal(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """Slots 36 to 43 at each phase's anchors, ticks at the anchor included."""
-    grid = frame_grid(ticks, phase_symbols, cadence, start_ns, end_ns).select("phase", "symbol", "offset_ns", "anchor_ns", F.lit(True).alias("_grid"))
-    each = rows.join(F.broadcast(phase_symbols.select("phase", "offset_ns", "symbol")), "symbol")
-    each = each.withColumn("anchor_ns", anchor_inclusive(F.col("sip_ns"), cadence, F.col("offset_ns")))
-    keys = ("phase", "symbol")
-    state = filled(each.groupBy(*keys, "anchor_ns").agg(*last_values()).join(grid, [*keys, "anchor_ns"], "full"), "anchor_ns", keys).where("_grid")
-    names = dict(zip(("_bid_px", "_ask_px", "_bid_sz", "_ask_sz", "_trade_px"), FEATURES_44[36:41]))
-    return state.select(*keys, "offset_ns", "anchor_ns", *(F.col(a).alias(b) for a, b in names.items()), F.col("_quote_ns").cast("double").alias("asof_sip_timestamp"), F.col("quote_idx").alias("asof_quote_idx"), F.col("trade_idx").alias("asof_trade_idx"))
+    rows = with_openings(ticks.unionByName(openings(ticks, phase_symbols, start_ns, end_ns), allowMissingColumns=True))
+    each = rows.join(checked(phase_symbols.select("phase", "offset_ns", "symbol")), "symbol")
+    opens = F.col("tick_type") == OPEN
+    at = F.when(opens, anchor(F.col("sip_ns"), cadence, F.col("offset_ns"))).otherwise(anchor_inclusive(F.col("sip_ns"), cadence, F.col("offset_ns")))
+    keys = ("phase", "symbol", "offset_ns")
+    state = filled(each.withColumn("anchor_ns", at).groupBy(*keys, "anchor_ns").agg(*last_values()), "anchor_ns", keys)
+    state = spread_out(state, keys, "anchor_ns", cadence, F.col("_first"), latest_anchor(F.col("_last"), cadence, F.col("offset_ns")))
+    names = dict(zip(("bid_px", "ask_px", "bid_sz", "ask_sz"), FEATURES_44[36:40]))
+    return state.select(
+        *keys, "anchor_ns", *(F.col(f"_{a}").alias(b) for a, b in names.items()), F.col("_trade_px").alias("asof_trade_px"),
+        F.col("_sip_ns").cast("double").alias("asof_sip_timestamp"), F.col("quote_idx").alias("asof_quote_idx"), F.col("trade_idx").alias("asof_trade_idx"),
+    )
 
 
 def frame44(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, lag_ns: int = 1_000_000, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """phase, symbol, anchor_ns and the 44 features. Null stands for what isn't known yet; as_nan() makes it NaN."""
-    rows = enriched(ticks, lag_ns, cadence)
-    state = terminal(ticks, phase_symbols, cadence, rows, start_ns, end_ns).withColumn("bar_ns", F.col("anchor_ns") - F.col("offset_ns"))
-    bars = whole_bars(ticks, phase_symbols, cadence, lag_ns, start_ns, end_ns, rows)
+    state = terminal(ticks, phase_symbols, cadence, start_ns, end_ns).withColumn("bar_ns", F.col("anchor_ns") - F.col("offset_ns"))
+    bars = whole_bars(ticks, phase_symbols, cadence, lag_ns, start_ns, end_ns)
     return state.join(bars, list(BAR), "left").select("phase", "symbol", "anchor_ns", *FEATURES_44)
 
 

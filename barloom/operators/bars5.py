@@ -9,23 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lattice import anchor
-from ..schema import FEATURES_5, NO_PRICE, NO_SPREAD_BPS
-from .grid import forward, frame_grid, last_of
-from .quality import positive
+from ..functions.lattice import anchor, latest_anchor
+from ..schema import FEATURES_5, NO_PRICE, NO_SPREAD_BPS, OPEN
+from .grid import forward, last_of, openings, spread_out
+from .quality import checked, positive
 
 KEYS = ("phase", "symbol")
 
 
 def reduced(ticks: DataFrame, phase_symbols: DataFrame, cadence: int) -> DataFrame:
-    """One row for each phase, symbol and bar with ticks: last price, bid and ask, volume."""
-    rows = ticks.join(F.broadcast(phase_symbols.select("phase", "offset_ns", "symbol")), "symbol") if phase_symbols is not None else ticks
+    """One row for each phase, symbol and bar with ticks: last price, bid and ask, volume; and _begin and _end of the grid on the row that opens it.
+
+    Ticks may hold OPEN rows (see grid.openings); such a row opens the first bar of each phase.
+    """
+    rows = ticks.join(checked(phase_symbols.select("phase", "offset_ns", "symbol")), "symbol")
     rows = rows.withColumn("anchor_ns", anchor(F.col("sip_ns"), cadence, F.col("offset_ns")))
+    opens, tick = F.col("tick_type") == OPEN, F.col("tick_type") != OPEN
     return rows.groupBy("phase", "symbol", "anchor_ns").agg(
-        last_of("price", positive("price")).alias("_trade"),
-        last_of("bid_px", positive("bid_px")).alias("_bid"),
-        last_of("ask_px", positive("ask_px")).alias("_ask"),
-        F.sum(F.when(positive("size"), F.col("size"))).alias("_vol"),
+        last_of("price", tick & positive("price")).alias("_trade"),
+        last_of("bid_px", tick & positive("bid_px")).alias("_bid"),
+        last_of("ask_px", tick & positive("ask_px")).alias("_ask"),
+        F.sum(F.when(tick & positive("size"), F.col("size"))).alias("_vol"),
+        F.max(F.when(opens, F.col("anchor_ns"))).alias("_first"),
+        F.max(F.when(opens, latest_anchor(F.col("part_ns"), cadence, F.col("offset_ns")))).alias("_last"),
     )
 
 
@@ -36,12 +42,13 @@ def bar_price(trade: Column, bid: Column, ask: Column) -> Column:
 
 def states(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """The dense grid with bar price, volume, and bid and ask in force. Ticks before start_ns count for the state only."""
-    grid = frame_grid(ticks, phase_symbols, cadence, start_ns, end_ns).select(*KEYS, "anchor_ns", F.lit(True).alias("_grid"))
-    rows = reduced(ticks, phase_symbols, cadence).join(grid, [*KEYS, "anchor_ns"], "full")
-    for c in ("_trade", "_bid", "_ask"):
-        rows = rows.withColumn(c, forward(c, KEYS))
-    rows = rows.where("_grid").withColumn("price", bar_price(F.col("_trade"), F.col("_bid"), F.col("_ask")))
-    return rows.select(*KEYS, "anchor_ns", "price", F.coalesce("_vol", F.lit(0.0)).alias("vol_1s"), F.col("_bid").alias("bid_px"), F.col("_ask").alias("ask_px"))
+    both = ticks.unionByName(openings(ticks, phase_symbols, start_ns, end_ns), allowMissingColumns=True)
+    rows = reduced(both, phase_symbols, cadence)
+    whole = Window.partitionBy(*KEYS)
+    filled = rows.select(*KEYS, "anchor_ns", "_vol", *(forward(c, KEYS).alias(c) for c in ("_trade", "_bid", "_ask")), *(F.max(c).over(whole).alias(c) for c in ("_first", "_last")))
+    rows = spread_out(filled, KEYS, "anchor_ns", cadence, F.col("_first"), F.col("_last"))
+    rows = rows.withColumn("price", bar_price(F.col("_trade"), F.col("_bid"), F.col("_ask")))
+    return rows.select(*KEYS, "anchor_ns", "price", F.coalesce(F.when(F.col("_own"), F.col("_vol")), F.lit(0.0)).alias("vol_1s"), F.col("_bid").alias("bid_px"), F.col("_ask").alias("ask_px"))
 
 
 def log_return(bars: int) -> Column:

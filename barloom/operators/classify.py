@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import AT_MID, QUOTE
+from ..schema import AT_MID, QUOTE, TRADE
 from .quality import in_order, quote_valid, trade_valid
 
 
-def trade_side(trades: DataFrame) -> DataFrame:
+def trade_side(rows: DataFrame) -> DataFrame:
     """is_buy of trades with mid_px: over the mid buys, under it sells; else by the price before; else as the trade before; buys at first.
 
-    mid_px must be null, not NaN, where there is none.
+    mid_px must be null, not NaN, where there is none. Rows that are no trades stay, without a side.
     """
-    w = in_order()
-    before = F.lag("price").over(w)
+    trade, w = F.col("tick_type") == TRADE, in_order()
+    before = F.last(F.when(trade, F.col("price")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     sign = F.when(F.col("price") > F.col("mid_px"), True).when(F.col("price") < F.col("mid_px"), False).when(F.col("price") > before, True).when(F.col("price") < before, False)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("_sign", sign).withColumn("is_buy", F.coalesce(F.last("_sign", ignorenulls=True).over(running), F.lit(True))).drop("_sign")
+    side = F.coalesce(F.last(F.when(trade, F.col("_sign")), ignorenulls=True).over(running), F.lit(True))
+    return rows.withColumn("_sign", sign).withColumn("is_buy", F.when(trade, side)).drop("_sign")
 
 
 def lit_flow(ticks: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lattice import anchor, dense, latest_anchor
+from ..schema import OPEN
+from ..sources.ticks import as_ticks
 
 
 def span(ticks: DataFrame) -> DataFrame:
@@ -32,8 +34,35 @@ def forward(column: str | Column, keys: tuple[str, ...], order: str = "anchor_ns
 
 
 def backward(column: str | Column, keys: tuple[str, ...], order: str = "anchor_ns") -> Column:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return F.first(column, ignorenulls=True).over(w)
+    """The first value from here on that isn't null: the last one in falling order, so that each row is looked at once."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(column, ignorenulls=True).over(w)
+
+
+def earliest(column: str, keys: tuple[str, ...], order: str = "anchor_ns") -> Column:
+    """The first value of all that isn't null; what a forward fill lacks at its start."""
+    return F.min(F.when(F.col(column).isNotNull(), F.struct(F.col(order).alias("o"), F.col(column).alias("v")))).over(Window.partitionBy(*keys))["v"]
+
+
+def openings(ticks: DataFrame, symbols: DataFrame, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """A control row for each symbol: the grid begins at the first time of all ticks (or start_ns) and ends at the last (or end_ns)."""
+    first = F.lit(start_ns).cast("long") if start_ns is not None else F.col("_t0")
+    last = F.lit(end_ns).cast("long") if end_ns is not None else F.col("_t1")
+    rows = symbols.select("symbol").distinct().crossJoin(F.broadcast(span(ticks)))  # one row on the right
+    return as_ticks(rows.where(first.isNotNull()).select("symbol", first.alias("sip_ns"), last.alias("part_ns"), F.lit(OPEN).alias("tick_type"), F.lit(-1).cast("long").alias("seq")))
+
+
+def spread_out(sparse: DataFrame, keys: tuple[str, ...], at: str, cadence: int, begin: Column, end: Column) -> DataFrame:
+    """sparse (one row for each point where something happened) with a row for every point from begin to end; _own tells rows that were there.
+
+    A row stands for the points up to the next one of its key. So a dense grid needs neither
+    a join nor a shuffle: state is filled on few rows and then spread.
+    """
+    following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
+    rows = sparse.withColumn("_begin", begin).withColumn("_end", end).withColumn("_until", F.least(F.coalesce(following - cadence, F.col("_end")), F.col("_end")))
+    rows = rows.withColumn("_from", F.greatest(F.col(at), F.col("_begin"))).where("_from <= _until").withColumnRenamed(at, "_was")
+    out = dense(rows, F.col("_from"), F.col("_until"), cadence, at)
+    return out.withColumn("_own", F.col("_was") == F.col(at)).drop("_was", "_from", "_until", "_begin", "_end")
 
 
 def last_of(column: str, when: Column | None = None) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TRADE
-from .asof import matched_quote, point_in_time
+from .asof import matched_quote, point_in_time, prevailing
 from .classify import trade_side
-from .quality import dedup_micro, trade_valid
+from .quality import dedup_micro, quote_valid, trade_valid
 
 LOOKBACKS = (1, 2, 3, 5, 10, 30)
 
@@ -19,7 +19,15 @@ def instants(ticks: DataFrame) -> DataFrame:
 
 
 def lookback_quotes(ticks: DataFrame, now: DataFrame, second_ns: int = 1_000_000_000, retention_ns: int | None = None) -> DataFrame:
-    """mid_{k}s_ago for each lookback, and bid and ask five seconds ago."""
+    """mid_{k}s_ago for each lookback, and bid and ask five seconds ago.
+
+    Repeated quotes don't change what is in force, so only a retention, which goes by the time
+    of a quote's first arrival, needs them taken out.
+    """
+    if retention_ns is None:
+        found = prevailing(ticks.where(quote_valid()), now, [k * second_ns for k in LOOKBACKS])
+        five = F.col("found")[LOOKBACKS.index(5)]
+        return found.select("symbol", "now_ns", *(F.col("found")[n]["mid_px"].alias(f"mid_{k}s_ago") for n, k in enumerate(LOOKBACKS)), five["bid_px"].alias("bid_5s_ago"), five["ask_px"].alias("ask_5s_ago"))
     at = now.select("symbol", "now_ns", F.explode(F.array(*(F.lit(k) for k in LOOKBACKS))).alias("k")).withColumn("at_ns", F.col("now_ns") - F.col("k") * F.lit(second_ns).cast("long"))
     found = point_in_time(dedup_micro(ticks), at, retention_ns=retention_ns)
     pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
@@ -28,12 +36,11 @@ def lookback_quotes(ticks: DataFrame, now: DataFrame, second_ns: int = 1_000_000
 
 def quote_vol(ticks: DataFrame, now: DataFrame, steps: int = 20, step_ns: int = 250_000_000) -> DataFrame:
     """quote_vol_5s_bps: population deviation of consecutive simple mid returns; an invalid return counts as 0."""
-    at = now.select("symbol", "now_ns", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")).withColumn("at_ns", F.col("now_ns") - F.col("k") * F.lit(step_ns).cast("long"))
-    found = point_in_time(dedup_micro(ticks), at)
-    w = Window.partitionBy("symbol").orderBy("at_ns")
-    before = F.lag("mid_px").over(w)
-    r = F.when((before > 0) & (F.col("mid_px") > 0), F.col("mid_px") / before - 1).otherwise(0.0)
-    sums = found.withColumn("_r", r).groupBy("symbol").agg((F.sum("_r") / steps).alias("_m"), (F.sum(F.col("_r") * F.col("_r")) / steps).alias("_s"))
+    found = prevailing(ticks.where(quote_valid()), now, [k * step_ns for k in range(steps, -1, -1)]).select("symbol", F.col("found.mid_px").alias("_mid"))
+    step = lambda before, mid: F.when((before > 0) & (mid > 0), mid / before - 1).otherwise(0.0)
+    returns = F.zip_with(F.slice("_mid", 1, steps), F.slice("_mid", 2, steps), step)
+    total = lambda f: F.aggregate("_r", F.lit(0.0), lambda a, x: a + f(x)) / steps
+    sums = found.withColumn("_r", returns).select("symbol", total(lambda x: x).alias("_m"), total(lambda x: x * x).alias("_s"))
     return sums.select("symbol", (F.sqrt(F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0))) * 1e4).alias("quote_vol_5s_bps"))
 
 

@@ -9,7 +9,7 @@ from ..functions.lattice import anchor, latest_anchor
 from ..schema import FEATURES_44
 from .bars5 import bars5
 from .bars44 import frame44
-from .grid import cold_start
+from .grid import backward, cold_start
 
 
 class LaggedAnchorError(ValueError):
@@ -105,11 +105,11 @@ def window_1hz(frames: DataFrame, symbol: str, anchor_ns: int, cadence: int, spa
     last = rows.where(F.col("anchor_ns") == anchor_ns).select("symbol", F.col("anchor_ns").alias("row_ns"), *(plain[c].alias(c) for c in FEATURES_44[:36]))
     out = body.unionByName(last.withColumn("row_ns", F.col("row_ns") + (1 if offset == 0 else 0)))
     w = Window.partitionBy("symbol").orderBy("row_ns")
-    ahead, behind = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    behind = w.rowsBetween(Window.unboundedPreceding, 0)
     early = F.col("last_bid_px").isNull()
     out = out.withColumn("_early", early)
     for c in [*QUOTE_STATE, "last_trade_px"]:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.first(c, ignorenulls=True).over(ahead)))
+        out = out.withColumn(c, F.coalesce(F.col(c), backward(c, ("symbol",), "row_ns")))
     for c in FEATURES_44[14:16]:
         out = out.withColumn(c, F.when(F.col("_early"), 0.0).otherwise(F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(behind))))
     for c in FEATURES_44[28:30]:

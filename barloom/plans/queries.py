@@ -48,9 +48,9 @@ def compact(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFr
     return frames.select("phase", "symbol", "anchor_ns", *(rnd(c, 9) for c in FEATURES_5[:3]), "vol_1s", rnd("spread_bps"))
 
 
-def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = bars44.whole_bars(load(spark, sf_dir), phase_symbols(spark), HOUR, MINUTE)
-    return bars.select("symbol", "bar_ns", *(rnd(c) if c in ROUNDED else F.col(c) for c in FEATURES_44[:36]))
+def whole(spark: SparkSession, sf_dir: str, features: list[str]) -> DataFrame:
+    bars = bars44.whole_bars(load(spark, sf_dir), phase_symbols(spark), HOUR, MINUTE, features=features)
+    return bars.select("symbol", "bar_ns", *(rnd(c) if c in ROUNDED else F.col(c) for c in features))
 
 
 ROUNDED = {"nbbo_staleness_ms_primitive", "trade_vol_std_px", "trade_vol_skew"}
@@ -164,7 +164,7 @@ def trade_side(spark, sf_dir):
 
 
 def bar_query(name: str, columns: list[str]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: whole(spark, sf_dir).select("symbol", "bar_ns", *columns)
+    QUERIES[name] = lambda spark, sf_dir: whole(spark, sf_dir, columns)
 
 
 bar_query("bar_flow", FEATURES_44[:6])
@@ -193,8 +193,7 @@ def frame44(spark, sf_dir):
 
 @query
 def terminal_asof(spark, sf_dir):
-    ticks = load(spark, sf_dir)
-    return bars44.terminal(ticks, phase_symbols(spark), HOUR, quality.accepted(ticks)).select("phase", "symbol", "anchor_ns", *FEATURES_44[36:])
+    return bars44.terminal(load(spark, sf_dir), phase_symbols(spark), HOUR).select("phase", "symbol", "anchor_ns", *FEATURES_44[36:])
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:

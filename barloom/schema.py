@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 QUOTE, TRADE = 0, 1
+#: A row that is no tick: a grid begins at its time (and ends at its participant time, where that is set).
+OPEN = -1
 SECOND_NS = 1_000_000_000
 
+# The columns of ticks and of tick files.
 #: One row for each event; the fields of the other side are null. seq is the order of arrival.
 TICKS = T.StructType(
     [

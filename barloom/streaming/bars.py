@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import ship
-from ..schema import FEATURES_5, FEATURES_44
+from ..schema import FEATURES_5, FEATURES_44, OPEN
 from ..sources.ticks import as_ticks
-from .model import FIELDS, FLUSH, OPEN, Compact, Full
+from .model import FIELDS, FLUSH, Compact, Full
 
 STATE = T.StructType([T.StructField("state", T.BinaryType())])
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 
-from ..schema import FEATURES_44, NO_PRICE, NO_SPREAD_BPS, QUOTE, TRADE
+from ..schema import FEATURES_44, NO_PRICE, NO_SPREAD_BPS, OPEN, QUOTE, TRADE
 
 FIELDS = ("sip_ns", "tick_type", "seq", "part_ns", "bid_px", "ask_px", "bid_sz", "ask_sz", "bid_exch", "ask_exch", "price", "size", "trade_exch", "is_dark")
-#: Kinds of rows that aren't ticks: the stream begins at a time; it is known to be complete up to a time.
-OPEN, FLUSH = -1, 9
+#: Beside OPEN (the stream begins at a time) a kind of row that is no tick: the stream is known to be complete up to a time.
+FLUSH = 9
 
 Tick = tuple
 
