@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schema import QUOTE, TRADE
 
 _QUOTE = ("bid_px", "ask_px", "bid_sz", "ask_sz", "sip_ns", "part_ns", "seq")
+_STRUCT = f"CASE WHEN tick_type = {QUOTE} THEN struct({', '.join(_QUOTE)}) END"
 
 
-def _quote_struct() -> Column:
-    return F.when(F.col("tick_type") == QUOTE, F.struct(*_QUOTE))
+def _lagged(lag_ns: int) -> list[str]:
+    """_a: the latest quote at least lag_ns older than the tick; _f: the symbol's first quote."""
+    at = f"CASE WHEN tick_type = {QUOTE} THEN sip_ns + {lag_ns}L ELSE sip_ns END"
+    first = f"min(CASE WHEN tick_type = {QUOTE} THEN struct(sip_ns, seq, bid_px, ask_px, bid_sz, ask_sz, part_ns) END) {text.over('symbol')}"
+    return [f"{text.running(_STRUCT, 'symbol', f'{at}, tick_type, seq')} AS _a", f"{first} AS _f"]
+
+
+_FALLBACK = f"CASE WHEN tick_type = {TRADE} AND _f.sip_ns <= sip_ns THEN struct({', '.join(f'_f.{c}' for c in _QUOTE)}) END"
+_VENUE = f"CASE WHEN tick_type = {QUOTE} THEN bid_exch ELSE trade_exch END"
+_AT_VENUE = f"CASE WHEN {_VENUE} IS NOT NULL THEN {text.running(_STRUCT, f'symbol, {_VENUE}', text.ORDER)} END"
 
 
 def lagged_quote(ticks: DataFrame, lag_ns: int = 1_000_000, name: str = "quote_a") -> DataFrame:
     """Trades and quotes with the latest quote at least lag_ns older than the tick; else the symbol's first quote, if that precedes it."""
-    running = Window.partitionBy("symbol").orderBy("_at", "tick_type", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("symbol")
-    rows = ticks.withColumn("_at", F.when(F.col("tick_type") == QUOTE, F.col("sip_ns") + lag_ns).otherwise(F.col("sip_ns")))
-    rows = rows.withColumn("_a", F.last(_quote_struct(), ignorenulls=True).over(running))
-    first = F.min(F.when(F.col("tick_type") == QUOTE, F.struct("sip_ns", "seq", "bid_px", "ask_px", "bid_sz", "ask_sz", "part_ns"))).over(whole)
-    rows = rows.withColumn("_f", first)
-    fallback = F.when((F.col("tick_type") == TRADE) & (F.col("_f.sip_ns") <= F.col("sip_ns")), F.struct(*(F.col(f"_f.{c}").alias(c) for c in _QUOTE)))
-    return rows.withColumn(name, F.coalesce("_a", fallback)).drop("_at", "_a", "_f")
+    return ticks.selectExpr("*", *_lagged(lag_ns)).selectExpr("*", f"coalesce(_a, {_FALLBACK}) AS {name}").drop("_a", "_f")
 
 
 def venue_quote(ticks: DataFrame, name: str = "quote_b") -> DataFrame:
     """Ticks with the latest quote that precedes them and whose bid is of the trade's venue. The partitioning by symbol serves here too."""
-    venue = F.when(F.col("tick_type") == QUOTE, F.col("bid_exch")).otherwise(F.col("trade_exch"))
-    running = Window.partitionBy("symbol", "_venue").orderBy("sip_ns", "tick_type", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = ticks.withColumn("_venue", venue).withColumn(name, F.last(_quote_struct(), ignorenulls=True).over(running))
-    return out.withColumn(name, F.when(F.col("_venue").isNotNull(), F.col(name))).drop("_venue")
+    return ticks.selectExpr("*", f"{_AT_VENUE} AS {name}")
 
 
 def matched_quote(ticks: DataFrame, lag_ns: int = 1_000_000, venue_not_after: bool = False, keep_quotes: bool = False) -> DataFrame:
@@ -39,16 +39,14 @@ def matched_quote(ticks: DataFrame, lag_ns: int = 1_000_000, venue_not_after: bo
 
     With keep_quotes the other rows stay, without these two.
     """
-    trade = F.col("tick_type") == TRADE
-    both = venue_quote(lagged_quote(ticks, lag_ns))
-    both = both if keep_quotes else both.where(trade)
-    take = F.col("quote_b").isNotNull() & (F.col("quote_b.part_ns") <= F.col("part_ns")) & F.coalesce(F.col("quote_b.sip_ns") > F.col("quote_a.sip_ns"), F.lit(True))
-    if venue_not_after:
-        take = take & (F.col("quote_b.sip_ns") <= F.col("sip_ns"))
-    both = both.withColumn("_take", F.coalesce(take, F.lit(False)))
-    quote = F.when(F.col("_take"), F.col("quote_b")).otherwise(F.col("quote_a"))
-    out = both.withColumn("_q", F.when(trade, quote))
-    return out.withColumn("mid_px", (F.col("_q.bid_px") + F.col("_q.ask_px")) / 2).withColumn("mid_from", F.when(trade, F.when(F.col("_take"), "B").when(F.col("quote_a").isNotNull(), "A"))).drop("_q", "_take", "quote_a", "quote_b")
+    trade = f"tick_type = {TRADE}"
+    both = ticks.selectExpr("*", *_lagged(lag_ns), f"{_AT_VENUE} AS _b")
+    both = (both if keep_quotes else both.where(trade)).selectExpr(*ticks.columns, f"coalesce(_a, {_FALLBACK}) AS _a", "_b")
+    take = "_b IS NOT NULL AND _b.part_ns <= part_ns AND coalesce(_b.sip_ns > _a.sip_ns, true)" + (" AND _b.sip_ns <= sip_ns" if venue_not_after else "")
+    both = both.selectExpr(*ticks.columns, "_a", "_b", f"coalesce({take}, false) AS _take")
+    mid = "CASE WHEN _take THEN (_b.bid_px + _b.ask_px) / 2 ELSE (_a.bid_px + _a.ask_px) / 2 END"
+    origin = "CASE WHEN _take THEN 'B' WHEN _a IS NOT NULL THEN 'A' END"
+    return both.selectExpr(*ticks.columns, f"CASE WHEN {trade} THEN {mid} END AS mid_px", f"CASE WHEN {trade} THEN {origin} END AS mid_from")
 
 
 def point_in_time(quotes: DataFrame, instants: DataFrame, at: str = "at_ns", retention_ns: int | None = None) -> DataFrame:

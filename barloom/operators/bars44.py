@@ -8,129 +8,123 @@ symbol.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lattice import anchor, anchor_inclusive, latest_anchor
+from ..functions import text
 from ..schema import FEATURES_44, OPEN, QUOTE, TRADE
 from .asof import matched_quote
 from .classify import trade_side
-from .grid import last_of, openings, spread_out
-from .quality import checked, quote_valid, trade_valid, without_repeats
+from .grid import openings, spread_out
+from .quality import quote_valid, trade_valid, without_repeats
 
 BAR = ("symbol", "bar_ns")
+IS_QUOTE, IS_TRADE, IS_OPEN = (f"tick_type = {k}" for k in (QUOTE, TRADE, OPEN))
 
 
-def enriched(ticks: DataFrame, lag_ns: int = 1_000_000, cadence: int = 1_000_000_000) -> DataFrame:
-    """Accepted quotes, and trades with mid_px and is_buy; bar_ns is the end of the bar of each.
+def by_symbol(ticks: DataFrame, symbols: DataFrame, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """Accepted ticks of the symbols with OPEN rows, in one partitioning by symbol, which all that follows keeps.
 
-    One shuffle by symbol; what follows sorts within its partitions. OPEN rows (see
-    grid.openings) pass; theirs is the bar before the first.
+    The number of partitions is given, as windows cost more than their bytes tell: Spark would
+    put small shuffles into few tasks.
     """
-    rows = with_openings(ticks)
-    rows = trade_side(matched_quote(rows, lag_ns, keep_quotes=True))
-    return rows.withColumn("bar_ns", anchor(F.col("sip_ns"), cadence) - F.when(F.col("tick_type") == OPEN, F.lit(cadence).cast("long")).otherwise(F.lit(0).cast("long")))
+    known = symbols.select("symbol").distinct()
+    rows = ticks.where(quote_valid() | trade_valid()).join(known, "symbol", "left_semi").select(*ticks.columns)
+    rows = rows.unionAll(openings(ticks, known, start_ns, end_ns))
+    return without_repeats(rows.repartition(int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol"))
 
 
-def with_openings(ticks: DataFrame) -> DataFrame:
-    return without_repeats(ticks.where(quote_valid() | trade_valid() | (F.col("tick_type") == OPEN)))
+def enriched(accepted: DataFrame, lag_ns: int = 1_000_000, cadence: int = 1_000_000_000) -> DataFrame:
+    """Accepted quotes, and trades with mid_px and is_buy; bar_ns is the end of the bar of each. OPEN rows pass; theirs is the bar before the first."""
+    rows = trade_side(matched_quote(accepted, lag_ns, keep_quotes=True))
+    return rows.selectExpr("*", f"{text.anchor('sip_ns', cadence)} - CASE WHEN {IS_OPEN} THEN {cadence}L ELSE 0L END AS bar_ns")
 
 
-def flow() -> list[Column]:
+def flow() -> list[str]:
     """Aggregates: volumes, notionals, counts and mid deltas by side, dark notional."""
-    trade = F.col("tick_type") == TRADE
-    buy, sell = trade & F.col("is_buy"), trade & ~F.col("is_buy")
-    notional = F.col("price") * F.col("size")
-    total = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0.0))
-    dark = F.coalesce(F.col("is_dark"), F.lit(False))
-    mid = F.col("mid_px") > 0
+    buy, sell = f"{IS_TRADE} AND is_buy", f"{IS_TRADE} AND NOT is_buy"
+    total = lambda cond, x: f"coalesce(sum(CASE WHEN {cond} THEN {x} END), 0D)"
+    dark = "coalesce(is_dark, false)"
     return [
-        total(buy, F.col("size")).alias("buy_volume"),
-        total(sell, F.col("size")).alias("sell_volume"),
-        total(buy, notional).alias("buy_notional"),
-        total(sell, notional).alias("sell_notional"),
-        F.count_if(buy).cast("double").alias("buy_trade_count"),
-        F.count_if(sell).cast("double").alias("sell_trade_count"),
-        total(buy & mid, F.col("size") * (F.col("price") - F.col("mid_px"))).alias("buy_mid_delta_notional"),
-        total(sell & mid, F.col("size") * (F.col("mid_px") - F.col("price"))).alias("sell_mid_delta_notional"),
-        total(sell & dark, notional).alias("dark_bid_trade_primitive"),
-        total(buy & dark, notional).alias("dark_ask_trade_primitive"),
+        f"{total(buy, 'size')} AS buy_volume",
+        f"{total(sell, 'size')} AS sell_volume",
+        f"{total(buy, 'price * size')} AS buy_notional",
+        f"{total(sell, 'price * size')} AS sell_notional",
+        f"cast(count_if({buy}) AS double) AS buy_trade_count",
+        f"cast(count_if({sell}) AS double) AS sell_trade_count",
+        f"{total(f'{buy} AND mid_px > 0', 'size * (price - mid_px)')} AS buy_mid_delta_notional",
+        f"{total(f'{sell} AND mid_px > 0', 'size * (mid_px - price)')} AS sell_mid_delta_notional",
+        f"{total(f'{sell} AND {dark}', 'price * size')} AS dark_bid_trade_primitive",
+        f"{total(f'{buy} AND {dark}', 'price * size')} AS dark_ask_trade_primitive",
     ]
 
 
 def centred(rows: DataFrame) -> DataFrame:
     """rows with the weight _w of their bar's trades and their weighted mean price _m: the first pass of the moments."""
-    w = Window.partitionBy(*BAR)
-    size = F.when(F.col("tick_type") == TRADE, F.col("size"))
-    out = rows.withColumn("_w", F.sum(size).over(w))
-    return out.withColumn("_m", F.when(F.col("_w") > 0, F.sum(size * F.col("price")).over(w) / F.col("_w")))
+    whole = lambda x: f"sum(CASE WHEN {IS_TRADE} THEN {x} END) {text.over('symbol, bar_ns')}"
+    return rows.selectExpr("*", f"{whole('size')} AS _w", f"{whole('size * price')} / nullif({whole('size')}, 0D) AS _m")
 
 
-def moments() -> list[Column]:
+def moments() -> list[str]:
     """Aggregates of centred rows: weight, and the second and third weighted sums."""
-    d = F.when(F.col("tick_type") == TRADE, F.col("price") - F.col("_m"))
-    return [F.max("_w").alias("_w"), F.sum(F.col("size") * d * d).alias("_2"), F.sum(F.col("size") * d * d * d).alias("_3")]
+    d = f"CASE WHEN {IS_TRADE} AND _w > 0 THEN price - _m END"
+    return ["max(_w) AS _w", f"sum(size * power({d}, 2)) AS _2", f"sum(size * power({d}, 3)) AS _3"]
 
 
-def deviation_and_skew(bars: DataFrame) -> DataFrame:
-    """Size-weighted population deviation and skew of trade prices; null without a trade, 0 without weight."""
-    std = F.when(F.col("_w") > 0, F.sqrt(F.col("_2") / F.col("_w"))).when(F.col("_w").isNotNull(), 0.0)
-    out = bars.withColumn("trade_vol_std_px", std)
-    s = F.col("trade_vol_std_px")
-    return out.withColumn("trade_vol_skew", F.when((F.col("_w") > 0) & (s > 1e-9), F.col("_3") / (F.col("_w") * s * s * s)).when(s.isNotNull(), 0.0))
+#: Size-weighted population deviation and skew of trade prices; null without a trade, 0 without weight.
+STD = "CASE WHEN _w > 0 THEN sqrt(_2 / _w) WHEN _w IS NOT NULL THEN 0D END"
+SKEW = f"CASE WHEN _w > 0 AND {STD} > 1e-9D THEN _3 / (_w * power({STD}, 3)) WHEN {STD} IS NOT NULL THEN 0D END"
 
 
-def extremes() -> list[Column]:
-    """Aggregates: highs and lows, and the times of the first ticks that reached them."""
-    quote, trade = F.col("tick_type") == QUOTE, F.col("tick_type") == TRADE
+def extremes(cadence: int) -> list[str]:
+    """Aggregates: highs and lows, and how long into the bar the first ticks were that reached them."""
+    price, quote = (lambda c: f"CASE WHEN {IS_TRADE} THEN {c} END"), (lambda c: f"CASE WHEN {IS_QUOTE} THEN {c} END")
 
-    def first_at(column: str, cond: Column, high: bool) -> Column:
+    def first_at(column: str, cond: str, sign: str) -> str:
         # of the ticks with the extreme value the first in order
-        value = -F.col(column) if high else F.col(column)
-        return F.min(F.when(cond, F.struct(value.alias("v"), F.col("sip_ns").alias("t"), F.col("seq").alias("s"))))["t"]
+        return f"cast(min(CASE WHEN {cond} THEN struct({sign}{column} AS v, sip_ns - (bar_ns - {cadence}L) AS t, seq) END).t AS double)"
 
+    sides = [f"{f}({quote(f'{side}_px')}) AS {name}_{side}_px" for side in ("bid", "ask") for name, f in (("high", "max"), ("low", "min"))]
     return [
-        F.max(F.when(trade, F.col("price"))).alias("high_px"),
-        F.min(F.when(trade, F.col("price"))).alias("low_px"),
-        *(f(F.when(quote, F.col(f"{side}_px"))).alias(f"{name}_{side}_px") for side in ("bid", "ask") for name, f in (("high", F.max), ("low", F.min))),
-        first_at("price", trade, True).alias("high_px_ns"),
-        first_at("price", trade, False).alias("low_px_ns"),
-        first_at("ask_px", quote, True).alias("high_ask_px_ns"),
-        first_at("ask_px", quote, False).alias("low_ask_px_ns"),
-    ]
+        f"max({price('price')}) AS high_px", f"min({price('price')}) AS low_px", *sides,
+        f"{first_at('price', IS_TRADE, '-')} AS high_px_ns", f"{first_at('price', IS_TRADE, '')} AS low_px_ns",
+        f"{first_at('ask_px', IS_QUOTE, '-')} AS high_ask_px_ns", f"{first_at('ask_px', IS_QUOTE, '')} AS low_ask_px_ns",
+    ]
+
+
+QUOTE_STATE = ("sip_ns", "seq", "bid_px", "ask_px", "bid_sz", "ask_sz")
 
 
-def last_values(*more: str) -> list[Column]:
+def last_values(*more: str) -> list[str]:
     """Aggregates: what of the state a bar's ticks change, how many there are, and the end of the grid if one begins here. The last quote is one aggregate, so that its fields are of one tick."""
-    quote, trade = F.col("tick_type") == QUOTE, F.col("tick_type") == TRADE
     return [
-        F.max(F.when(quote, F.struct("sip_ns", "seq", "bid_px", "ask_px", "bid_sz", "ask_sz", *more))).alias("_quote"),
-        last_of("price", trade).alias("_trade_px"),
-        F.count_if(quote).alias("_quotes"),
-        F.count_if(trade).alias("_trades"),
-        F.max(F.when(F.col("tick_type") == OPEN, F.col("part_ns"))).alias("_last"),
+        f"max(CASE WHEN {IS_QUOTE} THEN struct({', '.join((*QUOTE_STATE, *more))}) END) AS _quote",
+        f"{text.last_of('price', IS_TRADE)} AS _trade_px",
+        f"count_if({IS_QUOTE}) AS _quotes",
+        f"count_if({IS_TRADE}) AS _trades",
+        f"max(CASE WHEN {IS_OPEN} THEN part_ns END) AS _last",
     ]
 
 
+def aggregates(texts: list[str]) -> list[Column]:
+    return [F.expr(t) for t in texts]
+
+
 def gathered(rows: DataFrame, cadence: int, more: tuple[str, ...] = ()) -> DataFrame:
     """One row for each bar with ticks, of all aggregates, in one pass over the rows."""
-    out = deviation_and_skew(centred(rows).groupBy(*BAR).agg(*flow(), *moments(), *extremes(), *last_values(*more)))
-    for c in ("high_px_ns", "low_px_ns", "high_ask_px_ns", "low_ask_px_ns"):
-        out = out.withColumn(c, (F.col(c) - (F.col("bar_ns") - cadence)).cast("double"))
-    return out.drop("_w", "_2", "_3")
+    out = centred(rows).groupBy(*BAR).agg(*aggregates([*flow(), *moments(), *extremes(cadence), *last_values(*more)]))
+    return out.selectExpr(*(c for c in out.columns if c not in ("_w", "_2", "_3")), f"{STD} AS trade_vol_std_px", f"{SKEW} AS trade_vol_skew")
 
 
-def filled(rows: DataFrame, at: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def filled(rows: DataFrame, at: str, keys: str = "symbol", more: tuple[str, ...] = ()) -> DataFrame:
     """The state in force and running counts at each row, and _first and _last of the grid."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    out = rows.select(
+    out = rows.selectExpr(
         *(c for c in rows.columns if c not in ("_quote", "_trade_px", "_last")),
-        *(F.last(c, ignorenulls=True).over(w).alias(c) for c in ("_quote", "_trade_px")),
-        F.sum("_quotes").over(w).cast("double").alias("quote_idx"), F.sum("_trades").over(w).cast("double").alias("trade_idx"),
-        F.max(F.when(F.col("_last").isNotNull(), F.col(at))).over(whole).alias("_first"), F.max("_last").over(whole).alias("_last"),
+        *(f"{text.running(c, keys, at)} AS {c}" for c in ("_quote", "_trade_px")),
+        *(f"cast(sum({c}) {text.over(keys, at)} AS double) AS {b}" for c, b in (("_quotes", "quote_idx"), ("_trades", "trade_idx"))),
+        f"max(CASE WHEN _last IS NOT NULL THEN {at} END) {text.over(keys)} AS _first", f"max(_last) {text.over(keys)} AS _last",
     )
-    return out.select(*(c for c in out.columns if c != "_quote"), *(F.col("_quote")[f].alias(f"_{f}") for f in rows.schema["_quote"].dataType.names))
+    return out.selectExpr(*(c for c in out.columns if c != "_quote"), *(f"_quote.{c} AS _{c}" for c in (*QUOTE_STATE, *more)))
 
 
 def venues_at_best(rows: DataFrame, side: str, start_ns: int | None = None) -> DataFrame:
@@ -140,69 +134,60 @@ def venues_at_best(rows: DataFrame, side: str, start_ns: int | None = None) -> D
     of these at one price is the number of venues that hold it. So no venue meets a bar, and a
     row costs the same whatever the number of venues. Venues count from start_ns on.
     """
-    px, exch = F.col(f"{side}_px"), F.col(f"{side}_exch")
-    own = (F.col("tick_type") == QUOTE) & exch.between(0, 255)
-    if start_ns is not None:
-        own = own & (F.col("sip_ns") >= start_ns)
-    order = ("sip_ns", "tick_type", "seq")
-    earlier = Window.partitionBy("symbol", "_v").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_v", F.when(own, exch)).withColumn("_was", F.when(F.col("_v").isNotNull(), F.last(px, ignorenulls=True).over(earlier)))
-    opened = F.struct(F.when(F.col("tick_type") == QUOTE, px).alias("px"), F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("d"))
-    ended = F.struct(F.col("_was").alias("px"), F.lit(-1).alias("d"))
-    out = out.withColumn("_e", F.explode(F.when(F.col("_was").isNotNull(), F.array(ended, opened)).otherwise(F.array(opened))))
-    running = Window.partitionBy("symbol", "_at").orderBy(*order, "_d").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_at", F.col("_e.px")).withColumn("_d", F.col("_e.d")).withColumn(f"{side}_venues", F.sum("_d").over(running))
-    return out.where("_d >= 0").drop("_v", "_was", "_e", "_at", "_d")
+    own = f"{IS_QUOTE} AND {side}_exch BETWEEN 0 AND 255" + (f" AND sip_ns >= {start_ns}L" if start_ns is not None else "")
+    venue = f"CASE WHEN {own} THEN {side}_exch END"
+    was = f"CASE WHEN {own} THEN {text.running(f'{side}_px', f'symbol, {venue}', text.ORDER, text.EARLIER)} END"
+    opened = f"struct(CASE WHEN {IS_QUOTE} THEN {side}_px END AS px, CASE WHEN {own} THEN 1 ELSE 0 END AS d)"
+    out = rows.selectExpr("*", f"{was} AS _was")
+    out = out.selectExpr("*", f"explode(CASE WHEN _was IS NOT NULL THEN array(struct(_was AS px, -1 AS d), {opened}) ELSE array({opened}) END) AS _e").selectExpr(*rows.columns, "_e.px AS _px", "_e.d AS _d")
+    held = f"cast(sum(_d) {text.over('symbol, _px', f'{text.ORDER}, _d')} AS double)"
+    return out.selectExpr(*rows.columns, "_d", f"{held} AS {side}_venues").where("_d >= 0").drop("_d")
 
 
 ZERO = FEATURES_44[:8] + FEATURES_44[10:12]
-
-
 VENUES = dict(zip(FEATURES_44[14:16], ("bid", "ask")))
 
 
 def whole_bars(ticks: DataFrame, symbols: DataFrame, cadence: int, lag_ns: int = 1_000_000, start_ns: int | None = None, end_ns: int | None = None, features: list[str] = FEATURES_44[:36]) -> DataFrame:
     """Slots 0 to 35 (or some of them) of the dense grid of whole-cadence bars. The grid begins one bar early, for anchors before the first whole one."""
-    known = symbols.select("symbol").distinct()
-    both = ticks.join(checked(known), "symbol", "left_semi").unionByName(openings(ticks, known, start_ns, end_ns), allowMissingColumns=True)
-    rows, sides = enriched(both, lag_ns, cadence), [side for name, side in VENUES.items() if name in features]
+    return bars_of(by_symbol(ticks, symbols, start_ns, end_ns), cadence, lag_ns, start_ns, features)
+
+
+def bars_of(accepted: DataFrame, cadence: int, lag_ns: int, start_ns: int | None, features: list[str]) -> DataFrame:
+    rows, sides = enriched(accepted, lag_ns, cadence), [side for name, side in VENUES.items() if name in features]
     for side in sides:
         rows = venues_at_best(rows, side, start_ns)
-    state = filled(gathered(rows, cadence, tuple(f"{side}_venues" for side in sides)), "bar_ns")
-    out = spread_out(state, ("symbol",), "bar_ns", cadence, F.col("_first"), latest_anchor(F.col("_last"), cadence))
-    own = lambda c: F.when(F.col("_own"), F.col(c))
-    quotes = F.coalesce(own("_quotes"), F.lit(0)).cast("double")
-    of = lambda c: F.col(f"_{c}")
-    slots = {c: own(c) for c in (*FEATURES_44[:8], *FEATURES_44[10:12], *FEATURES_44[16:22], *FEATURES_44[28:34])}
-    slots |= {"bid_quote_count": quotes, "ask_quote_count": quotes, "nbbo_quote_rate_primitive": quotes}
-    slots |= {"nbbo_staleness_ms_primitive": F.coalesce((F.col("bar_ns") - of("sip_ns")) / 1e6, F.lit(0.0))}
-    slots |= {name: of(f"{side}_venues").cast("double") for name, side in VENUES.items() if side in sides}
-    slots |= {"last_bid_px": of("bid_px"), "last_ask_px": of("ask_px"), "last_bid_sz": of("bid_sz"), "last_ask_sz": of("ask_sz"), "last_trade_px": F.col("_trade_px"), "sip_timestamp": of("sip_ns").cast("double")}
-    slots |= {"quote_idx": F.col("quote_idx"), "trade_idx": F.col("trade_idx")}
-    fill = {c: 0.0 for c in ZERO} | {c: -1.0 for c in FEATURES_44[30:34]}
-    return out.select("symbol", "bar_ns", *((F.coalesce(slots[c], F.lit(fill[c])) if c in fill else slots[c]).alias(c) for c in features))
+    more = tuple(f"{side}_venues" for side in sides)
+    state = filled(gathered(rows, cadence, more), "bar_ns", more=more)
+    out = spread_out(state, ("symbol",), "bar_ns", cadence, "_first", text.latest_anchor("_last", cadence))
+    slots = {c: f"CASE WHEN _own THEN {c} END" for c in (*FEATURES_44[:8], *FEATURES_44[10:12], *FEATURES_44[16:22], *FEATURES_44[28:34])}
+    slots |= dict.fromkeys(("bid_quote_count", "ask_quote_count", "nbbo_quote_rate_primitive"), "CASE WHEN _own THEN cast(_quotes AS double) ELSE 0D END")
+    slots |= {"nbbo_staleness_ms_primitive": "coalesce((bar_ns - _sip_ns) / 1e6D, 0D)"} | {name: f"_{side}_venues" for name, side in VENUES.items()}
+    slots |= {f"last_{c}": f"_{c}" for c in QUOTE_STATE[2:]} | {"last_trade_px": "_trade_px", "sip_timestamp": "cast(_sip_ns AS double)", "quote_idx": "quote_idx", "trade_idx": "trade_idx"}
+    slots |= {c: f"coalesce({slots[c]}, 0D)" for c in ZERO} | {c: f"coalesce({slots[c]}, -1D)" for c in FEATURES_44[30:34]}
+    return out.selectExpr("symbol", "bar_ns", *(f"{slots[c]} AS {c}" for c in features))
 
 
 def terminal(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """Slots 36 to 43 at each phase's anchors, ticks at the anchor included."""
-    rows = with_openings(ticks.unionByName(openings(ticks, phase_symbols, start_ns, end_ns), allowMissingColumns=True))
-    each = rows.join(checked(phase_symbols.select("phase", "offset_ns", "symbol")), "symbol")
-    opens = F.col("tick_type") == OPEN
-    at = F.when(opens, anchor(F.col("sip_ns"), cadence, F.col("offset_ns"))).otherwise(anchor_inclusive(F.col("sip_ns"), cadence, F.col("offset_ns")))
+    return terminal_of(by_symbol(ticks, phase_symbols, start_ns, end_ns), phase_symbols, cadence)
+
+
+def terminal_of(accepted: DataFrame, phase_symbols: DataFrame, cadence: int) -> DataFrame:
     keys = ("phase", "symbol", "offset_ns")
-    state = filled(each.withColumn("anchor_ns", at).groupBy(*keys, "anchor_ns").agg(*last_values()), "anchor_ns", keys)
-    state = spread_out(state, keys, "anchor_ns", cadence, F.col("_first"), latest_anchor(F.col("_last"), cadence, F.col("offset_ns")))
-    names = dict(zip(("bid_px", "ask_px", "bid_sz", "ask_sz"), FEATURES_44[36:40]))
-    return state.select(
-        *keys, "anchor_ns", *(F.col(f"_{a}").alias(b) for a, b in names.items()), F.col("_trade_px").alias("asof_trade_px"),
-        F.col("_sip_ns").cast("double").alias("asof_sip_timestamp"), F.col("quote_idx").alias("asof_quote_idx"), F.col("trade_idx").alias("asof_trade_idx"),
-    )
+    each = accepted.join(phase_symbols.select(*keys), "symbol")
+    at = f"CASE WHEN {IS_OPEN} THEN {text.anchor('sip_ns', cadence, 'offset_ns')} ELSE {text.anchor_inclusive('sip_ns', cadence, 'offset_ns')} END"
+    state = filled(each.selectExpr("*", f"{at} AS anchor_ns").groupBy(*keys, "anchor_ns").agg(*aggregates(last_values())), "anchor_ns", ", ".join(keys))
+    state = spread_out(state, keys, "anchor_ns", cadence, "_first", text.latest_anchor("_last", cadence, "offset_ns"))
+    slots = dict(zip(FEATURES_44[36:], (*(f"_{c}" for c in QUOTE_STATE[2:]), "_trade_px", "cast(_sip_ns AS double)", "quote_idx", "trade_idx")))
+    return state.selectExpr(*keys, "anchor_ns", *(f"{x} AS {c}" for c, x in slots.items()))
 
 
 def frame44(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, lag_ns: int = 1_000_000, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """phase, symbol, anchor_ns and the 44 features. Null stands for what isn't known yet; as_nan() makes it NaN."""
-    state = terminal(ticks, phase_symbols, cadence, start_ns, end_ns).withColumn("bar_ns", F.col("anchor_ns") - F.col("offset_ns"))
-    bars = whole_bars(ticks, phase_symbols, cadence, lag_ns, start_ns, end_ns)
+    rows = by_symbol(ticks, phase_symbols, start_ns, end_ns)
+    state = terminal_of(rows, phase_symbols, cadence).selectExpr("*", "anchor_ns - offset_ns AS bar_ns")
+    bars = bars_of(rows, cadence, lag_ns, start_ns, FEATURES_44[:36])
     return state.join(bars, list(BAR), "left").select("phase", "symbol", "anchor_ns", *FEATURES_44)
 
 

@@ -6,62 +6,59 @@ these rows are filled, so windows run over bars and not over ticks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lattice import anchor, latest_anchor
+from ..functions import text
 from ..schema import FEATURES_5, NO_PRICE, NO_SPREAD_BPS, OPEN
-from .grid import forward, last_of, openings, spread_out
-from .quality import checked, positive
+from .grid import openings, spread_out
 
 KEYS = ("phase", "symbol")
 
 
 def reduced(ticks: DataFrame, phase_symbols: DataFrame, cadence: int) -> DataFrame:
-    """One row for each phase, symbol and bar with ticks: last price, bid and ask, volume; and _begin and _end of the grid on the row that opens it.
+    """One row for each phase, symbol and bar with ticks: last price, bid and ask, volume; and _first and _last of the grid on the row that opens it.
 
     Ticks may hold OPEN rows (see grid.openings); such a row opens the first bar of each phase.
     """
-    rows = ticks.join(checked(phase_symbols.select("phase", "offset_ns", "symbol")), "symbol")
-    rows = rows.withColumn("anchor_ns", anchor(F.col("sip_ns"), cadence, F.col("offset_ns")))
-    opens, tick = F.col("tick_type") == OPEN, F.col("tick_type") != OPEN
+    rows = ticks.join(phase_symbols.select("phase", "offset_ns", "symbol"), "symbol")
+    rows = rows.selectExpr("*", f"{text.anchor('sip_ns', cadence, 'offset_ns')} AS anchor_ns")
+    opens = f"tick_type = {OPEN}"
+    last = lambda c: F.expr(f"{text.last_of(c, f'NOT {opens} AND {text.positive(c)}')}")
     return rows.groupBy("phase", "symbol", "anchor_ns").agg(
-        last_of("price", tick & positive("price")).alias("_trade"),
-        last_of("bid_px", tick & positive("bid_px")).alias("_bid"),
-        last_of("ask_px", tick & positive("ask_px")).alias("_ask"),
-        F.sum(F.when(tick & positive("size"), F.col("size"))).alias("_vol"),
-        F.max(F.when(opens, F.col("anchor_ns"))).alias("_first"),
-        F.max(F.when(opens, latest_anchor(F.col("part_ns"), cadence, F.col("offset_ns")))).alias("_last"),
+        last("price").alias("_trade"),
+        last("bid_px").alias("_bid"),
+        last("ask_px").alias("_ask"),
+        F.expr(f"sum(CASE WHEN NOT {opens} AND {text.positive('size')} THEN size END) AS _vol"),
+        F.expr(f"max(CASE WHEN {opens} THEN anchor_ns END) AS _first"),
+        F.expr(f"max(CASE WHEN {opens} THEN {text.latest_anchor('part_ns', cadence, 'offset_ns')} END) AS _last"),
     )
 
 
-def bar_price(trade: Column, bid: Column, ask: Column) -> Column:
-    """The last trade; before any the mid, or the side that there is; else a fixed price."""
-    return F.coalesce(trade, (bid + ask) / 2, bid, ask, F.lit(NO_PRICE))
+#: The last trade; before any the mid, or the side that there is; else a fixed price.
+BAR_PRICE = f"coalesce(_trade, (_bid + _ask) / 2, _bid, _ask, {NO_PRICE}D)"
 
 
 def states(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """The dense grid with bar price, volume, and bid and ask in force. Ticks before start_ns count for the state only."""
-    both = ticks.unionByName(openings(ticks, phase_symbols, start_ns, end_ns), allowMissingColumns=True)
-    rows = reduced(both, phase_symbols, cadence)
-    whole = Window.partitionBy(*KEYS)
-    filled = rows.select(*KEYS, "anchor_ns", "_vol", *(forward(c, KEYS).alias(c) for c in ("_trade", "_bid", "_ask")), *(F.max(c).over(whole).alias(c) for c in ("_first", "_last")))
-    rows = spread_out(filled, KEYS, "anchor_ns", cadence, F.col("_first"), F.col("_last"))
-    rows = rows.withColumn("price", bar_price(F.col("_trade"), F.col("_bid"), F.col("_ask")))
-    return rows.select(*KEYS, "anchor_ns", "price", F.coalesce(F.when(F.col("_own"), F.col("_vol")), F.lit(0.0)).alias("vol_1s"), F.col("_bid").alias("bid_px"), F.col("_ask").alias("ask_px"))
+    ticks = ticks.select("symbol", "sip_ns", "part_ns", "tick_type", "seq", "bid_px", "ask_px", "price", "size")
+    rows = reduced(ticks.unionAll(openings(ticks, phase_symbols, start_ns, end_ns)), phase_symbols, cadence)
+    keys = ", ".join(KEYS)
+    state = rows.selectExpr(*KEYS, "anchor_ns", "_vol", *(f"{text.running(c, keys, 'anchor_ns')} AS {c}" for c in ("_trade", "_bid", "_ask")), *(f"max({c}) {text.over(keys)} AS {c}" for c in ("_first", "_last")))
+    rows = spread_out(state, KEYS, "anchor_ns", cadence, "_first", "_last")
+    return rows.selectExpr(*KEYS, "anchor_ns", f"{BAR_PRICE} AS price", "coalesce(CASE WHEN _own THEN _vol END, 0D) AS vol_1s", "_bid AS bid_px", "_ask AS ask_px")
 
 
-def log_return(bars: int) -> Column:
+def log_return(bars: int) -> str:
     """Against the bar so many before; before there are so many, against the first."""
-    w = Window.partitionBy(*KEYS).orderBy("anchor_ns")
-    first = F.first("price").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    base = F.coalesce(F.lag("price", bars).over(w), first)
-    return F.when(F.col("price") == base, 0.0).otherwise(F.log(F.col("price") / base))
+    keys = ", ".join(KEYS)
+    base = f"coalesce(lag(price, {bars}) OVER (PARTITION BY {keys} ORDER BY anchor_ns), first(price) {text.over(keys, 'anchor_ns')})"
+    return f"CASE WHEN price = {base} THEN 0D ELSE ln(price / {base}) END"
 
 
 def bars5(ticks: DataFrame, phase_symbols: DataFrame, cadence: int, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """phase, symbol, anchor_ns and the five features, in order."""
     rows = states(ticks, phase_symbols, cadence, start_ns, end_ns)
-    spread = F.when(F.col("bid_px").isNotNull() & F.col("ask_px").isNotNull(), (F.col("ask_px") - F.col("bid_px")) / F.col("price") * 1e4).otherwise(NO_SPREAD_BPS)
-    rows = rows.select(*KEYS, "anchor_ns", log_return(1).alias("log_ret_1s"), log_return(5).alias("log_ret_5s"), log_return(15).alias("log_ret_15s"), "vol_1s", spread.alias("spread_bps"))
-    return rows.select(*KEYS, "anchor_ns", *FEATURES_5)
+    spread = f"CASE WHEN bid_px IS NOT NULL AND ask_px IS NOT NULL THEN (ask_px - bid_px) / price * 1e4D ELSE {NO_SPREAD_BPS}D END"
+    made = dict(zip(FEATURES_5, (log_return(1), log_return(5), log_return(15), "vol_1s", spread)))
+    return rows.selectExpr(*KEYS, "anchor_ns", *(f"{made[c]} AS {c}" for c in FEATURES_5))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schema import AT_MID, QUOTE, TRADE
 from .quality import in_order, quote_valid, trade_valid
 
@@ -14,12 +15,12 @@ def trade_side(rows: DataFrame) -> DataFrame:
 
     mid_px must be null, not NaN, where there is none. Rows that are no trades stay, without a side.
     """
-    trade, w = F.col("tick_type") == TRADE, in_order()
-    before = F.last(F.when(trade, F.col("price")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    sign = F.when(F.col("price") > F.col("mid_px"), True).when(F.col("price") < F.col("mid_px"), False).when(F.col("price") > before, True).when(F.col("price") < before, False)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    side = F.coalesce(F.last(F.when(trade, F.col("_sign")), ignorenulls=True).over(running), F.lit(True))
-    return rows.withColumn("_sign", sign).withColumn("is_buy", F.when(trade, side)).drop("_sign")
+    trade = f"CASE WHEN tick_type = {TRADE} THEN {{}} END"
+    before = text.running(trade.format("price"), "symbol", text.ORDER, text.EARLIER)
+    out = rows.selectExpr("*", f"{before} AS _p")
+    sign = "CASE WHEN price > mid_px THEN true WHEN price < mid_px THEN false WHEN price > _p THEN true WHEN price < _p THEN false END"
+    side = f"coalesce({text.running(trade.format(sign), 'symbol', text.ORDER)}, true)"
+    return out.selectExpr(*rows.columns, f"{trade.format(side)} AS is_buy")
 
 
 def lit_flow(ticks: DataFrame) -> DataFrame:

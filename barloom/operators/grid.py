@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.lattice import anchor, dense, latest_anchor
 from ..schema import OPEN
-from ..sources.ticks import as_ticks
 
 
 def span(ticks: DataFrame) -> DataFrame:
@@ -45,24 +44,25 @@ def earliest(column: str, keys: tuple[str, ...], order: str = "anchor_ns") -> Co
 
 
 def openings(ticks: DataFrame, symbols: DataFrame, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
-    """A control row for each symbol: the grid begins at the first time of all ticks (or start_ns) and ends at the last (or end_ns)."""
-    first = F.lit(start_ns).cast("long") if start_ns is not None else F.col("_t0")
-    last = F.lit(end_ns).cast("long") if end_ns is not None else F.col("_t1")
+    """A control row for each symbol, of the columns of ticks: the grid begins at the first time of all ticks (or start_ns) and ends at the last (or end_ns)."""
     rows = symbols.select("symbol").distinct().crossJoin(F.broadcast(span(ticks)))  # one row on the right
-    return as_ticks(rows.where(first.isNotNull()).select("symbol", first.alias("sip_ns"), last.alias("part_ns"), F.lit(OPEN).alias("tick_type"), F.lit(-1).cast("long").alias("seq")))
+    known = {"symbol": "symbol", "sip_ns": "_t0" if start_ns is None else f"{start_ns}L", "part_ns": "_t1" if end_ns is None else f"{end_ns}L", "tick_type": str(OPEN), "seq": "-1L"}
+    return rows.where("_t0 IS NOT NULL" if start_ns is None else "true").selectExpr(*(f"cast({known.get(f.name, 'null')} AS {f.dataType.simpleString()}) AS {f.name}" for f in ticks.schema))
 
 
-def spread_out(sparse: DataFrame, keys: tuple[str, ...], at: str, cadence: int, begin: Column, end: Column) -> DataFrame:
+def spread_out(sparse: DataFrame, keys: tuple[str, ...], at: str, cadence: int, begin: str, end: str) -> DataFrame:
     """sparse (one row for each point where something happened) with a row for every point from begin to end; _own tells rows that were there.
 
     A row stands for the points up to the next one of its key. So a dense grid needs neither
-    a join nor a shuffle: state is filled on few rows and then spread.
+    a join nor a shuffle: state is filled on few rows and then spread, by two explodes whose
+    arrays don't grow with the gap.
     """
-    following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
-    rows = sparse.withColumn("_begin", begin).withColumn("_end", end).withColumn("_until", F.least(F.coalesce(following - cadence, F.col("_end")), F.col("_end")))
-    rows = rows.withColumn("_from", F.greatest(F.col(at), F.col("_begin"))).where("_from <= _until").withColumnRenamed(at, "_was")
-    out = dense(rows, F.col("_from"), F.col("_until"), cadence, at)
-    return out.withColumn("_own", F.col("_was") == F.col(at)).drop("_was", "_from", "_until", "_begin", "_end")
+    following = f"lead({at}) OVER (PARTITION BY {', '.join(keys)} ORDER BY {at})"
+    rows = sparse.selectExpr("*", f"greatest({at}, {begin}) AS _from", f"least(coalesce({following} - {cadence}L, {end}), {end}) AS _until").where("_from <= _until")
+    chunk = 4096
+    rows = rows.selectExpr("*", f"explode(sequence(_from, _until, {cadence * chunk}L)) AS _run")
+    rows = rows.selectExpr(*(c for c in sparse.columns if c != at), f"{at} AS _was", f"explode(sequence(_run, least(_until, _run + {cadence * (chunk - 1)}L), {cadence}L)) AS {at}")
+    return rows.selectExpr(*sparse.columns, f"_was = {at} AS _own")
 
 
 def last_of(column: str, when: Column | None = None) -> Column:

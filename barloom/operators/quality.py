@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schema import QUOTE, TRADE
 
 #: A universe up to this many symbols is broadcast.
@@ -40,14 +41,6 @@ def first_ticks(ticks: DataFrame, n: int) -> DataFrame:
     return globally_ordered(ticks).limit(n)
 
 
-def checked(small: DataFrame) -> DataFrame:
-    """A configuration table (phases, universe) with a broadcast hint if its rows, counted once, are few; else joins with it shuffle."""
-    rows = getattr(small, "_barloom_rows", None)
-    if rows is None:
-        rows = small._barloom_rows = small.count()
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
-
-
 def in_universe(ticks: DataFrame, universe: DataFrame, rows: int | None = None) -> DataFrame:
     """Ticks of the universe's symbols; broadcast if its size is known to be small."""
     small = F.broadcast(universe) if rows is not None and rows <= BROADCAST_ROWS else universe
@@ -101,12 +94,9 @@ def dedup_micro(ticks: DataFrame) -> DataFrame:
 def without_repeats(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """rows (valid quotes among others) without quotes that repeat the quote before: one window over both streams, no union."""
     columns = ("bid_px", "ask_px", "bid_sz", "ask_sz")
-    earlier = in_order(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_before", F.last(F.when(F.col("tick_type") == QUOTE, F.struct(*columns)), ignorenulls=True).over(earlier))
-    repeat = F.col("tick_type") == QUOTE
-    for c in columns:
-        repeat = repeat & same(c, F.col(f"_before.{c}"))
-    return out.where(~repeat).drop("_before")
+    before = text.running(f"CASE WHEN tick_type = {QUOTE} THEN struct({', '.join(columns)}) END", ", ".join(keys), text.ORDER, text.EARLIER)
+    repeat = " AND ".join(text.same(c, f"_before.{c}") for c in columns)
+    return rows.selectExpr("*", f"{before} AS _before").where(f"NOT (tick_type = {QUOTE} AND {repeat})").drop("_before")
 
 
 def accepted(ticks: DataFrame, sized: bool = False) -> DataFrame:

@@ -31,12 +31,16 @@ def query(f: Query) -> Query:
 
 
 def rnd(c: str, digits: int = 6):
-    return (F.round(F.col(c), digits) + F.lit(0.0)).alias(c)
+    return F.expr(f"round({c}, {digits}) + 0D AS {c}")
+
+
+def rounded(frame: DataFrame, keys: tuple[str, ...], features: list[str], digits: int = 6) -> DataFrame:
+    return frame.selectExpr(*keys, *(f"round({c}, {digits}) + 0D AS {c}" if c in ROUNDED else c for c in features))
 
 
 def phase_symbols(spark: SparkSession, only: str | None = None) -> DataFrame:
-    rows = [(p, i, o, s) for p, i, o in PHASES if only in (None, p) for s in SYMBOLS]
-    return spark.createDataFrame(rows, "phase string, phase_id int, offset_ns long, symbol string")
+    rows = ", ".join(f"('{p}', {i}, {o}L, '{s}')" for p, i, o in PHASES if only in (None, p) for s in SYMBOLS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS v(phase, phase_id, offset_ns, symbol)")
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def compact(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFr
 
 def whole(spark: SparkSession, sf_dir: str, features: list[str]) -> DataFrame:
     bars = bars44.whole_bars(load(spark, sf_dir), phase_symbols(spark), HOUR, MINUTE, features=features)
-    return bars.select("symbol", "bar_ns", *(rnd(c) if c in ROUNDED else F.col(c) for c in features))
+    return rounded(bars, ("symbol", "bar_ns"), features)
 
 
 ROUNDED = {"nbbo_staleness_ms_primitive", "trade_vol_std_px", "trade_vol_skew"}
@@ -183,7 +187,7 @@ bar_query("bar_cum_index", ["quote_idx", "trade_idx"])
 
 def full_frames(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     frames = bars44.frame44(load(spark, sf_dir), phase_symbols(spark, only), HOUR, MINUTE)
-    return frames.select("phase", "symbol", "anchor_ns", *(rnd(c) if c in ROUNDED else F.col(c) for c in FEATURES_44))
+    return rounded(frames, ("phase", "symbol", "anchor_ns"), FEATURES_44)
 
 
 @query
@@ -358,7 +362,7 @@ def stream_bars44(spark, sf_dir):
     from ..streaming.bars import replayed_frames44
 
     frames = replayed_frames44(load(spark, sf_dir), phase_symbols(spark), HOUR, MINUTE)
-    return frames.select("phase", "symbol", "anchor_ns", *(rnd(c) if c in ROUNDED else F.col(c) for c in FEATURES_44))
+    return rounded(frames, ("phase", "symbol", "anchor_ns"), FEATURES_44)
 
 
 @query

@@ -140,18 +140,13 @@ def from_time(ticks: DataFrame, start_ns: int) -> DataFrame:
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.parquet as ticks: views, clicks and signups are quotes, the others trades; prices and sizes follow from value and props."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"))
-    sip = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    quote = F.col("event_type").isin("view", "click", "signup")
-    bid = F.when(F.col("k") % 10 == 0, 0.0).otherwise(50.0 * (1 + F.floor(F.col("value") / 50)))
-    q = lambda c: F.when(quote, c)
-    t = lambda c: F.when(~quote, c)
-    out = e.select(
-        F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), sip.alias("sip_ns"), (sip - F.col("k") * 1000).alias("part_ns"), F.when(quote, QUOTE).otherwise(TRADE).alias("tick_type"), F.col("event_id").alias("seq"),
-        q(bid).alias("bid_px"), q(bid + 10.0 * (1 + F.col("k") % 2)).alias("ask_px"), q(F.lit(1.0)).alias("bid_sz"), q(F.lit(1.0)).alias("ask_sz"), q(F.col("k") % 6).alias("bid_exch"), q((F.col("k") + 1) % 6).alias("ask_exch"),
-        t(5.0 * (1 + F.floor(F.col("value") / 5))).alias("price"), t((1 + F.col("k")).cast("double")).alias("size"), t(F.col("k") % 6).alias("trade_exch"), t(F.col("k") % 10 == 0).alias("is_dark"),
-    )
-    return as_ticks(out)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "unix_micros(cast(ts AS timestamp)) * 1000L AS sip_ns", "user_id", "value", "event_type IN ('view', 'click', 'signup') AS quote", "cast(regexp_extract(props, '[0-9]+', 0) AS int) AS k")
+    bid = "CASE WHEN k % 10 = 0 THEN 0D ELSE 50D * (1 + floor(value / 50)) END"
+    quote = {"bid_px": bid, "ask_px": f"{bid} + 10D * (1 + k % 2)", "bid_sz": "1D", "ask_sz": "1D", "bid_exch": "k % 6", "ask_exch": "(k + 1) % 6"}
+    trade = {"price": "5D * (1 + floor(value / 5))", "size": "cast(1 + k AS double)", "trade_exch": "k % 6", "is_dark": "k % 10 = 0"}
+    known = {"symbol": "concat('S', cast(user_id % 8 AS string))", "sip_ns": "sip_ns", "part_ns": "sip_ns - k * 1000", "tick_type": f"CASE WHEN quote THEN {QUOTE} ELSE {TRADE} END", "seq": "event_id"}
+    known |= {c: f"CASE WHEN quote THEN {x} END" for c, x in quote.items()} | {c: f"CASE WHEN NOT quote THEN {x} END" for c, x in trade.items()}
+    return e.selectExpr(*(f"cast({known[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in TICKS.fields))
 
 
 def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
