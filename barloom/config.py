@@ -38,11 +38,20 @@ class Config:
 
     def phase_symbols(self, spark: SparkSession) -> DataFrame:
         """phase, offset_ns, symbol: one row for each phase of a symbol."""
-        rows = [(p.name, p.id, p.offset_ns, s) for p in self.phases for s in p.symbols]
-        return spark.createDataFrame(rows, "phase string, phase_id int, offset_ns long, symbol string")
+        return rows_of(spark, [(p.name, p.id, p.offset_ns, s) for p in self.phases for s in p.symbols], "phase string, phase_id int, offset_ns long, symbol string")
 
     def universe(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(s, k) for k, s in enumerate(self.symbols)], "symbol string, symbol_index int")
+        return rows_of(spark, [(s, k) for k, s in enumerate(self.symbols)], "symbol string, symbol_index int")
+
+
+def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table held in the plan itself: Spark knows its size, and broadcasts it by that."""
+    import pyarrow as pa
+
+    columns = list(zip(*rows)) or [()] * len(schema.split(","))
+    names = [c.split()[0] for c in schema.split(",")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    return spark.createDataFrame(pa.table([pa.array(list(c), kinds[f.split()[1]]) for c, f in zip(columns, schema.split(","))], names=names), schema)
 
 
 def from_dict(d: dict) -> Config:

@@ -37,16 +37,18 @@ def venue_quote(ticks: DataFrame, name: str = "quote_b") -> DataFrame:
 def matched_quote(ticks: DataFrame, lag_ns: int = 1_000_000, venue_not_after: bool = False, keep_quotes: bool = False) -> DataFrame:
     """Trades with mid_px of their quote: the venue's, if its participant time is no later and it is newer than the lagged one; else the lagged one. mid_from is B or A.
 
-    With keep_quotes the other rows stay, without these two.
+    With keep_quotes the other rows stay, without these two. The lagged quote is a range of the
+    order of time, so it needs no sort of its own.
     """
-    trade = f"tick_type = {TRADE}"
-    both = ticks.selectExpr("*", *_lagged(lag_ns), f"{_AT_VENUE} AS _b")
-    both = (both if keep_quotes else both.where(trade)).selectExpr(*ticks.columns, f"coalesce(_a, {_FALLBACK}) AS _a", "_b")
+    trade, mid = f"tick_type = {TRADE}", "(bid_px + ask_px) / 2 AS mid"
+    quote = lambda *fields: f"CASE WHEN tick_type = {QUOTE} THEN struct({', '.join((*fields, mid))}) END"
+    lagged = f"max({quote('sip_ns', 'seq')}) OVER (PARTITION BY symbol ORDER BY sip_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {lag_ns}L PRECEDING)"
+    rows = ticks.selectExpr("*", f"{lagged} AS _a", f"min({quote('sip_ns', 'seq')}) {text.over('symbol')} AS _f", f"{_VENUE} AS _venue")
+    rows = rows.selectExpr(*ticks.columns, "coalesce(_a, CASE WHEN _f.sip_ns <= sip_ns THEN _f END) AS _a", f"CASE WHEN _venue IS NOT NULL THEN {text.running(quote('sip_ns', 'part_ns'), 'symbol, _venue', text.ORDER)} END AS _b")
+    rows = rows if keep_quotes else rows.where(trade)
     take = "_b IS NOT NULL AND _b.part_ns <= part_ns AND coalesce(_b.sip_ns > _a.sip_ns, true)" + (" AND _b.sip_ns <= sip_ns" if venue_not_after else "")
-    both = both.selectExpr(*ticks.columns, "_a", "_b", f"coalesce({take}, false) AS _take")
-    mid = "CASE WHEN _take THEN (_b.bid_px + _b.ask_px) / 2 ELSE (_a.bid_px + _a.ask_px) / 2 END"
-    origin = "CASE WHEN _take THEN 'B' WHEN _a IS NOT NULL THEN 'A' END"
-    return both.selectExpr(*ticks.columns, f"CASE WHEN {trade} THEN {mid} END AS mid_px", f"CASE WHEN {trade} THEN {origin} END AS mid_from")
+    take = f"coalesce({take}, false)"
+    return rows.selectExpr(*ticks.columns, f"CASE WHEN {trade} THEN CASE WHEN {take} THEN _b.mid ELSE _a.mid END END AS mid_px", f"CASE WHEN {trade} THEN CASE WHEN {take} THEN 'B' WHEN _a IS NOT NULL THEN 'A' END END AS mid_from")
 
 
 def point_in_time(quotes: DataFrame, instants: DataFrame, at: str = "at_ns", retention_ns: int | None = None) -> DataFrame:

@@ -34,10 +34,17 @@ def by_symbol(ticks: DataFrame, symbols: DataFrame, start_ns: int | None = None,
     return without_repeats(rows.repartition(int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol"))
 
 
-def enriched(accepted: DataFrame, lag_ns: int = 1_000_000, cadence: int = 1_000_000_000) -> DataFrame:
-    """Accepted quotes, and trades with mid_px and is_buy; bar_ns is the end of the bar of each. OPEN rows pass; theirs is the bar before the first."""
-    rows = trade_side(matched_quote(accepted, lag_ns, keep_quotes=True))
-    return rows.selectExpr("*", f"{text.anchor('sip_ns', cadence)} - CASE WHEN {IS_OPEN} THEN {cadence}L ELSE 0L END AS bar_ns")
+def enriched(accepted: DataFrame, lag_ns: int = 1_000_000, cadence: int = 1_000_000_000, sides: list[str] | None = None, start_ns: int | None = None) -> DataFrame:
+    """Accepted quotes, and trades with mid_px and is_buy; bar_ns is the end of the bar of each. OPEN rows pass; theirs is the bar before the first.
+
+    sides: those whose venues are counted. The last order begins with the bar, which rises with
+    time, so that the sums by bar that follow need no further sort.
+    """
+    rows = matched_quote(accepted, lag_ns, keep_quotes=True).drop("mid_from")
+    for side in sides or []:
+        rows = venues_at_best(rows, side, start_ns)
+    rows = rows.selectExpr("*", f"{text.anchor('sip_ns', cadence)} - CASE WHEN {IS_OPEN} THEN {cadence}L ELSE 0L END AS bar_ns")
+    return trade_side(rows, f"bar_ns, {text.ORDER}")
 
 
 def flow() -> list[str]:
@@ -135,11 +142,13 @@ def venues_at_best(rows: DataFrame, side: str, start_ns: int | None = None) -> D
     row costs the same whatever the number of venues. Venues count from start_ns on.
     """
     own = f"{IS_QUOTE} AND {side}_exch BETWEEN 0 AND 255" + (f" AND sip_ns >= {start_ns}L" if start_ns is not None else "")
-    venue = f"CASE WHEN {own} THEN {side}_exch END"
-    was = f"CASE WHEN {own} THEN {text.running(f'{side}_px', f'symbol, {venue}', text.ORDER, text.EARLIER)} END"
-    opened = f"struct(CASE WHEN {IS_QUOTE} THEN {side}_px END AS px, CASE WHEN {own} THEN 1 ELSE 0 END AS d)"
-    out = rows.selectExpr("*", f"{was} AS _was")
-    out = out.selectExpr("*", f"explode(CASE WHEN _was IS NOT NULL THEN array(struct(_was AS px, -1 AS d), {opened}) ELSE array({opened}) END) AS _e").selectExpr(*rows.columns, "_e.px AS _px", "_e.d AS _d")
+    out = rows.selectExpr("*", f"CASE WHEN {own} THEN {side}_exch END AS _v")
+    out = out.selectExpr("*", f"CASE WHEN _v IS NOT NULL THEN {text.running(f'{side}_px', 'symbol, _v', text.ORDER, text.EARLIER)} END AS _was")
+    opened = f"struct(CASE WHEN {IS_QUOTE} THEN {side}_px END AS px, CASE WHEN _v IS NOT NULL THEN 1 ELSE 0 END AS d)"
+    ended = "struct(_was AS px, -1 AS d)"
+    # a price that stays neither opens nor ends
+    events = f"CASE WHEN _was IS NULL THEN array({opened}) WHEN _was = {side}_px THEN array(struct({side}_px AS px, 0 AS d)) ELSE array({ended}, {opened}) END"
+    out = out.selectExpr(*rows.columns, f"inline({events}) AS (_px, _d)")
     held = f"cast(sum(_d) {text.over('symbol, _px', f'{text.ORDER}, _d')} AS double)"
     return out.selectExpr(*rows.columns, "_d", f"{held} AS {side}_venues").where("_d >= 0").drop("_d")
 
@@ -154,9 +163,8 @@ def whole_bars(ticks: DataFrame, symbols: DataFrame, cadence: int, lag_ns: int =
 
 
 def bars_of(accepted: DataFrame, cadence: int, lag_ns: int, start_ns: int | None, features: list[str]) -> DataFrame:
-    rows, sides = enriched(accepted, lag_ns, cadence), [side for name, side in VENUES.items() if name in features]
-    for side in sides:
-        rows = venues_at_best(rows, side, start_ns)
+    sides = [side for name, side in VENUES.items() if name in features]
+    rows = enriched(accepted, lag_ns, cadence, sides, start_ns)
     more = tuple(f"{side}_venues" for side in sides)
     state = filled(gathered(rows, cadence, more), "bar_ns", more=more)
     out = spread_out(state, ("symbol",), "bar_ns", cadence, "_first", text.latest_anchor("_last", cadence))

@@ -10,16 +10,17 @@ from ..schema import AT_MID, QUOTE, TRADE
 from .quality import in_order, quote_valid, trade_valid
 
 
-def trade_side(rows: DataFrame) -> DataFrame:
+def trade_side(rows: DataFrame, order: str = text.ORDER) -> DataFrame:
     """is_buy of trades with mid_px: over the mid buys, under it sells; else by the price before; else as the trade before; buys at first.
 
     mid_px must be null, not NaN, where there is none. Rows that are no trades stay, without a side.
+    order: the order of a symbol's ticks, or one that begins with what rises with it.
     """
     trade = f"CASE WHEN tick_type = {TRADE} THEN {{}} END"
-    before = text.running(trade.format("price"), "symbol", text.ORDER, text.EARLIER)
+    before = text.running(trade.format("price"), "symbol", order, text.EARLIER)
     out = rows.selectExpr("*", f"{before} AS _p")
     sign = "CASE WHEN price > mid_px THEN true WHEN price < mid_px THEN false WHEN price > _p THEN true WHEN price < _p THEN false END"
-    side = f"coalesce({text.running(trade.format(sign), 'symbol', text.ORDER)}, true)"
+    side = f"coalesce({text.running(trade.format(sign), 'symbol', order)}, true)"
     return out.selectExpr(*rows.columns, f"{trade.format(side)} AS is_buy")
 
 
