@@ -1,9 +1,15 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Rows of equal texts form a class at once; one of each goes on. A shingle is
-five consecutive words (fewer if the text is shorter), its weight tf * idf. idf falls from
-1, for shingles of few documents, to 0.5 for one that all have; the frequent ones come from
-mergeable summaries of heavy hitters over all texts, whose number has a fixed bound.
+Rows of equal texts form a class at once; one of each goes on. A shingle is five
+consecutive words (fewer if the text is shorter), its weight tf * idf. idf falls with the
+logarithm of the number of distinct texts that have the shingle, from 1 for one text to
+IDF_LEAST for all. It is no lower, as the shingles of a text of thousands of copies are
+frequent by that alone, and the copies should still be alike.
+
+Document frequencies are exact and of all texts: texts go into blocks of bounded bytes, a
+block sends each distinct hash once, with its count, to the task of the hash's range, and
+gets back those that two or more texts have. So a shingle that every text has arrives once
+for each block, not once for each text, and nothing is broadcast or collected.
 
 Each text draws 30 samples: for its shingle s of weight w, with r and c from Gamma(2, 1) and
 b uniform, all fixed by s, t = floor(ln w / r + b), ln a = ln c - r (t - b + 1); the pair
@@ -17,20 +23,24 @@ over BLOCK rows first tries its most central row, the one with the most company
 bands, as a hub for as long as that links; then all rows of different components meet in
 blocks of bounded size. So each pair of a bucket is in one component or was verified.
 
-A pair is a link if its weighted Jaccard similarity is 0.8 or more, or the plain one of its
-shingle sets is. First each text's likeliest pair is verified, then all pairs that the
-links found so far leave in different components. Components give the classes.
+A pair is a link if its weighted Jaccard similarity is 0.8 or more. First each text's
+likeliest pair is verified, then all pairs that the links found so far leave in different
+components. Components give the classes.
 
 Null texts and texts without words are alone. class_id is the least doc_id of a class (a
-null doc_id counts as least). Repeated rows share a class.
+null doc_id counts as least). Repeated rows share a class. Ties of a keeper go to the least
+doc_id, then to any one of equal rows. An empty table gives an empty result. keep_one
+returns exactly the input's columns, whatever their names; classes returns its own two.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +53,18 @@ from .wordhash import mixed, windows, word_hashes, words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, DEPTH = 10, 3, 4
 SAMPLES = BANDS * ROWS
-#: Counters of a summary of heavy hitters. Shingles of more than 2 / HITTERS of all shingle occurrences get an idf under 1; there are fewer than HITTERS.
-HITTERS = 50_000
+#: idf of a shingle that all texts have; that of one text has 1.
+IDF_LEAST = 0.75
+#: Bytes of text of a block, and of hashes of a task that counts.
+BLOCK_BYTES, COUNT_BYTES = 4 << 20, 48 << 20
+#: Levels of document frequency: quarters of a power of two, in a byte.
+PER_DOUBLING = 4
 #: Rows of a bucket that meet in one group at most, twice.
 BLOCK = 256
 TABLE_BITS = 16
 NO_ID = -(1 << 63)
+#: What rounding of sums may lack.
+SLACK = 1e-9
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -57,70 +73,95 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(windows(word_hashes(found), min(SHINGLE, max(1, len(found)))), return_counts=True)
 
 
-class Hitters:
-    """Counts of frequent values: with n values added, each count is short by n / size at most."""
+def in_blocks(source: DataFrame) -> DataFrame:
+    """_b, _key, _t: the texts with the number of their block; a block has BLOCK_BYTES of text, or one longer text. Written, as numbers depend on the task that gave them."""
+    schema = T.StructType([T.StructField("_b", T.LongType()), KEY, T.StructField("_t", T.StringType())])
 
-    def __init__(self, size: int = HITTERS):
-        self.size, self.wait, self.waiting, self.total = size, [], 0, 0
-        self.values, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def add(self, values: np.ndarray) -> None:
-        self.wait.append(values)
-        self.waiting += len(values)
-        self.total += len(values)
-        if self.waiting > 1_000_000:
-            self.settle()
+        number, held = TaskContext.get().partitionId() << 36, 0
+        for batch in batches:
+            at = []
+            for n in pc.binary_length(batch.column(1)).to_pylist():
+                if held and held + n > BLOCK_BYTES:
+                    number, held = number + 1, 0
+                held += n
+                at.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column(0), batch.column(1)], names=schema.names)
 
-    def settle(self) -> None:
-        values, counts = np.unique(np.concatenate([*self.wait, np.empty(0, np.uint64)]), return_counts=True)
-        both = np.concatenate([self.values, values])
-        self.values, at = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(at, np.concatenate([self.counts, counts]), len(self.values)).astype(np.int64)
-        self.wait, self.waiting = [], 0
-        if len(self.values) > self.size:
-            cut = np.partition(self.counts, len(self.counts) - self.size - 1)[len(self.counts) - self.size - 1]
-            keep = self.counts > cut
-            self.values, self.counts = self.values[keep], self.counts[keep] - cut
+    return common.work_table(source.select("_key", "_t").mapInArrow(run, schema), "neardup-blocks")
 
 
-def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of frequent shingles, sorted; their idf). Bounded by HITTERS entries."""
-    schema = T.StructType([T.StructField("_h", T.LongType()), T.StructField("_c", T.LongType()), T.StructField("_docs", T.LongType()), T.StructField("_all", T.LongType())])
+def block_hashes(blocks: DataFrame, ranges: int) -> DataFrame:
+    """_p, _b, _h, _c: for each range of hashes the distinct ones of a block and how many of its texts have each."""
+    schema = T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_b", T.LongType()), T.StructField("_h", T.BinaryType()), T.StructField("_c", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = Hitters(), 0
+        edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+        block, held = None, []
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.add(shingles(t)[0])
-                docs += 1
-        held.settle()
-        n = len(held.values)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([docs], pa.int64()), pa.array([held.total], pa.int64())], names=schema.names)
-        yield pa.RecordBatch.from_arrays([pa.array(held.values.view(np.int64)), pa.array(held.counts), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64))], names=schema.names)
-
-    summary = common.work_table(source.select("_t").mapInArrow(common.tidy(run), schema).groupBy("_h").agg(F.sum("_c").alias("_c"), F.sum("_docs").alias("_docs"), F.sum("_all").alias("_all")), "neardup-hitters")
-    sums = summary.where("_h is null").first()
-    if sums is None or not sums["_all"]:
-        return np.empty(0, np.uint64), np.empty(0)
-    docs, slack = sums["_docs"], sums["_all"] / HITTERS
-    got = summary.where("_h is not null").where(F.col("_c") >= max(1.0, slack)).where(F.col("_c") > 1).select("_h", "_c").collect()
-    common.drop_table(summary)
-    values, counts = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], float)
-    floor = min(max(1.0, 2 * slack), docs)
-    df = np.clip(counts + slack / 2, floor, docs)
-    idf = 0.5 + 0.5 * np.log(docs / df) / max(np.log(docs / floor), 1e-12)
-    order = np.argsort(values)
-    return values[order], idf[order]
-
-
-def weights(hashes: np.ndarray, tf: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = tf.astype(float)
-    values, idf = hot
-    if len(values) and len(hashes):
-        at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-        hit = values[at] == hashes
-        out[hit] *= idf[at[hit]]
-    return out
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != block and held:
+                    yield sent(block, held, edges)
+                    held = []
+                block = b
+                held.append(shingles(t)[0])
+        if held:
+            yield sent(block, held, edges)
+
+    def sent(block: int, held: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        n = n.astype(np.int32)
+        cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+        some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([h[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in some], pa.binary())], names=schema.names)
+
+    return blocks.select("_b", "_t").mapInArrow(common.tidy(run), schema)
+
+
+SHARED = T.StructType([T.StructField("_b", T.LongType()), T.StructField("_h", T.BinaryType()), T.StructField("_l", T.BinaryType())])
+
+
+def shared_hashes(hashes: DataFrame, parts: int) -> DataFrame:
+    """SHARED: back to each block, those of its hashes that two texts or more have, with the levels of their document frequencies. Partitions are sized by counted bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        del got
+        h = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(t.column(3).to_pylist()), np.int32)
+        ends = np.cumsum(np.concatenate([[0], pc.binary_length(t.column(2)).to_numpy() // 8]))
+        _, at = np.unique(h, return_inverse=True)
+        df = np.bincount(at, n)[at]
+        level = levels(df)
+        out: list[tuple] = []
+        for b, i, j in zip(t.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            many = df[i:j] > 1
+            if many.any():
+                out.append((b, h[i:j][many].tobytes(), level[i:j][many].tobytes()))
+        for k in range(0, len(out), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*out[k : k + 2000]), (pa.int64(), pa.binary(), pa.binary()))], names=SHARED.names)
+
+    return hashes.repartition(parts, "_p").select(*hashes.columns).mapInArrow(common.tidy(run), SHARED)
+
+
+def levels(df: np.ndarray) -> np.ndarray:
+    return np.floor(PER_DOUBLING * np.log2(np.maximum(df, 1)) + 1e-9).astype(np.uint8)
+
+
+def weights(tf: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
+    """tf * idf, where n texts would be the highest frequency."""
+    return tf * (1 - (1 - IDF_LEAST) * np.minimum(level / (PER_DOUBLING * np.log2(max(n, 2))), 1))
+
+
+def weighed(text: str, level: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of a text's shingles, their weights)."""
+    h, tf = shingles(text)
+    return h, weights(tf, np.frombuffer(level, np.uint8), n)
 
 
 class Sampler:
@@ -160,33 +201,45 @@ class Sampler:
         return mixed(shingle ^ mixed(level.view(np.uint64) + np.uint64(1)) ^ (pick.astype(np.uint64) << np.uint64(40)))
 
 
-def band_rows(source: DataFrame, hot) -> DataFrame:
-    """(_key, _k0 to _k3): for each text and band the keys by 3, 6, 9 and all samples."""
-    schema = T.StructType([KEY, *(T.StructField(f"_k{d}", T.LongType()) for d in range(DEPTH))])
+@functools.cache
+def sampler() -> Sampler:
+    return Sampler()
+
+
+def band_keys(samples: np.ndarray) -> list[np.ndarray]:
+    """For each depth the keys of all bands: by 3, 6, 9 and all samples."""
+    s = samples.reshape(BANDS, ROWS)
+    part = mixed(s[:, 0] + mixed(s[:, 1] + mixed(s[:, 2])))
+    band = np.arange(BANDS)
+    k, out = mixed(part + band.astype(np.uint64)), []
+    for d in range(DEPTH - 1):
+        out.append(k.view(np.int64).copy())
+        k = mixed(k + part[(band + d + 1) % BANDS])
+    for d in range(DEPTH - 1, BANDS - 1):
+        k = mixed(k + part[(band + d + 1) % BANDS])
+    return [*out, k.view(np.int64).copy()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample, frequent_ones = Sampler(), hot.value
-        for batch in batches:
-            keys, out = [], []
-            for t, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, tf = shingles(t)
-                s = sample(h, weights(h, tf, frequent_ones)).reshape(BANDS, ROWS)
-                part = mixed(s[:, 0] + mixed(s[:, 1] + mixed(s[:, 2])))
-                band = np.arange(BANDS)
-                k, levels = mixed(part + band.astype(np.uint64)), []
-                for d in range(DEPTH - 1):
-                    levels.append(k.view(np.int64).copy())
-                    k = mixed(k + part[(band + d + 1) % BANDS])
-                for d in range(DEPTH - 1, BANDS - 1):
-                    k = mixed(k + part[(band + d + 1) % BANDS])
-                levels.append(k.view(np.int64).copy())
-                keys += [key] * BANDS
-                out.append(np.stack(levels))
-            if out:
-                both = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(both[d]) for d in range(DEPTH))], names=schema.names)
-
-    return source.select("_t", "_key").mapInArrow(common.tidy(run), schema)
+
+def sampled(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """_key, _l, _k0 to _k3: each text with the levels of its shingles, in the order of their hashes, and the keys of its bands (an array for each depth)."""
+    schema = T.StructType([KEY, T.StructField("_l", T.BinaryType()), *(T.StructField(f"_k{d}", T.ArrayType(T.LongType())) for d in range(DEPTH))])
+
+    def run(texts: pa.Table, back: pa.Table) -> pa.Table:
+        h, level = (np.frombuffer(b"".join(back.column(c).to_pylist()), kind) for c, kind in (("_h", np.uint64), ("_l", np.uint8)))
+        order = np.argsort(h)
+        h, level, sample, out = h[order], level[order], sampler(), []
+        for t in texts.column("_t").to_pylist():
+            own, tf = shingles(t)
+            mine = np.zeros(len(own), np.uint8)
+            if len(h):
+                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                hit = h[at] == own
+                mine[hit] = level[at[hit]]
+            out.append((mine.tobytes(), *band_keys(sample(own, weights(tf, mine, n)))))
+        columns = list(zip(*out)) or [()] * (1 + DEPTH)
+        return pa.table([texts.column("_key"), pa.array(columns[0], pa.binary()), *(pa.array([list(k) for k in c], pa.list_(pa.int64())) for c in columns[1:])], names=schema.names)
+
+    return blocks.groupBy("_b").cogroup(shared.groupBy("_b")).applyInArrow(run, schema)
 
 
 def candidate_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,6 +252,7 @@ def candidate_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
         bucket = common.work_table(bucket, f"neardup-buckets-{d}")
         met = rows.join(bucket.select(k, "_size", F.col("_hub.key").alias("_b")), k)
         met = common.work_table(met.select("_key", *(f"_k{j}" for j in range(d + (d > 0), DEPTH)), "_size", "_b"), f"neardup-bands-{d}")
+        common.drop_table(bucket)
         first = first or met
         some = met.where("_key <> _b").select(F.col("_key").alias("_a"), "_b")
         pairs = some if pairs is None else pairs.unionAll(some)
@@ -206,29 +260,27 @@ def candidate_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")), first.select("_key", "_k0", "_size")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, hot) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """The pairs (_a, _b) that are links."""
     schema = T.StructType([T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_ones = hot.value
         last: tuple = (None, None)
         for batch in batches:
             good = []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, b, ta, tb, la, lb in zip(*(c.to_pylist() for c in batch.columns)):
                 if last[0] != b:
-                    last = (b, shingles(tb))
-                (ha, fa), (hb, fb) = shingles(ta), last[1]
-                both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                wa, wb = weights(ha, fa, frequent_ones), weights(hb, fb, frequent_ones)
+                    last = (b, weighed(tb, lb, n))
+                (ha, wa), (hb, wb) = weighed(ta, la, n), last[1]
+                _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
                 low = np.minimum(wa[ia], wb[ib]).sum()
-                if low >= SIMILARITY * (wa.sum() + wb.sum() - low) or len(both) >= SIMILARITY * (len(ha) + len(hb) - len(both)):
+                if low >= SIMILARITY * (wa.sum() + wb.sum() - low) - SLACK:
                     good.append((a, b))
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*good)], names=schema.names)
 
-    a, b = texts.select(F.col("_key").alias("_a"), F.col("_t").alias("_ta")), texts.select(F.col("_key").alias("_b"), F.col("_t").alias("_tb"))
-    return pairs.select("_a", "_b").join(a, "_a").join(b, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(common.tidy(run), schema)
+    side = lambda x: texts.select(F.col("_key").alias(f"_{x}"), F.col("_t").alias(f"_t{x}"), F.col("_l").alias(f"_l{x}"))
+    return pairs.select("_a", "_b").join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", "_ta", "_tb", "_la", "_lb").mapInArrow(common.tidy(run), schema)
 
 
 def open_rows(members_: DataFrame, roots: DataFrame) -> DataFrame:
@@ -253,7 +305,7 @@ def central_pairs(left: DataFrame) -> DataFrame:
     return large.join(hub, "_k0").where("_root <> _rb").select(F.col("_key").alias("_a"), "_b").distinct()
 
 
-def block_links(left: DataFrame, source: DataFrame, hot) -> DataFrame:
+def block_links(left: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """The links (_a, _b) among all pairs of rows of different components of a bucket.
 
     A component of over BLOCK rows of the bucket has blocks of its own, the others share
@@ -269,23 +321,23 @@ def block_links(left: DataFrame, source: DataFrame, hot) -> DataFrame:
     two = common.work_table(two.select("_k0", F.col("_l").alias("_i"), F.col("_m").alias("_j")), "neardup-two")
     to = two.select("_k0", F.col("_i").alias("_l"), "_i", "_j").unionAll(two.where("_i <> _j").select("_k0", F.col("_j").alias("_l"), "_i", "_j"))
     buckets = left.groupBy("_key").agg(F.sort_array(F.collect_list("_k0")).alias("_all"))
-    rows = placed.join(to, ["_k0", "_l"]).join(buckets, "_key").join(source.select("_key", "_t"), "_key").select("_key", "_k0", "_root", "_l", "_i", "_j", "_all", "_t")
+    rows = placed.join(to, ["_k0", "_l"]).join(buckets, "_key").join(texts.select("_key", "_t", F.col("_l").alias("_df")), "_key").select("_key", "_k0", "_root", "_l", "_i", "_j", "_all", "_t", "_df")
     schema = T.StructType([T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType())])
 
     def run(group: pa.Table) -> pa.Table:
         c = group.to_pydict()
-        good = linked_pairs([shingles(t) for t in c["_t"]], hot.value, c["_root"], c["_l"] if c["_i"][0] != c["_j"][0] else None, c["_all"], c["_k0"][0])
+        good = linked_pairs([weighed(t, d, n) for t, d in zip(c["_t"], c["_df"])], c["_root"], c["_l"] if c["_i"][0] != c["_j"][0] else None, c["_all"], c["_k0"][0])
         return pa.table([pa.array([c["_key"][a] for a, _ in good], pa.binary()), pa.array([c["_key"][b] for _, b in good], pa.binary())], names=schema.names)
 
     return rows.groupBy("_k0", "_i", "_j").applyInArrow(run, schema)
 
 
-def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], hot, roots: list, sides: list | None, buckets: list[list[int]], bucket: int) -> list[tuple[int, int]]:
-    """Links of texts of different components (and of different sides, if there are any), without those that earlier ones imply."""
+def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], roots: list, sides: list | None, buckets: list[list[int]], bucket: int) -> list[tuple[int, int]]:
+    """Links of texts (hashes and weights) of different components (and of different sides, if there are any), without those that earlier ones imply."""
     n = len(sets)
     size = np.array([len(h) for h, _ in sets])
     starts = np.concatenate([[0], np.cumsum(size)])
-    w = np.concatenate([weights(h, tf, hot) for h, tf in sets])
+    w = np.concatenate([x for _, x in sets])
     total = np.add.reduceat(w, starts[:-1])
     vocabulary, ids = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
     component = np.unique(np.array([bytes(r).hex() for r in roots]), return_inverse=True)[1]
@@ -293,8 +345,8 @@ def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], hot, roots: list, si
     earlier = [{k for k in x if k < bucket} for x in buckets]
     dense, good = np.zeros(len(vocabulary)), []
     for a in range(n - 1):
-        # a similarity of 0.8 needs totals or sizes within 0.8 of each other
-        near = (np.minimum(total, total[a]) >= SIMILARITY * np.maximum(total, total[a]) - 1e-9) | (np.minimum(size, size[a]) >= SIMILARITY * np.maximum(size, size[a]))
+        # a similarity of 0.8 needs totals within 0.8 of each other
+        near = np.minimum(total, total[a]) >= SIMILARITY * np.maximum(total, total[a]) - SLACK
         some = np.flatnonzero(near & (component != component[a]) & (side != side[a]))
         some = np.array([b for b in some[some > a] if earlier[a].isdisjoint(earlier[b])], np.int64)
         if not len(some):
@@ -303,11 +355,9 @@ def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], hot, roots: list, si
         dense[ids[own]] = w[own]
         first = np.concatenate([[0], np.cumsum(size[some])])[:-1]
         at = np.arange(size[some].sum()) + np.repeat(starts[some] - first, size[some])
-        theirs = dense[ids[at]]
-        low, both = np.add.reduceat(np.minimum(theirs, w[at]), first), np.add.reduceat((theirs > 0).astype(np.int64), first)
+        low = np.add.reduceat(np.minimum(dense[ids[at]], w[at]), first)
         dense[ids[own]] = 0
-        hit = (low >= SIMILARITY * (total[a] + total[some] - low)) | (both >= SIMILARITY * (size[a] + size[some] - both))
-        for b in some[hit].tolist():
+        for b in some[low >= SIMILARITY * (total[a] + total[some] - low) - SLACK].tolist():
             if component[b] != component[a]:
                 good.append((a, b))
                 component[component == component[b]] = component[a]
@@ -320,10 +370,11 @@ def components(links: DataFrame) -> DataFrame:
     roots = None
     while True:
         both = edges.select("_a", "_b").unionAll(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        step = common.work_table(both.groupBy("_a").agg(F.min("_b").alias("_m")).select(F.col("_a").alias("_node"), F.least("_a", "_m").alias("_to")), "hooks")
+        near = common.work_table(both.groupBy("_a").agg(F.min("_b").alias("_m")).select(F.col("_a").alias("_node"), F.least("_a", "_m").alias("_to")), "hooks")
         # one more hop, as a neighbour may itself be hooked
-        far = step.select(F.col("_node").alias("_to"), F.col("_to").alias("_next"))
-        step = common.work_table(step.join(far, "_to", "left").select("_node", F.coalesce("_next", "_to").alias("_to")), "hooks")
+        far = near.select(F.col("_node").alias("_to"), F.col("_to").alias("_next"))
+        step = common.work_table(near.join(far, "_to", "left").select("_node", F.coalesce("_next", "_to").alias("_to")), "hooks")
+        before = [near, edges, step] + ([roots] if roots is not None else [])
         if roots is None:
             new = step.select(F.col("_node").alias("_key"), F.col("_to").alias("_root"))
         else:
@@ -331,7 +382,10 @@ def components(links: DataFrame) -> DataFrame:
         roots = common.work_table(new, "roots")
         a, b = step.select(F.col("_node").alias("_a"), F.col("_to").alias("_ra")), step.select(F.col("_node").alias("_b"), F.col("_to").alias("_rb"))
         edges = common.work_table(edges.join(a, "_a").join(b, "_b").where("_ra <> _rb").select(F.least("_ra", "_rb").alias("_a"), F.greatest("_ra", "_rb").alias("_b")).distinct(), "links")
+        for used in before:
+            common.drop_table(used)
         if edges.isEmpty():
+            common.drop_table(edges)
             return roots
 
 
@@ -339,29 +393,42 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     """(_key, _root) of the texts that are like others; texts that aren't have no row."""
     spark = common.ready(df).sparkSession
     empty = T.StructType([KEY, T.StructField("_root", T.BinaryType())])
-    source, _ = distinct_texts(df, text)
-    hot = spark.sparkContext.broadcast(frequent(source))
-    pairs, met = candidate_pairs(common.work_table(band_rows(source, hot), "neardup-bands"))
+    source, copied = distinct_texts(df, text)
+    blocks = in_blocks(source)
+    common.drop_table(source)
+    common.drop_table(copied)
+    n, size = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], empty)
+    parts = common.partitions(spark, size + size // 2, COUNT_BYTES)  # a hash and a count of 12 bytes for each word of some 8
+    shared = common.work_table(shared_hashes(block_hashes(blocks, parts), parts), "neardup-shared")
+    keyed = common.work_table(sampled(blocks, shared, n), "neardup-samples")
+    common.drop_table(shared)
+    bands = keyed.select("_key", F.inline(F.arrays_zip(*(f"_k{d}" for d in range(DEPTH)))))
+    pairs, met = candidate_pairs(bands)
     pairs = common.work_table(pairs, "neardup-pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], empty)
     nodes = common.work_table(pairs.select(F.col("_a").alias("_key")).unionAll(pairs.select(F.col("_b").alias("_key"))).distinct(), "neardup-nodes")
-    n = nodes.count()
-    texts = common.work_table(source.join(common.small(nodes, n, 64), "_key").select("_key", "_t"), "neardup-texts")
+    wanted = common.small(nodes, nodes.count(), 64)
+    levels_ = keyed.select("_key", "_l").join(wanted, "_key", "left_semi")
+    texts = common.work_table(blocks.select("_key", "_t").join(wanted, "_key", "left_semi").join(levels_, "_key"), "neardup-texts")
+    for used in (blocks, keyed, nodes):
+        common.drop_table(used)
     first = pairs.groupBy("_a").agg(F.max(F.struct("_n", F.col("_b").alias("b"))).alias("_x")).select("_a", F.col("_x.b").alias("_b"))
-    links = common.work_table(alike(first, texts, hot), "neardup-links")
+    links = common.work_table(alike(first, texts, n), "neardup-links")
     roots = components(links)
     at = lambda c: roots.select(F.col("_key").alias(c), F.col("_root").alias(f"{c}r"))
     open_ = pairs.join(first.withColumn("_done", F.lit(True)), ["_a", "_b"], "left_anti").join(at("_a"), "_a", "left").join(at("_b"), "_b", "left")
     open_ = open_.where(F.coalesce("_ar", "_a") != F.coalesce("_br", "_b")).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-    more = common.work_table(alike(common.work_table(open_, "neardup-open"), texts, hot), "neardup-links")
+    more = common.work_table(alike(common.work_table(open_, "neardup-open"), texts, n), "neardup-links")
     if not more.isEmpty():
         links = links.unionAll(more)
         roots = components(links)
     left = open_rows(met, roots)
     while not left.where(F.col("_n") > BLOCK).isEmpty():
         tried = common.work_table(central_pairs(left), "neardup-tried")
-        more = common.work_table(alike(tried, texts, hot), "neardup-links")
+        more = common.work_table(alike(tried, texts, n), "neardup-links")
         found = more.count()
         if found:
             links = links.unionAll(more)
@@ -369,8 +436,7 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
             left = open_rows(met, roots)
         if 4 * found < tried.count():
             break
-    more = common.work_table(block_links(left, texts, hot), "neardup-links")
-    common.drop_table(source)
+    more = common.work_table(block_links(left, texts, n), "neardup-links")
     common.drop_table(texts)
     return roots if more.isEmpty() else components(links.unionAll(more))
 
