@@ -41,6 +41,19 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def append_table(df: DataFrame, name: str, to: DataFrame | None = None) -> DataFrame:
+    """df added to a work table (a new one if there is none): passes of a loop leave files, not a plan that grows."""
+    if to is None:
+        return work_table(df, name)
+    spark, path, schema = df.sparkSession, to._barloom_path, df.schema
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+    del df
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out._barloom_path = path
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a work table that nothing will read again."""
     path = getattr(df, "_barloom_path", None)

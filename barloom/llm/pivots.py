@@ -1,19 +1,25 @@
 """Exact top-k by inner product of integers, with pivot-table elimination.
 
-Every row's distances to a number of pivots are computed once. For a query, the largest
-difference of distances to a pivot is a lower bound of the distance to a row, and with
-both norms that is an upper bound of their inner product. Rows are evaluated in the order
-of their bounds until the next bound is under the k-th best score; so nothing that could
-count is left out, and ties are evaluated. A first k-th best comes from a bounded sample.
-
-Queries go in blocks of a bounded number: a block is broadcast, and every part of the table
-answers with its own k best for each query, which are ranked together.
+Every row's distances to a number of pivots, and to the origin, are computed once. Together
+they fix a row's place in the pivots' span and its distance from that span, so the table
+holds these: coordinates and height. Of all lower bounds of a distance that the pivots
+allow, the greatest is that of two rows whose heights point the same way; with both norms it
+is an upper bound of their inner product: the product of the coordinates plus the product
+of the heights. (The plain bound, the largest difference of distances to one pivot, leaves
+98 % of rows of 64 even dimensions.) Rows are evaluated in the order of their bounds until
+the next bound is under the k-th best score; so nothing that could count is left out, and
+ties are evaluated. A first k-th best comes from a bounded sample.
+
+Queries go in blocks of bounded bytes: a block is broadcast, and every part of the table
+answers with its own k best for each query. Answers of all blocks go into one table.
 
 Components become floor(scale * x), x as double. Null vectors and those with null or
-non-finite components take no part, nor do rows without vec_id. Shorter vectors count as
-padded with zeros. A query is one vec_id, with the least of its vectors if there are
-several; rows repeated as a whole are one candidate, and of several vectors under one
-vec_id the best counts. Scores beyond 64 bits stop at the ends of their range.
+non-finite components take no part, nor do rows without vec_id; an empty table, or one
+without such rows, gives an empty result. Shorter vectors count as padded with zeros. A
+query is one vec_id, with the least of its vectors if there are several; rows repeated as a
+whole are one candidate, and of several vectors under one vec_id the best counts. Scores
+beyond 64 bits stop at the ends of their range. Further columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations
@@ -29,7 +35,9 @@ from pyspark.sql import types as T
 from . import common
 from .ann import usable
 
-PIVOTS, SAMPLE, BLOCK, CHUNK, STEP = 32, 2048, 2048, 8192, 512
+PIVOTS, SAMPLE = 48, 2048
+#: Bytes of a block of queries; rows whose bounds are sorted together; queries bounded at once; rows evaluated between looks at the k-th best.
+BLOCK_BYTES, CHUNK, TOGETHER, STEP = 8 << 20, 8192, 256, 64
 ENDS = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -64,92 +72,137 @@ def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * (x @ pivots.T)))
+def span_of(pivots: np.ndarray) -> np.ndarray:
+    """Orthonormal columns that span the pivots."""
+    if not len(pivots):
+        return np.zeros((pivots.shape[1], 0))
+    u, size, _ = np.linalg.svd(pivots.T, full_matrices=False)
+    return u[:, size > 1e-9 * max(size[0], 1e-300)]
+
+
+def places(x: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """For each row the coordinates in the span, the height over it and the squared norm."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        at, square = x @ span, (x**2).sum(1)
+        return np.column_stack([at, np.sqrt(np.maximum(0, square - (at**2).sum(1))), square])
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of distinct ids, ties to the smaller."""
-    order = np.lexsort((ids, -scores.astype(np.float64), -scores)) if len(scores) else np.empty(0, np.int64)
+    order = np.lexsort((ids, ~scores))  # ~ turns the order round without overflow
     once = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
     return ids[order][once], scores[order][once]
 
 
-def answer(q: np.ndarray, own: int, q_far: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, square: np.ndarray, floor: int, k: int, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+def bounds(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of places, queries by rows, with what rounding could matter; infinite where squares leave the range."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        out = q[:, :-1] @ rows[:, :-1].T + 1e-9 * (q[:, -1:] + rows[None, :, -1]) + 1
+    return np.where(np.isnan(out), np.inf, out)
+
+
+def answer(q: np.ndarray, own: int, bound: np.ndarray, ids: np.ndarray, x: np.ndarray, floor: int, k: int, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     """The k best of held and these rows, and how many rows were evaluated. floor: a score that k rows are known to reach."""
-    gap = np.abs(far - q_far).max(1) if far.shape[1] else np.zeros(len(x))
-    mine = float((q**2).sum())
-    # rounding in the distances could only matter by this much
-    bound = (square + mine - gap * gap) / 2 + 1e-6 * (square + mine) + 1
-    rows = np.flatnonzero((bound >= floor) & (ids != own))
+    least = max(int(held[1][-1]), floor) if len(held[0]) >= k else floor
+    rows = np.flatnonzero(bound >= least)
+    rows = rows[ids[rows] != own]
     rows = rows[np.argsort(-bound[rows], kind="stable")]
-    seen = 0
-    for a in range(0, len(rows), STEP):
-        least = held[1][-1] if len(held[0]) >= k else floor
-        some = rows[a : a + STEP]
-        if bound[some[0]] < max(least, floor):
+    seen, step = 0, max(STEP, 2 * k)
+    for a in range(0, len(rows), step):
+        least = max(int(held[1][-1]), floor) if len(held[0]) >= k else floor
+        some = rows[a : a + step]
+        if bound[some[0]] < least:
             break
-        some = some[bound[some] >= max(least, floor)]
+        some = some[bound[some] >= least]
         seen += len(some)
         score = products(q[None, :], x[some])[0]
         held = best(np.concatenate([held[0], ids[some]]), np.concatenate([held[1], score]), k)
     return held[0], held[1], seen
 
 
-def top(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each id divisible by every its k highest scores."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, places) of up to CHUNK rows, from batches that may be much smaller."""
+
+    def made(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        n = t.num_rows
+        x, place = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.float64).reshape(n, -1) for c in (1, 2))
+        return t.column(0).to_numpy(), x, place
+
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            some = batch.slice(0, CHUNK - n)
+            batch = batch.slice(some.num_rows)
+            held.append(some)
+            n += some.num_rows
+            if n == CHUNK:
+                yield made(held)
+                held, n = [], 0
+    if n:
+        yield made(held)
+
+
+def top(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024.0, vec_id: str = "vec_id", embedding: str = "embedding", counts: tuple | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for each id divisible by every its k highest scores. counts: two accumulators, of pairs evaluated and of all pairs."""
     spark = vectors.sparkSession
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    nothing = spark.createDataFrame([], T.StructType([out[0], T.StructField("rank", T.IntegerType()), out[1], out[2]]))
     good = common.ready(vectors).where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
     dims = good.agg(F.max(F.size("vec"))).first()[0]
     if dims is None:
-        return spark.createDataFrame([], T.StructType([out[0], T.StructField("rank", T.IntegerType()), out[1], out[2]]))
+        return nothing
     sample = good.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).collect()
     sample_ids, sample_x = np.array([r[0] for r in sample], np.int64), whole_numbers([r[1] for r in sample], dims, scale)
-    pivots = spread_pivots(sample_x, PIVOTS)
-    index = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("far", T.BinaryType())])
+    span = span_of(spread_pivots(sample_x, PIVOTS))
+    index = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("place", T.BinaryType())])
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = whole_numbers(batch.column(1).to_pylist(), dims, scale)
-            far = distances(x, pivots)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in far], pa.binary())], names=index.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in places(x, span)], pa.binary())], names=index.names)
 
     pivot_table = common.work_table(good.mapInArrow(common.tidy(tabulate), index), "pivot-table")
-    asked = common.work_table(pivot_table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "far")).alias("q")).select("vec_id", "q.x", "q.far"), "pivot-queries")
-    blocks = max(1, -(-asked.count() // (BLOCK // 2)))
+    asked = common.work_table(pivot_table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "place")).alias("q")).select("vec_id", "q.x", "q.place"), "pivot-queries")
+    most = max(TOGETHER, BLOCK_BYTES // (8 * (dims + span.shape[1] + 3)))
+    blocks = -(-2 * asked.count() // most)  # half full on average, as rows are dealt by hash
     answers = None
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
         if not rows:
             continue
         own = np.array([r[0] for r in rows], np.int64)
-        q, q_far = (np.frombuffer(b"".join(r[c] for r in rows), np.float64).reshape(len(rows), -1) for c in (1, 2))
+        q, q_place = (np.frombuffer(b"".join(r[c] for r in rows), np.float64).reshape(len(rows), -1) for c in (1, 2))
         floors = []
-        for k_, scores in zip(own, products(q, sample_x)):
-            other = sample_ids != k_
-            got = best(sample_ids[other], scores[other], k)[1]
-            floors.append(int(got[-1]) if len(got) >= k else ENDS[0])
-        shared = spark.sparkContext.broadcast((own, q, q_far, floors))
+        for a in range(0, len(own), TOGETHER):
+            for id_, scores in zip(own[a : a + TOGETHER], products(q[a : a + TOGETHER], sample_x)):
+                other = sample_ids != id_
+                got = best(sample_ids[other], scores[other], k)[1]
+                floors.append(int(got[-1]) if len(got) >= k else ENDS[0])
+        shared = spark.sparkContext.broadcast((own, q, q_place, floors))
 
         def evaluate(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, q, q_far, floors = shared.value
+            own, q, q_place, floors = shared.value
             held = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(own)
-            for batch in batches:
-                for a in range(0, batch.num_rows, CHUNK):
-                    part = batch.slice(a, CHUNK)
-                    ids = part.column(0).to_numpy()
-                    x, far = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.float64).reshape(len(ids), -1) for c in (1, 2))
-                    square = (x**2).sum(1)
-                    for n in range(len(own)):
-                        held[n] = answer(q[n], own[n], q_far[n], ids, x, far, square, floors[n], k, held[n])[:2]
+            seen = rows = 0
+            for ids, x, place in chunks(batches):
+                rows += len(ids)
+                for a in range(0, len(own), TOGETHER):
+                    for n, bound in enumerate(bounds(q_place[a : a + TOGETHER], place), a):
+                        found, score, some = answer(q[n], own[n], bound, ids, x, floors[n], k, held[n])
+                        held[n], seen = (found, score), seen + some
+            if counts:
+                counts[0].add(seen)
+                counts[1].add(rows * len(own))
             n = [len(h[0]) for h in held]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]))], names=out.names)
 
-        some = common.work_table(pivot_table.mapInArrow(common.tidy(evaluate), out), "pivot-answers")
-        answers = some if answers is None else answers.unionAll(some)
+        answers = common.append_table(pivot_table.mapInArrow(common.tidy(evaluate), out), "pivot-answers", answers)
+        shared.destroy()
+    common.drop_table(pivot_table)
+    common.drop_table(asked)
     if answers is None:
-        return spark.createDataFrame([], T.StructType([out[0], T.StructField("rank", T.IntegerType()), out[1], out[2]]))
+        return nothing
     once = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
