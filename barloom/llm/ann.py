@@ -1,27 +1,32 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
-Rows of equal vectors form one node; a node keeps the 24 least ids of its rows, as no answer
-can need more. So a vector that a third of all rows share is one node, and its ties come
-out exactly.
+Rows of equal vectors form one node; a node keeps the least ids of its rows, a few more
+than an answer has, as none can need more. So a vector that a third of all rows share is one
+node, and its ties come out exactly. Nodes are told apart by their vectors, not by a hash.
 
 Graph: a component is added to each vector that makes all norms equal, so that inner
 product orders neighbours as distance does. Random hyperplanes put nodes into buckets of
 about a hundred, large ones split by hash, and each bucket gives first neighbours. Then
-rounds of NN-descent: every node goes to the neighbours that it lists and to a sample of
-those that list it; where nodes meet, pairs of which one is new are scored, and each learns
-of the better ones. Rounds end when few lists change. The rounds are Spark joins on node
-ids; vectors travel as bytes with a scale, which only steers the graph.
-
-Search: a query starts at its own node and keeps a beam of the best nodes found. Each round
-expands the best unexpanded ones of all queries together: expansions meet a table of nodes
-with their neighbours' vectors in a join that broadcasts the expansions only below a
-checked size. The best of the beam are scored again on the original vectors in double
-precision, and their rows ranked, ties to the smaller id.
+rounds of NN-descent, as Spark joins on node ids: every node takes together the nodes that
+it lists and a sample of those that list it, drawn already where listings are sent, so that
+no node gathers more than some of each task; where one of them is new, their vectors are
+joined to them, all pairs are scored, and each learns of the better ones. So a node that
+very many list costs no more than any other. Rounds end when few lists change. Vectors
+travel as bytes with a scale, which only steers the graph.
+
+Search: a query starts at its own node and at some entry nodes drawn from all (all nodes, if
+there are no more), so that it finds enough also where the graph falls apart, as between
+opposite clusters. It keeps a beam of the best nodes found. Each round expands the best
+unexpanded ones of all queries together: expansions meet a table of nodes with their
+neighbours' vectors in a join that broadcasts the expansions only below a checked size. The
+best of the beam are scored again on the original vectors in double precision, and their
+rows ranked, ties to the smaller id. Beam, entries and members grow with k.
 
 Null vectors, zero vectors, and those with null or non-finite components take no part, nor
-do rows without vec_id. Shorter vectors count as padded with zeros. Rows repeated as a whole
-are one candidate and one query. If there are fewer candidates, all are returned that the
-graph reaches.
+do rows without vec_id; an empty table, or one without two such vectors, gives an empty
+result. Shorter vectors count as padded with zeros. Rows repeated as a whole are one
+candidate and one query. If there are fewer than k candidates, all are returned. Further
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -40,12 +45,14 @@ from . import common
 #: Neighbours listed, listing nodes sampled, rounds at most, share of changed entries that ends them.
 NEIGHBOURS, LISTED_BY, ROUNDS, SETTLED = 32, 32, 9, 0.005
 TREES, BUCKET = 5, 120
-#: Nodes kept in a beam, expanded in a round, rounds of search, rescored exactly.
-BEAM, EXPAND, SEARCH_ROUNDS, RESCORED = 200, 40, 8, 80
-MEMBERS = 24
+#: Nodes kept in a beam, expanded in a round, rounds of search, rescored exactly, entry nodes: at least, as each but the second and third grows with k.
+BEAM, EXPAND, SEARCH_ROUNDS, RESCORED, ENTRIES = 200, 40, 8, 80, 48
+#: Nodes whose listings are sampled together.
+UNIT = 16_384
 MESSAGE = T.StructType([T.StructField("dest", T.LongType()), T.StructField("node", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("fresh", T.BooleanType()), T.StructField("least", T.FloatType())])
+OFFER = T.StructType([MESSAGE[0], MESSAGE[1], MESSAGE[4]])
 FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType())])
-STATE = T.StructType([T.StructField("node", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType()), T.StructField("fresh", T.BinaryType()), T.StructField("changed", T.IntegerType())])
+STATE = T.StructType([T.StructField("node", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType()), T.StructField("fresh", T.BinaryType()), T.StructField("least", T.FloatType()), T.StructField("changed", T.IntegerType())])
 
 
 def usable(v: Column) -> Column:
@@ -79,15 +86,14 @@ def best_of(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, fresh: np.nd
     return order[place < most]
 
 
-def nodes_of(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes: node, vec, members; rows: vec_id and node of each)."""
+def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes: node, vec, members (the most least ids); rows: vec_id and vec of each). Nodes are written, as their numbers depend on the task that gave them."""
     good = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(embedding)) & F.exists(embedding, lambda x: x != 0))
     # adding 0 turns -0 into 0, which are one value
-    rows = good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x + F.lit(0).cast("float")).alias("vec")).withColumn("node", F.xxhash64("vec"))
-    rows = rows.dropDuplicates(["vec_id", "node"])
-    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("_n") <= MEMBERS)
-    nodes = few.groupBy("node").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("members"))
-    return nodes, rows.select("vec_id", "node")
+    rows = good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x + F.lit(0).cast("float")).alias("vec")).distinct()
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("_n") <= most)
+    nodes = few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    return common.work_table(nodes.select(F.monotonically_increasing_id().alias("node"), "vec", "members"), "ann-nodes"), rows
 
 
 def coded(nodes: DataFrame, dims: int, norm: float) -> DataFrame:
@@ -133,7 +139,7 @@ def meet(messages: DataFrame, parts: int, most: int) -> DataFrame:
         dest = np.array(got["dest"], np.int64)
         order = np.argsort(dest, kind="stable")
         cuts = np.flatnonzero(np.diff(dest[order])) + 1
-        out: list[tuple] = []
+        owners, ids, scores, held = [], [], [], 0
         for group in np.split(order, cuts):
             if len(group) < 2:
                 continue
@@ -151,17 +157,27 @@ def meet(messages: DataFrame, parts: int, most: int) -> DataFrame:
             top = min(most, len(group) - 1)
             pick = np.argpartition(-score, top - 1, axis=1)[:, :top]
             value = np.take_along_axis(score, pick, 1)
-            for k in np.flatnonzero(np.isfinite(value).any(1)):
-                good = np.isfinite(value[k])
-                out.append((int(node[k]), node[pick[k][good]].tobytes(), value[k][good].astype(np.float32).tobytes()))
-            if len(out) > 20_000:
-                yield pack(out)
-                out = []
-        if out:
-            yield pack(out)
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=FOUND.names)
+            row, col = np.nonzero(np.isfinite(value))
+            owners.append(node[row])
+            ids.append(node[pick[row, col]])
+            scores.append(value[row, col].astype(np.float32))
+            held += len(row)
+            if held > 2_000_000:
+                yield from combined(owners, ids, scores)
+                owners, ids, scores, held = [], [], [], 0
+        if held:
+            yield from combined(owners, ids, scores)
+
+    def combined(owners: list, ids: list, scores: list) -> Iterator[pa.RecordBatch]:
+        """What one task found for a node as one row, of no more than a list holds."""
+        owner, id_, score = np.concatenate(owners), np.concatenate(ids), np.concatenate(scores)
+        pick = best_of(owner, id_, score, np.zeros(len(owner), bool), NEIGHBOURS)
+        owner, id_, score = owner[pick], id_[pick], score[pick]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        ends = np.append(first[1:], len(owner))
+        for k in range(0, len(first), 20_000):
+            some = list(zip(first[k : k + 20_000].tolist(), ends[k : k + 20_000].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first[k : k + 20_000]]), pa.array([id_[a:b].tobytes() for a, b in some], pa.binary()), pa.array([score[a:b].tobytes() for a, b in some], pa.binary())], names=FOUND.names)
 
     return messages.repartition(parts, "dest").mapInArrow(common.tidy(run), FOUND)
 
@@ -184,59 +200,77 @@ def learn(state: DataFrame, found: DataFrame, parts: int) -> DataFrame:
         pick = best_of(owner, ids, scores, fresh, NEIGHBOURS)
         owner, ids, scores, fresh = owner[pick], ids[pick], scores[pick], fresh[pick]
         first, last = np.searchsorted(owner, node[home], "left"), np.searchsorted(owner, node[home], "right")
-        rows = [(int(node[k]), got["code"][k], got["scale"][k], ids[a:b].tobytes(), scores[a:b].tobytes(), fresh[a:b].astype(np.uint8).tobytes(), int(fresh[a:b].sum())) for k, a, b in zip(home, first.tolist(), last.tolist())]
+        rows = [(int(node[k]), got["code"][k], got["scale"][k], ids[a:b].tobytes(), scores[a:b].tobytes(), fresh[a:b].astype(np.uint8).tobytes(), float(scores[a:b].min()) if b - a >= NEIGHBOURS else -math.inf, int(fresh[a:b].sum())) for k, a, b in zip(home, first.tolist(), last.tolist())]
         for k in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows[k : k + 10_000]), (pa.int64(), pa.binary(), pa.float32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], names=STATE.names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows[k : k + 10_000]), (pa.int64(), pa.binary(), pa.float32(), pa.binary(), pa.binary(), pa.binary(), pa.float32(), pa.int32()))], names=STATE.names)
 
     return both.repartition(parts, "node").mapInArrow(common.tidy(run), STATE)
 
 
-def spread(state: DataFrame, parts: int, round_: int) -> DataFrame:
-    """Messages of every node to the neighbours that it lists and to a sample of those that list it."""
-    rows = T.StructType([*STATE.fields[:6], T.StructField("by", T.LongType()), T.StructField("by_fresh", T.BooleanType())])
+def offers(state: DataFrame, parts: int, round_: int, every: bool = False) -> DataFrame:
+    """OFFER: for each node (dest) the nodes that it lists and a sample of those that list it; of groups with a fresh one, or of all."""
+    rows = T.StructType([STATE["node"], STATE["ids"], STATE["fresh"], T.StructField("by", T.LongType()), T.StructField("by_fresh", T.BooleanType())])
+
+    def drawn(dest: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Indices of the sample of each dest: the first in an order by hash, so a sample of samples is the sample of all."""
+        draw = (by ^ np.int64(round_ * 7919 + 13)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return best_of(dest, by, -(draw >> np.uint64(11)).astype(np.float64), np.zeros(len(by), bool), LISTED_BY)
+
+    def flat(node: list, ids: list, fresh: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = [len(i) // 8 for i in ids]
+        return np.repeat(np.array(node, np.int64), size), np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(fresh), np.uint8).astype(bool)
 
-    def reverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            got = batch.to_pydict()
-            ids = [np.frombuffer(i, np.int64) for i in got["ids"]]
-            n = sum(map(len, ids))
-            none = lambda t: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(6)] + [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.bool_())], names=rows.names)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), none(pa.binary()), none(pa.float32()), none(pa.binary()), none(pa.binary()), none(pa.binary()), pa.array(np.repeat(np.array(got["node"], np.int64), [len(i) for i in ids])), pa.array(np.frombuffer(b"".join(got["fresh"]), np.uint8).astype(bool))], names=rows.names)
+            blank = [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *blank], names=rows.names)
+            held.append(batch.to_pydict())
+            n += batch.num_rows
+            if n >= UNIT:
+                yield from sent(held)
+                held, n = [], 0
+        if n:
+            yield from sent(held)
+
+    def sent(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        by, dest, fresh = flat(*([x for h in held for x in h[c]] for c in ("node", "ids", "fresh")))
+        pick = drawn(dest, by)
+        if len(pick):
+            none = pa.nulls(len(pick), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(dest[pick]), none, none, pa.array(by[pick]), pa.array(fresh[pick])], names=rows.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = whole(batches, rows.names)
-        listed = [k for k, b in enumerate(got["by"]) if b is not None]
-        dest, by = np.array([got["node"][k] for k in listed], np.int64), np.array([got["by"][k] for k in listed], np.int64)
-        by_fresh = np.array([got["by_fresh"][k] for k in listed], bool)
-        draw = (by ^ np.int64(round_ * 7919 + 13)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        pick = best_of(dest, by, -(draw >> np.uint64(11)).astype(np.float64), np.zeros(len(by), bool), LISTED_BY)
-        dest, by, by_fresh = dest[pick], by[pick], by_fresh[pick]
-        columns: list[list] = [[] for _ in MESSAGE]
-        for k, code in enumerate(got["code"]):
-            if code is None:
-                continue
-            node = got["node"][k]
-            a, b = np.searchsorted(dest, [node, node + 1]) if node < (1 << 63) - 1 else (np.searchsorted(dest, node), len(dest))
-            ids, fresh, scores = np.frombuffer(got["ids"][k], np.int64), np.frombuffer(got["fresh"][k], np.uint8), np.frombuffer(got["scores"][k], np.float32)
-            to: dict[int, bool] = dict(zip(ids.tolist(), (fresh > 0).tolist()))
-            for other, new in zip(by[a:b].tolist(), by_fresh[a:b].tolist()):
-                to[other] = to.get(other, False) or new
-            n = len(to)
-            least = float(scores.min()) if len(scores) >= NEIGHBOURS else -math.inf
-            for column, values in zip(columns, (list(to), [node] * n, [code] * n, [got["scale"][k]] * n, list(to.values()), [least] * n)):
-                column += values
-            if len(columns[0]) > 20_000:
-                yield pack(columns)
-                columns = [[] for _ in MESSAGE]
-        if columns[0]:
-            yield pack(columns)
-
-    def pack(columns: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.float32(), pa.bool_(), pa.float32()))], names=MESSAGE.names)
-
-    return state.select(*STATE.names[:6]).mapInArrow(common.tidy(reverse), rows).repartition(parts, "node").mapInArrow(common.tidy(run), MESSAGE)
+        own = [k for k, i in enumerate(got["ids"]) if i is not None]
+        other = [k for k, b in enumerate(got["by"]) if b is not None]
+        dest, node, fresh = flat(*([got[c][k] for k in own] for c in ("node", "ids", "fresh")))
+        to, by, by_fresh = np.array([got["node"][k] for k in other], np.int64), np.array([got["by"][k] for k in other], np.int64), np.array([got["by_fresh"][k] for k in other], bool)
+        pick = drawn(to, by)
+        dest, node, fresh = np.concatenate([dest, to[pick]]), np.concatenate([node, by[pick]]), np.concatenate([fresh, by_fresh[pick]])
+        if not len(dest):
+            return
+        order = np.lexsort((~fresh, node, dest))
+        dest, node, fresh = dest[order], node[order], fresh[order]
+        once = np.concatenate([[True], (dest[1:] != dest[:-1]) | (node[1:] != node[:-1])])
+        dest, node, fresh = dest[once], node[once], fresh[once]
+        if not every:
+            first = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]]))
+            alive = np.repeat(np.logical_or.reduceat(fresh, first), np.diff(np.append(first, len(dest))))
+            dest, node, fresh = dest[alive], node[alive], fresh[alive]
+        for k in range(0, len(dest), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (dest, node, fresh)], names=OFFER.names)
+
+    return state.select("node", "ids", "fresh").mapInArrow(common.tidy(listings), rows).repartition(parts, "node").mapInArrow(common.tidy(run), OFFER)
+
+
+def spread(state: DataFrame, parts: int, round_: int, every: bool = False) -> DataFrame:
+    """MESSAGE: offers with the vectors of the nodes offered. Ids travel first; a hot node's rows are split in the join."""
+    # written before it is joined, so that the join has shuffles of its own, whose hot partitions Spark can split
+    asked = common.work_table(offers(state, parts, round_, every), "ann-offers")
+    out = asked.join(state.select("node", "code", "scale", "least"), "node").select(*MESSAGE.names)
+    out._barloom_used = asked
+    return out
 
 
 def graph(codes: DataFrame, n: int, dims: int) -> DataFrame:
@@ -252,9 +286,10 @@ def graph(codes: DataFrame, n: int, dims: int) -> DataFrame:
     state = common.work_table(learn(start, meet(split.select(*MESSAGE.names), parts * 2, NEIGHBOURS), parts), "ann-state")
     common.drop_table(messages)
     for k in range(ROUNDS):
-        before = state
-        state = common.work_table(learn(state, meet(spread(state, parts, k), parts * 2, NEIGHBOURS // 2), parts), "ann-state")
+        before, messages = state, spread(state, parts, k)
+        state = common.work_table(learn(state, meet(messages, parts * 2, NEIGHBOURS // 2), parts), "ann-state")
         common.drop_table(before)
+        common.drop_table(messages._barloom_used)
         if state.agg(F.sum("changed")).first()[0] <= SETTLED * n * NEIGHBOURS:
             break
     return state
@@ -281,7 +316,10 @@ def neighbourhoods(state: DataFrame, parts: int) -> DataFrame:
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=schema.names)
 
-    return spread(state, parts, ROUNDS).repartition(parts * 2, "dest").mapInArrow(common.tidy(run), schema)
+    messages = spread(state, parts, ROUNDS, every=True)
+    out = common.work_table(messages.repartition(parts * 2, "dest").mapInArrow(common.tidy(run), schema), "ann-neighbourhoods")
+    common.drop_table(messages._barloom_used)
+    return out
 
 
 BEAMS = T.StructType([T.StructField("node", T.LongType()), T.StructField("query", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType()), T.StructField("done", T.BinaryType()), T.StructField("open", T.IntegerType())])
@@ -323,7 +361,7 @@ def scored(met: DataFrame) -> DataFrame:
     return met.select("node", "ids", "query", "codes", "scales").mapInArrow(common.tidy(run), FOUND)
 
 
-def merged(beams: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+def merged(beams: DataFrame, found: DataFrame, parts: int, beam: int) -> DataFrame:
     """Beams with what was found; what was expanded is marked."""
     blank = F.lit(None).cast("binary")
     both = beams.select("node", "query", "ids", "scores", "done").unionAll(found.select("node", blank, "ids", "scores", blank))
@@ -345,7 +383,7 @@ def merged(beams: DataFrame, found: DataFrame, parts: int) -> DataFrame:
                 d[np.flatnonzero(d == 0)[:EXPAND]] = 1
                 done.append(d)
         done = np.concatenate(done)
-        pick = best_of(owner, ids, scores, done == 0, BEAM)
+        pick = best_of(owner, ids, scores, done == 0, beam)
         owner, ids, scores, done = owner[pick], ids[pick], scores[pick], done[pick]
         first, last = np.searchsorted(owner, node[home], "left"), np.searchsorted(owner, node[home], "right")
         rows = [(int(node[k]), got["query"][k], ids[a:b].tobytes(), scores[a:b].tobytes(), done[a:b].tobytes(), int((done[a:b] == 0).sum())) for k, a, b in zip(home, first.tolist(), last.tolist())]
@@ -354,16 +392,37 @@ def merged(beams: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     return both.repartition(parts, "node").mapInArrow(common.tidy(run), BEAMS)
 
 
-def search(nodes: DataFrame, queries: DataFrame, near: DataFrame, n_queries: int) -> DataFrame:
-    """node, other, place: the best nodes of each query's beam."""
+def entries(nodes: DataFrame, most: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of the first nodes in an order by hash: as many as given, or all."""
+    rows = nodes.orderBy(F.xxhash64("node", F.lit(17)), "node").select("node", "vec").limit(most).collect()
+    x = np.zeros((len(rows), dims), np.float32)
+    for k, r in enumerate(rows):
+        x[k, : len(r[1])] = r[1]
+    return np.array([r[0] for r in rows], np.int64), x
+
+
+def search(nodes: DataFrame, queries: DataFrame, near: DataFrame, n_queries: int, k_: int, dims: int) -> DataFrame:
+    """node, other: the best nodes of each query's beam."""
     spark = nodes.sparkSession
     parts = common.partitions(spark, n_queries, 2_000)
+    beam, rescored = max(BEAM, 4 * k_), max(RESCORED, 4 * k_)
+    # two more than asked for: the query's own node, and one for a row of several vectors
+    from_ids, from_x = entries(nodes, max(ENTRIES, 2 * k_ + 2), dims)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = batch.to_pydict()
-            x = [np.array(v, np.float32) for v in got["vec"]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([np.int64(k).tobytes() for k in got["node"]], pa.binary()), pa.array([np.float32(v @ v).tobytes() for v in x], pa.binary()), pa.array([b"\0"] * len(x), pa.binary()), pa.array([1] * len(x), pa.int32())], names=BEAMS.names)
+            node, ids, scores, query = batch.column(0).to_pylist(), [], [], []
+            for own, v in zip(node, batch.column(1).to_pylist()):
+                q = np.array(v, np.float32)
+                other = from_ids != own
+                i = np.concatenate([[own], from_ids[other]])
+                s = np.concatenate([[q @ q], from_x[other, : len(q)] @ q]).astype(np.float32)
+                order = np.argsort(-s, kind="stable")
+                ids.append(i[order].tobytes())
+                scores.append(s[order].tobytes())
+                query.append(q.tobytes())
+            size = [len(i) // 8 for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (query, ids, scores, [bytes(n) for n in size])), pa.array(size, pa.int32())], names=BEAMS.names)
 
     asked = nodes.join(common.small(queries, n_queries, 16), "node", "left_semi").select("node", "vec")
     beams = common.work_table(asked.mapInArrow(common.tidy(begin), BEAMS), "ann-beams")
@@ -371,7 +430,7 @@ def search(nodes: DataFrame, queries: DataFrame, near: DataFrame, n_queries: int
         step = common.work_table(expansions(beams), "ann-expansions")
         met = near.join(common.small(step, step.count(), 512), "at")
         before = beams
-        beams = common.work_table(merged(beams, scored(met), parts), "ann-beams")
+        beams = common.work_table(merged(beams, scored(met), parts, beam), "ann-beams")
         common.drop_table(before)
         common.drop_table(step)
         if not beams.agg(F.sum("open")).first()[0]:
@@ -381,7 +440,7 @@ def search(nodes: DataFrame, queries: DataFrame, near: DataFrame, n_queries: int
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = batch.to_pydict()
-            ids = [np.frombuffer(i, np.int64)[:RESCORED] for i in got["ids"]]
+            ids = [np.frombuffer(i, np.int64)[:rescored] for i in got["ids"]]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(got["node"], np.int64), [len(i) for i in ids])), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]))], names=schema.names)
 
     return beams.select("node", "ids").mapInArrow(common.tidy(end), schema)
@@ -391,24 +450,28 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k nearest found."""
     spark = vectors.sparkSession
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    nodes, rows = nodes_of(common.ready(vectors), vec_id, embedding)
-    nodes = common.work_table(nodes, "ann-nodes")
+    nodes, rows = nodes_of(common.ready(vectors), vec_id, embedding, k + 4)
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, dims, norm = nodes.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.sqrt(F.max(square))).first()
-    if n < 2:
+    if not n or n == 1 and nodes.where(F.size("members") > 1).isEmpty():
         return spark.createDataFrame([], out)
-    asked = common.work_table(rows.where(F.col("vec_id") % every == 0), "ann-queries")
+    asked = rows.where(F.col("vec_id") % every == 0).join(nodes.select("vec", "node"), "vec").select("vec_id", "node")
+    asked = common.work_table(asked, "ann-queries")
     codes = common.work_table(coded(nodes, dims, norm), "ann-codes")
     state = graph(codes, n, dims)
-    near = common.work_table(neighbourhoods(state, common.partitions(spark, n, 10_000)), "ann-neighbourhoods")
+    near = neighbourhoods(state, common.partitions(spark, n, 10_000))
     queries = common.work_table(asked.select("node").distinct(), "ann-query-nodes")
-    pairs = common.work_table(search(nodes, queries, near, queries.count()), "ann-pairs")
+    pairs = common.work_table(search(nodes, queries, near, queries.count(), k, dims), "ann-pairs")
+    for used in (codes, state, near, queries):
+        common.drop_table(used)
     other = nodes.select(F.col("node").alias("other"), F.col("vec").alias("_v"), "members")
     both = pairs.join(nodes.select("node", "vec"), "node").join(other, "other")
     dot = F.aggregate(F.zip_with("vec", "_v", lambda a, b: F.coalesce(a.cast("double") * b.cast("double"), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     ranked = both.withColumn("score", dot).select("node", "score", F.explode("members").alias("vec_id")).groupBy("node", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
     ranked = common.work_table(ranked.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 4).select("node", "vec_id", "score"), "ann-ranked")
+    common.drop_table(pairs)
+    common.drop_table(nodes)
     answer = asked.select(F.col("vec_id").alias("query_id"), "node").join(ranked, "node").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answer.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

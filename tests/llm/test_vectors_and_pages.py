@@ -65,6 +65,48 @@ def test_neighbours_of_odd_vectors(spark):
     assert answers(ann.nearest(df.where("vec_id in (20, 7)")))[20][0][0] == 7
 
 
+def test_all_candidates_if_there_are_few(spark):
+    """Opposite vectors and clusters, which no bucket and no edge of the graph joins."""
+    rng = np.random.default_rng(4)
+    two = spark.createDataFrame([(20, [1.0, 2.0]), (7, [-1.0, -2.0])], "vec_id long, embedding array<float>")
+    assert answers(ann.nearest(two)) == {20: [(7, -5.0)]}
+    x = np.concatenate([rng.normal(0, 0.01, (10, 8)) + 1, rng.normal(0, 0.01, (10, 8)) - 1]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = answers(ann.nearest(df))
+    assert sorted(v for v, _ in got[0]) == list(range(1, 20))
+    same = spark.createDataFrame([(k, [0.5, 0.5]) for k in range(0, 60)], "vec_id long, embedding array<float>")
+    assert [v for v, _ in answers(ann.nearest(same))[20]] == [v for v in range(21) if v != 20][:20]
+
+
+def test_many_neighbours_of_few_vectors(spark):
+    """k over every fixed size: ties of equal vectors, and more than a beam."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 120, 0), rng.normal(size=(380, 8))])
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = answers(ann.nearest(df, k=110, every=100))
+    assert all(len(v) == 110 for v in got.values()) and [v for v, _ in got[0]] == list(range(1, 111))
+    s = x.astype(float) @ x[400].astype(float)
+    s[400] = -np.inf
+    want = np.lexsort((np.arange(500), -s))[:110]
+    assert len({v for v, _ in got[400]} & set(want.tolist())) >= 100
+
+
+def test_recall_where_the_beam_is_small(spark):
+    """12,000 vectors, a hub that very many are near to among them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:4000] = x[0] + 0.7 * x[:4000]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, hits = answers(ann.nearest(df, every=200)), []
+    for q in range(0, 12_000, 200):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits.append(len(set(np.lexsort((np.arange(len(x)), -s))[:20].tolist()) & {v for v, _ in got[q]}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_recall_of_the_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()]
     ids = np.array([i for i, _ in rows])
@@ -85,15 +127,37 @@ def test_exact_top_k_of_odd_vectors(spark):
     assert pivots.top(df.where("vec_id < 0")).count() == 0 and answers(pivots.top(df.where("vec_id in (100, 1)")))[100][0][0] == 1
 
 
-def test_exact_top_k_stops_early():
+@pytest.mark.parametrize("kind, most", [("even", 0.45), ("clusters", 0.1)])
+def test_exact_top_k_over_blocks_leaves_most_rows(spark, monkeypatch, kind, most):
+    """Through the operator, over several blocks of queries and chunks of rows, with the share of pairs that was evaluated."""
+    monkeypatch.setattr(pivots, "BLOCK_BYTES", 64 << 10)
+    monkeypatch.setattr(pivots, "TOGETHER", 16)
+    monkeypatch.setattr(pivots, "CHUNK", 1500)
     rng = np.random.default_rng(1)
-    x = np.floor(1024 * np.concatenate([rng.normal(0, 0.05, (400, 8)) + c for c in np.eye(8)]))
-    p = pivots.spread_pivots(x[::5], 32)
-    far, ids = pivots.distances(x, p), np.arange(len(x))
-    got = pivots.answer(x[3], 3, far[3], ids, x, far, (x**2).sum(1), pivots.ENDS[0], 10, (np.empty(0, np.int64), np.empty(0, np.int64)))
-    s = pivots.products(x[3][None, :], x)[0]
-    want = [i for i in np.lexsort((ids, -s)) if i != 3][:10]
-    assert got[0].tolist() == want and got[2] < len(x) / 2
+    x = rng.normal(size=(6000, 64)) if kind == "even" else np.repeat(rng.normal(size=(60, 64)), 100, 0) + rng.normal(0, 0.2, (6000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    counts = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+    got = answers(pivots.top(df, every=25, counts=counts))
+    whole, ids = np.floor(1024 * x.astype(float)).astype(np.int64), np.arange(6000)
+    for q in range(0, 6000, 25):
+        s = whole @ whole[q]
+        s[q] = -(1 << 50)
+        order = np.lexsort((ids, -s))[:10]
+        assert got[q] == list(zip(order.tolist(), s[order].tolist()))
+    assert counts[1].value == 6000 * 240 and 0 < counts[0].value / counts[1].value < most
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(500, 20)) * 1024)
+    for n in (0, 3, 19, 20, 60):
+        span = pivots.span_of(pivots.spread_pivots(x[:100], n) if n else x[:0])
+        place = pivots.places(x, span)
+        assert (pivots.bounds(place[:50], place) >= x[:50] @ x.T).all()
+    huge = np.full((2, 20), 1e200)
+    assert (pivots.bounds(pivots.places(huge, span), pivots.places(huge, span)) == np.inf).all()
+    assert pivots.best(np.array([1, 2, 3]), np.array([-(1 << 63), 5, (1 << 63) - 1]), 2)[0].tolist() == [3, 2]
 
 
 def test_large_numbers():
