@@ -239,6 +239,49 @@ CASES = {
 }
 
 
+#: Names and tags that speak of boilerplate without being it.
+WRAPPERS = {
+    '<div class="content-sidebar-wrap"><main><article><p>kept</p></article></main></div>': "kept",
+    '<article class="post comments-open"><p>kept</p></article>': "kept",
+    '<form id="aspnet"><div><h1>T</h1><p>kept text of the whole page</p></div></form>': "T kept text of the whole page",
+    "<article data-u=http://x/><p>kept</p></article>": "kept",
+    '<article><div class="search-engine-history"><p>kept</p></div><div class="ad-slot">a</div><ul class="share-buttons"><li>s</ul><div class="left-sidebar-wrap">l</div></article>': "kept",
+    '<div id="content"><p>kept words that are many</p></div><div class="user-comments"><p>c</p></div><div id=site-footer>f</div>': "kept words that are many",
+}
+
+
+def test_wrappers_stay():
+    for body, want in WRAPPERS.items():
+        assert boilerplate.text_of(boilerplate.parse(f"<html><body>{body}</body></html>"), frozenset()) == want, body
+
+
+def test_templates_decide_what_names_do_not_tell(spark):
+    """Text that changes where recurring subtrees aren't deleted: within articles, and on pages without any mark."""
+    box = "<div><p>Get ten letters for the price of nine</p></div><ul><li>one offer</li><li>two offers</li></ul>"
+    rows = [(k, f"http://a.com/{k}", f"<body><article><h1>Head {k}</h1><p>same passage</p><p>text {k} of some length and more</p>{box}<table><tr><td>own {k}</td></tr></table></article></body>") for k in range(12)]
+    rows += [(100 + k, f"http://b.com/{k}", f"<body><div>Home About Contact</div><div><p>story {k} that is told at length here</p></div>{box}</body>") for k in range(12)]
+    # four different pages make no template, five do; copies of one page count once
+    rows += [(200 + k, f"http://c.com/{k}", f"<body><article><p>page {k} with words of its own</p>{box}</article></body>") for k in range(4)]
+    rows += [(300 + k, f"http://d.com/{k}", f"<body><article><p>page {k} with words of its own</p>{box}</article></body>") for k in range(5)]
+    rows += [(400 + k, f"http://e.com/{k}", f"<body><article><p>one page with words of its own</p>{box}</article></body>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in boilerplate.extract(df).collect()}
+    assert got[3] == "Head 3 same passage text 3 of some length and more own 3"
+    assert got[103] == "story 3 that is told at length here"
+    offers = "Get ten letters for the price of nine one offer two offers"
+    assert got[201] == f"page 1 with words of its own {offers}" and got[301] == "page 1 with words of its own" and got[404] == f"one page with words of its own {offers}"
+    plain = {r.page_id: r.text for r in boilerplate.extract(df, least_pages=1000).collect()}
+    assert sum(plain[k] != got[k] for k in got) == 29
+
+
+def test_lists_of_many_hosts_meet_their_pages_by_shuffle(spark, monkeypatch):
+    rows = [(100 * h + k, f"http://h{h}.com/{k}", f"<body><div>Home About {h}</div><div><p>story {k} that is told at length here</p></div></body>") for h in range(3) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, boilerplate.extract(df).collect()))
+    monkeypatch.setattr(boilerplate.common, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, boilerplate.extract(df).collect())) == want and want[0][2] == "story 0 that is told at length here"
+
+
 def test_main_text(spark):
     for main, want in CASES.items():
         assert boilerplate.text_of(boilerplate.parse(PAGE.format(main=main)), frozenset()) == want
