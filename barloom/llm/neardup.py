@@ -115,11 +115,21 @@ def block_hashes(blocks: DataFrame, ranges: int) -> DataFrame:
         n = n.astype(np.int32)
         cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
         some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([h[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in some], pa.binary())], names=schema.names)
+        small = np.uint8 if n.max() < 256 else np.int32
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([thin(h[a:b]) for _, a, b in some], pa.binary()), pa.array([n[a:b].astype(small).tobytes() for _, a, b in some], pa.binary())], names=schema.names)
 
     return blocks.select("_b", "_t").mapInArrow(common.tidy(run), schema)
 
 
+def thin(h: np.ndarray) -> bytes:
+    """Rising hashes as steps, byte by byte: the high bytes of steps are mostly zero, which a shuffle's compression takes out."""
+    return np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def thick(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 SHARED = T.StructType([T.StructField("_b", T.LongType()), T.StructField("_h", T.BinaryType()), T.StructField("_l", T.BinaryType())])
 
 
@@ -132,9 +142,11 @@ def shared_hashes(hashes: DataFrame, parts: int) -> DataFrame:
             return
         t = pa.Table.from_batches(got)
         del got
-        h = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(t.column(3).to_pylist()), np.int32)
-        ends = np.cumsum(np.concatenate([[0], pc.binary_length(t.column(2)).to_numpy() // 8]))
+        each = [thick(b) for b in t.column(2).to_pylist()]
+        ends = np.cumsum([0, *map(len, each)])
+        n = np.concatenate([np.frombuffer(b, np.uint8 if len(b) == len(h) else np.int32) for b, h in zip(t.column(3).to_pylist(), each)])
+        h = np.concatenate(each)
+        del each
         _, at = np.unique(h, return_inverse=True)
         df = np.bincount(at, n)[at]
         level = levels(df)
@@ -221,8 +233,8 @@ def band_keys(samples: np.ndarray) -> list[np.ndarray]:
 
 
 def sampled(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
-    """_key, _l, _k0 to _k3: each text with the levels of its shingles, in the order of their hashes, and the keys of its bands (an array for each depth)."""
-    schema = T.StructType([KEY, T.StructField("_l", T.BinaryType()), *(T.StructField(f"_k{d}", T.ArrayType(T.LongType())) for d in range(DEPTH))])
+    """_key, _t, _l, _k0 to _k3: each text with the levels of its shingles, in the order of their hashes, and the keys of its bands (an array for each depth)."""
+    schema = T.StructType([KEY, T.StructField("_t", T.StringType()), T.StructField("_l", T.BinaryType()), *(T.StructField(f"_k{d}", T.ArrayType(T.LongType())) for d in range(DEPTH))])
 
     def run(texts: pa.Table, back: pa.Table) -> pa.Table:
         h, level = (np.frombuffer(b"".join(back.column(c).to_pylist()), kind) for c, kind in (("_h", np.uint64), ("_l", np.uint8)))
@@ -237,7 +249,7 @@ def sampled(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 mine[hit] = level[at[hit]]
             out.append((mine.tobytes(), *band_keys(sample(own, weights(tf, mine, n)))))
         columns = list(zip(*out)) or [()] * (1 + DEPTH)
-        return pa.table([texts.column("_key"), pa.array(columns[0], pa.binary()), *(pa.array([list(k) for k in c], pa.list_(pa.int64())) for c in columns[1:])], names=schema.names)
+        return pa.table([texts.column("_key"), texts.column("_t"), pa.array(columns[0], pa.binary()), *(pa.array([list(k) for k in c], pa.list_(pa.int64())) for c in columns[1:])], names=schema.names)
 
     return blocks.groupBy("_b").cogroup(shared.groupBy("_b")).applyInArrow(run, schema)
 
@@ -404,6 +416,7 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     shared = common.work_table(shared_hashes(block_hashes(blocks, parts), parts), "neardup-shared")
     keyed = common.work_table(sampled(blocks, shared, n), "neardup-samples")
     common.drop_table(shared)
+    common.drop_table(blocks)
     bands = keyed.select("_key", F.inline(F.arrays_zip(*(f"_k{d}" for d in range(DEPTH)))))
     pairs, met = candidate_pairs(bands)
     pairs = common.work_table(pairs, "neardup-pairs")
@@ -411,9 +424,8 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
         return spark.createDataFrame([], empty)
     nodes = common.work_table(pairs.select(F.col("_a").alias("_key")).unionAll(pairs.select(F.col("_b").alias("_key"))).distinct(), "neardup-nodes")
     wanted = common.small(nodes, nodes.count(), 64)
-    levels_ = keyed.select("_key", "_l").join(wanted, "_key", "left_semi")
-    texts = common.work_table(blocks.select("_key", "_t").join(wanted, "_key", "left_semi").join(levels_, "_key"), "neardup-texts")
-    for used in (blocks, keyed, nodes):
+    texts = common.work_table(keyed.select("_key", "_t", "_l").join(wanted, "_key", "left_semi"), "neardup-texts")
+    for used in (keyed, nodes):
         common.drop_table(used)
     first = pairs.groupBy("_a").agg(F.max(F.struct("_n", F.col("_b").alias("b"))).alias("_x")).select("_a", F.col("_x.b").alias("_b"))
     links = common.work_table(alike(first, texts, n), "neardup-links")

@@ -97,7 +97,7 @@ FROM ruled
 OP4_SQL = r"""
 WITH main AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '') AS a FROM pages),
 plain AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(?:b|i|a|em|strong|span)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM main),
-decoded AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM plain),
+decoded AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS t FROM plain),
 done AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM done
 """
