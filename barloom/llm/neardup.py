@@ -73,24 +73,40 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(windows(word_hashes(found), min(SHINGLE, max(1, len(found)))), return_counts=True)
 
 
+TEXTS = pa.schema([("_key", pa.binary()), ("_t", pa.string())])
+
+
+def packed(keys: list[bytes], texts: list[str]) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(pa.record_batch([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], schema=TEXTS))
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
 def in_blocks(source: DataFrame) -> DataFrame:
-    """_b, _key, _t: the texts with the number of their block; a block has BLOCK_BYTES of text, or one longer text. Written, as numbers depend on the task that gave them."""
-    schema = T.StructType([T.StructField("_b", T.LongType()), KEY, T.StructField("_t", T.StringType())])
+    """_b, _z: the texts in blocks of BLOCK_BYTES, or of one longer text, compressed, as they are shuffled once. Written, as numbers depend on the task that gave them."""
+    schema = T.StructType([T.StructField("_b", T.LongType()), T.StructField("_z", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 36, 0
+        number, size, keys, texts = TaskContext.get().partitionId() << 36, 0, [], []
         for batch in batches:
-            at = []
-            for n in pc.binary_length(batch.column(1)).to_pylist():
-                if held and held + n > BLOCK_BYTES:
-                    number, held = number + 1, 0
-                held += n
-                at.append(number)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column(0), batch.column(1)], names=schema.names)
+            for key, t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.binary_length(batch.column(1)).to_pylist()):
+                if keys and size + n > BLOCK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed(keys, texts)], pa.binary())], names=schema.names)
+                    number, size, keys, texts = number + 1, 0, [], []
+                size += n
+                keys.append(key)
+                texts.append(t)
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed(keys, texts)], pa.binary())], names=schema.names)
 
-    return common.work_table(source.select("_key", "_t").mapInArrow(run, schema), "neardup-blocks")
+    return common.work_table(source.select("_key", "_t").mapInArrow(common.tidy(run), schema), "neardup-blocks")
 
 
 def block_hashes(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -99,16 +115,9 @@ def block_hashes(blocks: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-        block, held = None, []
         for batch in batches:
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b != block and held:
-                    yield sent(block, held, edges)
-                    held = []
-                block = b
-                held.append(shingles(t)[0])
-        if held:
-            yield sent(block, held, edges)
+            for b, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield sent(b, [shingles(t)[0] for t in unpacked(block.as_buffer()).column("_t").to_pylist()], edges)
 
     def sent(block: int, held: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -118,7 +127,7 @@ def block_hashes(blocks: DataFrame, ranges: int) -> DataFrame:
         small = np.uint8 if n.max() < 256 else np.int32
         return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([thin(h[a:b]) for _, a, b in some], pa.binary()), pa.array([n[a:b].astype(small).tobytes() for _, a, b in some], pa.binary())], names=schema.names)
 
-    return blocks.select("_b", "_t").mapInArrow(common.tidy(run), schema)
+    return blocks.select("_b", "_z").mapInArrow(common.tidy(run), schema)
 
 
 def thin(h: np.ndarray) -> bytes:
@@ -236,7 +245,10 @@ def sampled(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
     """_key, _t, _l, _k0 to _k3: each text with the levels of its shingles, in the order of their hashes, and the keys of its bands (an array for each depth)."""
     schema = T.StructType([KEY, T.StructField("_t", T.StringType()), T.StructField("_l", T.BinaryType()), *(T.StructField(f"_k{d}", T.ArrayType(T.LongType())) for d in range(DEPTH))])
 
-    def run(texts: pa.Table, back: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, back: pa.Table) -> pa.Table:
+        if not blocks.num_rows:  # no reply is without its block
+            return pa.table([pa.array([], pa.binary())] + [pa.array([], pa.string())] + [pa.array([], pa.binary())] + [pa.array([], pa.list_(pa.int64()))] * DEPTH, names=schema.names)
+        texts = unpacked(blocks.column("_z")[0].as_buffer())
         h, level = (np.frombuffer(b"".join(back.column(c).to_pylist()), kind) for c, kind in (("_h", np.uint64), ("_l", np.uint8)))
         order = np.argsort(h)
         h, level, sample, out = h[order], level[order], sampler(), []
@@ -406,10 +418,10 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     spark = common.ready(df).sparkSession
     empty = T.StructType([KEY, T.StructField("_root", T.BinaryType())])
     source, copied = distinct_texts(df, text)
+    n, size = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()
     blocks = in_blocks(source)
     common.drop_table(source)
     common.drop_table(copied)
-    n, size = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()
     if not n:
         return spark.createDataFrame([], empty)
     parts = common.partitions(spark, size + size // 2, COUNT_BYTES)  # a hash and a count of 12 bytes for each word of some 8

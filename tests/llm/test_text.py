@@ -280,10 +280,10 @@ def test_frequencies_are_exact_whatever_the_blocks(spark, monkeypatch):
         blocks = neardup.in_blocks(source)
         shared = neardup.shared_hashes(neardup.block_hashes(blocks, 7), 5)
         got = {r._t: r._l for r in neardup.sampled(blocks, shared, len(texts)).collect()}
-        assert len(got) == 150
+        assert len(got) == 150 and (blocks.count() > 20) == (size == 200)
         for t, level in got.items():
             assert list(level) == neardup.levels(np.array([df[h] for h in neardup.shingles(t)[0].tolist()])).tolist()
-    assert max(df.values()) > 90 and blocks.select("_b").distinct().count() <= 3
+    assert max(df.values()) > 90
 
 
 def test_frequent_shingles_weigh_less(spark):
