@@ -8,7 +8,7 @@ frequent by that alone, and the copies should still be alike.
 
 Document frequencies are exact and of all texts: texts go into blocks of bounded bytes, a
 block sends each distinct hash once, with its count, to the task of the hash's range, and
-gets back those that two or more texts have. So a shingle that every text has arrives once
+gets back a byte for each, its level of frequency. So a shingle that every text has arrives once
 for each block, not once for each text, and nothing is broadcast or collected.
 
 Each text draws 30 samples: for its shingle s of weight w, with r and c from Gamma(2, 1) and
@@ -114,15 +114,14 @@ def block_hashes(blocks: DataFrame, ranges: int) -> DataFrame:
     schema = T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_b", T.LongType()), T.StructField("_h", T.BinaryType()), T.StructField("_c", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
         for batch in batches:
             for b, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield sent(b, [shingles(t)[0] for t in unpacked(block.as_buffer()).column("_t").to_pylist()], edges)
+                yield sent(b, [shingles(t)[0] for t in unpacked(block.as_buffer()).column("_t").to_pylist()])
 
-    def sent(block: int, held: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+    def sent(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         n = n.astype(np.int32)
-        cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+        cuts = range_cuts(h, ranges)
         some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         small = np.uint8 if n.max() < 256 else np.int32
         return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([thin(h[a:b]) for _, a, b in some], pa.binary()), pa.array([n[a:b].astype(small).tobytes() for _, a, b in some], pa.binary())], names=schema.names)
@@ -139,11 +138,16 @@ def thick(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-SHARED = T.StructType([T.StructField("_b", T.LongType()), T.StructField("_h", T.BinaryType()), T.StructField("_l", T.BinaryType())])
+def range_cuts(h: np.ndarray, ranges: int) -> list[int]:
+    """Where the ranges of rising hashes begin and end."""
+    return [0, *np.searchsorted(h, np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)).tolist(), len(h)]
+
+
+SHARED = T.StructType([T.StructField("_b", T.LongType()), T.StructField("_p", T.IntegerType()), T.StructField("_l", T.BinaryType())])
 
 
 def shared_hashes(hashes: DataFrame, parts: int) -> DataFrame:
-    """SHARED: back to each block, those of its hashes that two texts or more have, with the levels of their document frequencies. Partitions are sized by counted bytes."""
+    """SHARED: back to each block, for a range of its hashes in their order, the levels of their document frequencies; no row where all are 0. Partitions are sized by counted bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -157,15 +161,10 @@ def shared_hashes(hashes: DataFrame, parts: int) -> DataFrame:
         h = np.concatenate(each)
         del each
         _, at = np.unique(h, return_inverse=True)
-        df = np.bincount(at, n)[at]
-        level = levels(df)
-        out: list[tuple] = []
-        for b, i, j in zip(t.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-            many = df[i:j] > 1
-            if many.any():
-                out.append((b, h[i:j][many].tobytes(), level[i:j][many].tobytes()))
-        for k in range(0, len(out), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*out[k : k + 2000]), (pa.int64(), pa.binary(), pa.binary()))], names=SHARED.names)
+        level = levels(np.bincount(at, n)[at])
+        out = [(b, p, level[i:j].tobytes()) for p, b, i, j in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()) if level[i:j].any()]
+        for k in range(0, len(out), 500):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*out[k : k + 500]), (pa.int64(), pa.int32(), pa.binary()))], names=SHARED.names)
 
     return hashes.repartition(parts, "_p").select(*hashes.columns).mapInArrow(common.tidy(run), SHARED)
 
@@ -241,7 +240,7 @@ def band_keys(samples: np.ndarray) -> list[np.ndarray]:
     return [*out, k.view(np.int64).copy()]
 
 
-def sampled(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+def sampled(blocks: DataFrame, shared: DataFrame, n: int, ranges: int) -> DataFrame:
     """_key, _t, _l, _k0 to _k3: each text with the levels of its shingles, in the order of their hashes, and the keys of its bands (an array for each depth)."""
     schema = T.StructType([KEY, T.StructField("_t", T.StringType()), T.StructField("_l", T.BinaryType()), *(T.StructField(f"_k{d}", T.ArrayType(T.LongType())) for d in range(DEPTH))])
 
@@ -249,16 +248,13 @@ def sampled(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
         if not blocks.num_rows:  # no reply is without its block
             return pa.table([pa.array([], pa.binary())] + [pa.array([], pa.string())] + [pa.array([], pa.binary())] + [pa.array([], pa.list_(pa.int64()))] * DEPTH, names=schema.names)
         texts = unpacked(blocks.column("_z")[0].as_buffer())
-        h, level = (np.frombuffer(b"".join(back.column(c).to_pylist()), kind) for c, kind in (("_h", np.uint64), ("_l", np.uint8)))
-        order = np.argsort(h)
-        h, level, sample, out = h[order], level[order], sampler(), []
-        for t in texts.column("_t").to_pylist():
-            own, tf = shingles(t)
-            mine = np.zeros(len(own), np.uint8)
-            if len(h):
-                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                hit = h[at] == own
-                mine[hit] = level[at[hit]]
+        each, sample, out = [shingles(t) for t in texts.column("_t").to_pylist()], sampler(), []
+        h = np.unique(np.concatenate([own for own, _ in each]))
+        level, cuts = np.zeros(len(h), np.uint8), range_cuts(h, ranges)
+        for p, some in zip(back.column("_p").to_pylist(), back.column("_l").to_pylist()):
+            level[cuts[p] : cuts[p + 1]] = np.frombuffer(some, np.uint8)
+        for own, tf in each:
+            mine = level[np.searchsorted(h, own)]
             out.append((mine.tobytes(), *band_keys(sample(own, weights(tf, mine, n)))))
         columns = list(zip(*out)) or [()] * (1 + DEPTH)
         return pa.table([texts.column("_key"), texts.column("_t"), pa.array(columns[0], pa.binary()), *(pa.array([list(k) for k in c], pa.list_(pa.int64())) for c in columns[1:])], names=schema.names)
@@ -426,7 +422,7 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
         return spark.createDataFrame([], empty)
     parts = common.partitions(spark, size + size // 2, COUNT_BYTES)  # a hash and a count of 12 bytes for each word of some 8
     shared = common.work_table(shared_hashes(block_hashes(blocks, parts), parts), "neardup-shared")
-    keyed = common.work_table(sampled(blocks, shared, n), "neardup-samples")
+    keyed = common.work_table(sampled(blocks, shared, n, parts), "neardup-samples")
     common.drop_table(shared)
     common.drop_table(blocks)
     bands = keyed.select("_key", F.inline(F.arrays_zip(*(f"_k{d}" for d in range(DEPTH)))))

@@ -279,7 +279,7 @@ def test_frequencies_are_exact_whatever_the_blocks(spark, monkeypatch):
         monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
         blocks = neardup.in_blocks(source)
         shared = neardup.shared_hashes(neardup.block_hashes(blocks, 7), 5)
-        got = {r._t: r._l for r in neardup.sampled(blocks, shared, len(texts)).collect()}
+        got = {r._t: r._l for r in neardup.sampled(blocks, shared, len(texts), 7).collect()}
         assert len(got) == 150 and (blocks.count() > 20) == (size == 200)
         for t, level in got.items():
             assert list(level) == neardup.levels(np.array([df[h] for h in neardup.shingles(t)[0].tolist()])).tolist()
