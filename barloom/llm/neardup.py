@@ -249,12 +249,14 @@ def sampled(blocks: DataFrame, shared: DataFrame, n: int, ranges: int) -> DataFr
             return pa.table([pa.array([], pa.binary())] + [pa.array([], pa.string())] + [pa.array([], pa.binary())] + [pa.array([], pa.list_(pa.int64()))] * DEPTH, names=schema.names)
         texts = unpacked(blocks.column("_z")[0].as_buffer())
         each, sample, out = [shingles(t) for t in texts.column("_t").to_pylist()], sampler(), []
-        h = np.unique(np.concatenate([own for own, _ in each]))
+        h, at = np.unique(np.concatenate([own for own, _ in each]), return_inverse=True)
+        ends = np.cumsum([0, *(len(own) for own, _ in each)]).tolist()
         level, cuts = np.zeros(len(h), np.uint8), range_cuts(h, ranges)
         for p, some in zip(back.column("_p").to_pylist(), back.column("_l").to_pylist()):
             level[cuts[p] : cuts[p + 1]] = np.frombuffer(some, np.uint8)
-        for own, tf in each:
-            mine = level[np.searchsorted(h, own)]
+        level = level[at]
+        for (own, tf), a, b in zip(each, ends, ends[1:]):
+            mine = level[a:b]
             out.append((mine.tobytes(), *band_keys(sample(own, weights(tf, mine, n)))))
         columns = list(zip(*out)) or [()] * (1 + DEPTH)
         return pa.table([texts.column("_key"), texts.column("_t"), pa.array(columns[0], pa.binary()), *(pa.array([list(k) for k in c], pa.list_(pa.int64())) for c in columns[1:])], names=schema.names)
