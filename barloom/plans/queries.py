@@ -17,6 +17,7 @@ from ..operators import asof as asof_
 from ..operators.grid import cold_start, frame_grid
 from ..schema import FEATURES_5, FEATURES_44, QUOTE, TRADE
 from ..sources import ticks as source
+from ..sources.bars import shared_folder
 from .sql import HALF, HOUR, MINUTE, QUARTER
 
 SYMBOLS = [f"S{k}" for k in range(8)]
@@ -367,10 +368,8 @@ def stream_bars44(spark, sf_dir):
 
 @query
 def parquet_roundtrip(spark, sf_dir):
-    import tempfile
-
     t = load(spark, sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-ticks-")
+    folder = shared_folder(spark)
     base = f"{folder.rstrip('/')}/barloom-ticks-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}"
     both = {"trades": t.where(F.col("tick_type") == TRADE).select(F.col("symbol").alias("ticker"), F.col("sip_ns").alias("sip_timestamp"), F.col("part_ns").alias("participant_timestamp"), "price", "size", F.col("trade_exch").alias("exchange"), F.when(F.col("is_dark"), 4.0).alias("trf_id"))}
     both["quotes"] = t.where(F.col("tick_type") == QUOTE).select(F.col("symbol").alias("ticker"), F.col("sip_ns").alias("sip_timestamp"), F.col("part_ns").alias("participant_timestamp"), F.col("bid_px").alias("bid_price"), F.col("bid_sz").alias("bid_size"), F.col("ask_px").alias("ask_price"), F.col("ask_sz").alias("ask_size"), F.col("bid_exch").alias("bid_exchange"), F.col("ask_exch").alias("ask_exchange"))

@@ -14,6 +14,17 @@ from ..schema import FEATURES_5
 SIDECAR = "_barloom_config.json"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="barloom-")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -96,14 +107,36 @@ def telemetry(frames: DataFrame, path: str) -> None:
     frames.write.mode("overwrite").json(path)
 
 
-def upsert(snapshots: DataFrame, path: str, key: str = "symbol", order: str = "sip_ns") -> DataFrame:
-    """The latest row of each key of what is stored and what is new, written beside the old table and then put in its place."""
+def upsert(snapshots: DataFrame, path: str, batch: int | None = None, key: str = "symbol", order: str = "sip_ns", counters: tuple[str, ...] = ("conditions",)) -> DataFrame:
+    """What is stored, with what is new field by field: a field that the new row lacks keeps its old value, the time is the greater, counters add up.
+
+    The new table is written beside the old one, which is set aside, not deleted, until the new
+    one is in its place; a crash between leaves it there for the next call. A batch that comes
+    again (same number) changes nothing.
+    """
     spark = snapshots.sparkSession
     p, fs = _fs(spark, path)
-    both = spark.read.schema(snapshots.schema).parquet(path).unionByName(snapshots) if fs.exists(p) else snapshots
-    new = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("_r")).select("_r.*").select(*both.columns)
-    fresh, _ = _fs(spark, f"{path}.new")
+    aside, fresh = (_fs(spark, f"{path}.{x}")[0] for x in ("old", "new"))
+    if not fs.exists(p) and fs.exists(aside):
+        fs.rename(aside, p)
+    if batch is not None and fs.exists(_fs(spark, f"{path}/_batch-{batch}")[0]):
+        return spark.read.schema(snapshots.schema).parquet(path)
+    new = snapshots
+    if fs.exists(p):
+        old = spark.read.schema(snapshots.schema).parquet(path).alias("o")
+        both = old.join(snapshots.alias("n"), key, "full")
+        value = lambda c: F.coalesce(f"n.{c}", f"o.{c}")
+        total = lambda c: F.coalesce(f"o.{c}", F.lit(0)) + F.coalesce(f"n.{c}", F.lit(0))
+        new = both.select(*((F.col(key) if c == key else F.greatest(f"o.{c}", f"n.{c}") if c == order else total(c) if c in counters else value(c)).cast(snapshots.schema[c].dataType).alias(c) for c in snapshots.columns))
+        if {"bid_px", "ask_px", "mid_px", "spread_px"} <= set(new.columns):
+            two = (F.col("bid_px") > 0) & (F.col("ask_px") > 0)
+            new = new.withColumn("mid_px", F.when(two, (F.col("bid_px") + F.col("ask_px")) / 2)).withColumn("spread_px", F.when(two, F.col("ask_px") - F.col("bid_px")))
     new.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(p, True)
+    if batch is not None:
+        fs.create(_fs(spark, f"{path}.new/_batch-{batch}")[0]).close()
+    fs.delete(aside, True)
+    if fs.exists(p):
+        fs.rename(p, aside)
     fs.rename(fresh, p)
+    fs.delete(aside, True)
     return spark.read.schema(snapshots.schema).parquet(path)

@@ -123,9 +123,9 @@ def phases_of(phase_symbols: DataFrame) -> dict[str, list[tuple[str, int]]]:
 
 
 def folder(spark: SparkSession) -> str:
-    import tempfile
+    from ..sources.bars import shared_folder
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-stream-")
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -21,12 +21,12 @@ def publish(frames: DataFrame, path: str, checkpoint: str, symbol: str | None =
 
 
 def publish_snapshots(ticks: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """The latest row of each symbol, overwritten with each micro-batch."""
+    """The state of each symbol, brought up to date with each micro-batch: a trade leaves the quote, a quote the trade."""
     from ..operators.snapshot import snapshot
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            upsert(snapshot(batch, raw=True), path)
+            upsert(snapshot(batch, raw=True), path, number)
 
     return ticks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 

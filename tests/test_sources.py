@@ -150,3 +150,35 @@ def test_messages_as_a_stream(spark, tmp_path):
         assert spark.table("decoded").count() == 120
     finally:
         q.stop()
+
+
+def test_snapshots_keep_both_sides_over_batches(spark, tmp_path):
+    from barloom.operators.snapshot import snapshot
+    from barloom.sources.bars import upsert
+
+    from .helpers import frame, quote, trade
+
+    path = str(tmp_path / "snap")
+    first = snapshot(frame(spark, [quote(10, 1.0, 2.0, seq=1), trade(11, 1.5, 5.0, seq=2), quote(12, 3.0, 4.0, "B", seq=3)]), raw=True)
+    later = snapshot(frame(spark, [trade(20, 1.7, 6.0, seq=4)]), raw=True)
+    upsert(first, path, 0)
+    for _ in range(2):  # a batch that comes again changes nothing
+        got = {r.symbol: r for r in upsert(later, path, 1).collect()}
+    a, b = got["A"], got["B"]
+    assert (a.bid_px, a.ask_px, a.mid_px, a.last_trade_px, a.last_trade_sz, a.conditions, a.sip_ns) == (1.0, 2.0, 1.5, 1.7, 6.0, 2, 20)
+    assert (b.bid_px, b.spread_px, b.conditions) == (3.0, 1.0, 0)
+
+
+def test_linear_as_of_windows(spark):
+    """100,000 quotes of one symbol: what grew with the square took minutes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from barloom.operators.asof import nearest, point_in_time
+
+    q = spark.range(100_000).select(F.lit("A").alias("symbol"), F.col("id").alias("sip_ns"), F.col("id").alias("seq"), F.col("id").cast("double").alias("bid_px"), (F.col("id") + 1.0).alias("ask_px"))
+    start = time.time()
+    assert point_in_time(q, spark.createDataFrame([("A", -5), ("A", 70_000)], "symbol string, at_ns long")).agg(F.sum("bid_px")).first()[0] == 70_000.0
+    assert nearest(q.select("symbol", "seq", "sip_ns"), q.select("symbol", "sip_ns", "bid_px"), "symbol", "sip_ns", "sip_ns", "bid_px").where("near_ts <> seq").count() == 0
+    assert time.time() - start < 60
