@@ -339,12 +339,30 @@ def test_scores_of_odd_rows(spark, odd, none):
 
 
 def test_query_of_toxicity(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"  # sf0.01 has 45 toxic rows to learn from, too few (see README)
     rows = {r.doc_id: r for r in op10_toxicity(spark, folder).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for i, r in rows.items())
     held = [i for i, r in rows.items() if r.held_out and i in labels]
     assert np.mean([rows[i].predicted == labels[i] for i in held]) > 0.85
+    bad, good = [i for i in held if labels[i] == 1], [i for i in held if labels[i] == 0]
+    # a constant score would fail both
+    assert np.mean([rows[i].predicted for i in bad]) >= 0.4 and np.mean([rows[i].score > rows[j].score for i in bad for j in good]) > 0.85
+
+
+def test_score_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25)
+    score = toxicity.scorer(model)
+    for text in ("", "one", "Zwei, DREI! naïve (x) 中文 aa bb aa", " ".join(f"w{k}" for k in range(500))):
+        words_ = [w.strip(toxicity.STRIP) or w for w in text.lower().split()]
+        means = []
+        for w in words_:
+            marked = f"<{w}>"
+            grams = [marked, *(marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1))]
+            means.append(np.mean([float(model.weight[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in grams]))
+        z = model.bias + (np.mean(means) if means else 0.0)
+        assert abs(score(text) - 1 / (1 + np.exp(-z))) < 1e-6
 
 
 # --- mixing
