@@ -35,7 +35,9 @@ LEAST, MOST = 3, 5
 #: Labelled rows of class 0 and of class 1 that the model is fitted on at most, the first in an order by hash.
 SAMPLE_ROWS = (4000, 1400)
 #: Texts of the sample in which a table row must occur to be trained.
-LEAST_TEXTS = 20
+LEAST_TEXTS = 2
+#: Texts of a training step. A sample of a few hundred rows needs small ones, or the passes over it are too few steps to learn anything.
+BATCH_TEXTS = 64
 DIMS, EPOCHS, RATE, DECAY = 4, 24, 0.1, 0.05
 #: Added to the root of the second moment of a table row: rows of small gradients move less.
 FLOOR = 1e-6
@@ -125,7 +127,7 @@ def batch(docs: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, bounds: n
     return {"row": row, "start": start, "size": size[own][:, None], "word": local, "share": share[:, None], "some": some, "some_start": some_start, "doc_by_word": doc[by_word].astype(np.int32), "share_by_word": share[by_word][:, None], "word_start": np.searchsorted(local[by_word], np.arange(len(own))), "word_by_row": of[by_row], "hit": hit, "hit_start": hit_start}
 
 
-def train(texts: list[str], labels: list[int], dims: int = DIMS, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, least_texts: int = LEAST_TEXTS, batch_rows: int = 256, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], dims: int = DIMS, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, least_texts: int = LEAST_TEXTS, batch_rows: int = BATCH_TEXTS, seed: int = 7) -> Model:
     """Adam with decoupled weight decay on the cross entropy, in batches.
 
     Table rows that the words of fewer than least_texts texts hash to stay at zero.
