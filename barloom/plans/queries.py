@@ -333,12 +333,6 @@ def quote_orders(quotes):
 
 @query
 def order_watch(spark, sf_dir):
-    ticks = load(spark, sf_dir)
-    return orders.watch(quote_orders(quality.dedup_quotes(ticks).where("seq % 97 = 0")), ticks).withColumn("first_jump_s", F.round("first_jump_s", 6))
-
-
-@query
-def order_watch_all(spark, sf_dir):
     ticks = load(spark, sf_dir)
     return orders.watch(quote_orders(quality.dedup_quotes(ticks)), ticks).withColumn("first_jump_s", F.round("first_jump_s", 6))
 

@@ -195,7 +195,7 @@ SELECT anchor_ns, {rnd('ln(price / coalesce(lag(price, 1) OVER o, first_value(pr
 SELECT anchor_ns AS ts_ns, g.symbol, {ffill('b', 'g.symbol', 'g.anchor_ns')} AS bid_px, {ffill('a', 'g.symbol', 'g.anchor_ns')} AS ask_px, {ffill('p', 'g.symbol', 'g.anchor_ns')} AS last_trade_px, (sum(coalesce(n, 0)) OVER (PARTITION BY g.symbol ORDER BY g.anchor_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS conditions, b5.vol_1s, b5.spread_bps
 FROM (SELECT * FROM grid WHERE phase = 'p30') g LEFT JOIN s USING (symbol, anchor_ns) LEFT JOIN tt USING (symbol, anchor_ns) LEFT JOIN b5 USING (phase, symbol, anchor_ns)""",
     "seq_gap_jitter": f"{BASE}, p AS (SELECT symbol, seq, sip_ns, part_ns FROM ticks WHERE seq % 3 <> 0) SELECT symbol, seq, coalesce(greatest(seq - lag(seq) OVER w - 1, 0), 0) AS missed, coalesce(greatest((sip_ns - lag(sip_ns) OVER w) - (part_ns - lag(part_ns) OVER w), 0), 0) AS jitter_ns FROM p WINDOW w AS (PARTITION BY symbol ORDER BY seq)",
-    "order_watch": f"""{BASE}, o AS (SELECT seq AS order_id, symbol, bid_px + 20 AS limit_px, sip_ns AS placed_ns, sip_ns + 6 * {HOUR} AS ended_ns FROM q WHERE seq % 97 = 0),
+    "order_watch": f"""{BASE}, o AS (SELECT seq AS order_id, symbol, bid_px + 20 AS limit_px, sip_ns AS placed_ns, sip_ns + 6 * {HOUR} AS ended_ns FROM q),
 e AS (SELECT symbol, sip_ns, 0 AS k, bid_px, ask_px, NULL::DOUBLE AS price, NULL::DOUBLE AS size FROM q UNION ALL SELECT symbol, sip_ns, 1, NULL, NULL, price, size FROM t),
 j AS (SELECT o.*, e.* EXCLUDE symbol FROM o LEFT JOIN e ON o.symbol = e.symbol AND e.sip_ns BETWEEN placed_ns AND ended_ns)
 SELECT order_id, symbol, limit_px, max(bid_px) AS max_bid, min(bid_px) AS min_bid, max(ask_px) AS max_ask, min(ask_px) AS min_ask, max((bid_px + ask_px) / 2) AS max_mid, min((bid_px + ask_px) / 2) AS min_mid, {rnd('(min(sip_ns) FILTER (WHERE bid_px > limit_px) - min(placed_ns)) / 1e9')} AS first_jump_s, count(*) FILTER (WHERE price <= limit_px) AS trades_at_limit, count(DISTINCT CASE WHEN price <= limit_px THEN (sip_ns, price, size) END) AS distinct_trades_at_limit FROM j GROUP BY order_id, symbol, limit_px""",
