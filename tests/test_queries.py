@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from barloom.plans.sql import SQL
+from barloom.plans.storage_sql import SQL_STORED
 
 DIR = "/root/testdata/sf0.001"
 
@@ -25,12 +26,12 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(SQL | SQL_STORED))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, DIR)
     cols = sorted(df.columns)
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
-    rel = duck.execute(SQL[name])
+    rel = duck.execute((SQL | SQL_STORED)[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
