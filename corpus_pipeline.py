@@ -15,7 +15,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5, by a model of the labelled rows among these."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.add_scores(docs, model, column="_toxic").where(F.col("_toxic") < 0.5).select(*docs.columns)
+    score = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of theirs
+    return toxicity.add_scores(docs, model, column=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
