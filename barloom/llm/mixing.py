@@ -113,8 +113,9 @@ def amounts(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, one row for each time that one is taken. The document at a source's boundary is taken whole if at least half of it is."""
-    m = mixed(docs, **options)
+    own = {c: f"__mix_own_{k}" for k, c in enumerate(docs.columns) if c.lower().startswith("__mix_")}
+    m = mixed(docs.select(*(docs[c].alias(own.get(c, c)) for c in docs.columns)), **options)
     times = F.col("__mix_epochs") + F.when((F.col("__mix_size") > 0) & (2 * F.col("__mix_part") >= F.col("__mix_size")), 1).otherwise(0)
     times = F.when(F.col("__mix_size") > 0, times).otherwise(0).cast("int")
     # array_repeat rather than sequence: of 0 times it has no element
-    return m.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return m.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
