@@ -12,7 +12,8 @@ together, as one flat array: each round merges the leftmost pair of lowest rank
 piece. Ids keep the byte offsets of their tokens, and decoding joins the tokens' bytes.
 
 Null texts count as empty; empty texts give no ids, and the digest of no bytes.
-Repeated rows are encoded each for itself; further columns pass through.
+Repeated rows are encoded each for itself; further columns pass through, but for those
+named like a column made here (or _bpe_text), whatever their case: those are left out.
 """
 
 from __future__ import annotations

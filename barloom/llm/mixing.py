@@ -18,6 +18,7 @@ would lift above their limits stop there, the others get weight times level.
 
 Null and empty texts have size 0 and are taken 0 times; a null source is a source, the
 last. Rows that are repeated as a whole have one key; they share what is left evenly.
+mix returns exactly the columns of docs, whatever their names.
 """
 
 from __future__ import annotations

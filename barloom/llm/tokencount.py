@@ -9,6 +9,8 @@ it. Where an overlap has no such position it is widened, then the chunk itself,
 whole text.
 
 Null counts as empty: no bytes, no tokens. Repeated rows are counted each for itself.
+Further columns pass through, but for those named like a column made here, whatever their
+case: those are left out.
 """
 
 from __future__ import annotations

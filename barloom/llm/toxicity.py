@@ -10,7 +10,8 @@ mean over words of the mean over their n-grams: that table, of fixed size, is br
 Null and empty texts have no words; their score is the softmax of the bias alone. Without
 a row of either class every score is the share of class 1 (0 without any label). Labels
 other than 0 and 1 are no labels; a doc_id labelled twice is toxic if either label is.
-Repeated rows are scored each for itself; further columns pass through.
+Repeated rows are scored each for itself; further columns pass through, but for one named
+like the score, which takes its place.
 """
 
 from __future__ import annotations

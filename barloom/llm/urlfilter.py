@@ -12,6 +12,7 @@ is broadcast only below a checked size and else joined by block.
 
 Null urls and urls without `://` have empty host and path, no rule, and are allowed.
 Repeated rows are judged each for itself. An empty list blocks nothing.
+Further columns, whatever their names, are left out unless they are asked for.
 """
 
 from __future__ import annotations
