@@ -117,16 +117,16 @@ def window_1hz(frames: DataFrame, symbol: str, anchor_ns: int, cadence: int, spa
     return out.drop("_early")
 
 
-def request_chunk(ticks: DataFrame, phase_symbols: DataFrame, symbol: str, start_ns: int, end_ns: int, cadence: int, full: bool = False) -> DataFrame:
+def request_chunk(ticks: DataFrame, phase_symbols: DataFrame, symbol: str, start_ns: int, end_ns: int, cadence: int, full: bool = False, lag_ns: int = 1_000_000) -> DataFrame:
     """Frames of one symbol with anchors in (start, end], and cold_start.
 
     Ticks before start give the state only. Of ticks at the end, the full frame counts those
-    at it, the compact bar those before it.
+    at it, the compact bar those before it. The full frame's trades meet quotes lag_ns old.
     """
     own = ticks.where(F.col("symbol") == symbol)
     own = own.where((F.col("sip_ns") <= end_ns) if full else (F.col("sip_ns") < end_ns))
-    make = frame44 if full else bars5
-    out = make(own, phase_symbols.where(F.col("symbol") == symbol), cadence, start_ns=start_ns, end_ns=end_ns)
+    phases = phase_symbols.where(F.col("symbol") == symbol)
+    out = frame44(own, phases, cadence, lag_ns, start_ns, end_ns) if full else bars5(own, phases, cadence, start_ns=start_ns, end_ns=end_ns)
     return cold_start(out.where((F.col("anchor_ns") > start_ns) & (F.col("anchor_ns") <= end_ns)))
 
 

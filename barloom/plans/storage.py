@@ -250,7 +250,7 @@ def chunk_full(spark, sf_dir):
     ticks = load(spark, sf_dir)
     first = ticks.agg(F.min("sip_ns")).first()[0]
     start = first - first % HOUR + 240 * HOUR
-    rows = reader.request_chunk(ticks, phase_symbols(spark, "p0"), "S3", start, start + 60 * HOUR, HOUR, full=True)
+    rows = reader.request_chunk(ticks, phase_symbols(spark, "p0"), "S3", start, start + 60 * HOUR, HOUR, full=True, lag_ns=MINUTE)
     return rounded(rows, ("anchor_ns", "cold_start"), [c for c in FEATURES_44 if c in {"buy_volume", "last_bid_px", "last_trade_px", *ROUNDED, *FEATURES_44[36:41]}])
 
 
