@@ -119,6 +119,49 @@ def test_recall_of_the_query(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_rounds_move_no_rows(spark, monkeypatch):
+    """What is written between the steps grows with nodes, and with queries by shard, not with rounds and neighbours."""
+    rows, table = [], ann.common.work_table
+
+    def counted(df, name):
+        out = table(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann.common, "work_table", counted)
+    n = 2000
+    x = np.random.default_rng(7).normal(size=(n, 8)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert ann.nearest(df).count() == n // 20 * 20
+    assert sum(rows) <= 2 * n + n // 20 * (16 + 42 + 24)
+
+
+def test_recall_of_many_shards(spark, monkeypatch):
+    """Shards by their bytes, and lengths that differ."""
+    monkeypatch.setattr(ann, "SHARD_BYTES", 4 * 17 * 50, raising=True)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[::3, 9:] = 0
+    df = spark.createDataFrame([(k, v[:9].tolist() if k % 3 == 0 else v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, hits = answers(ann.nearest(df)), []
+    for q in range(0, 3000, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits.append(len(set(np.lexsort((np.arange(len(x)), -s))[:20].tolist()) & {v for v, _ in got[q]}) / 20)
+    assert np.mean(hits) >= 0.95
+
+
+def test_lists():
+    """An id once, with its mark, whichever copy comes first; scores and ids come back; how many a shard may hold."""
+    score, ids = np.array([[0.5, -0.25, 0.5, 0.75, -1.0]], np.float32), np.array([[3, 1, 3, 2, 0]])
+    keys = ann.packed(score, ids)
+    keys[0, 2] |= 1
+    out = ann.best(keys, 4)
+    assert ann.id_of(out).tolist() == [[2, 3, 1, 0]] and (out & 1).tolist() == [[0, 1, 0, 0]]
+    assert np.allclose(ann.score_of(out), [[0.75, 0.5, -0.25, -1.0]], atol=1e-5)
+    assert ann.share(22, 1) == 22 and ann.share(22, 2) == 22 and 8 < ann.share(22, 16) < 16
+
+
 def test_exact_top_k_of_odd_vectors(spark):
     df = vectors(spark, 260, 3)
     whole = lambda v: np.floor(1024 * v)
