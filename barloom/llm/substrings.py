@@ -15,7 +15,11 @@ Rows of equal texts form a class first. A class of two or more is repeated as a
 of its rows takes part, counted twice, so groups of copies cost one member's windows. Counting is by hash with partial sums before each shuffle; a hot passage
 is one counted key. The candidates of a document are packed into one row, and they meet
 their texts in a join that broadcasts them only below a checked size. Hashes of the last
-level have 128 bits.
+level have 128 bits, made of 64-bit hashes of words.
+
+The texts of a batch are cut into words and hashed at once (wordhash.Words), and windows and
+minimisers run over all of them; starts are those of windows within a text, so none that
+reaches into the next text counts.
 
 Null and empty texts have no words. Documents under min_words words lose nothing. Rows
 are told apart by their words alone, so null and repeated doc_ids do no harm.
@@ -34,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import common
 from .common import with_text_key
-from .wordhash import minima, mixed, windows, word_hashes, words
+from .wordhash import Words, minima, mixed, windows, words
 
 MIN_WORDS = 35
 KEY = T.StructField("_key", T.BinaryType())
@@ -68,6 +72,21 @@ def covered(starts: np.ndarray, min_words: int, n: int) -> np.ndarray:
     return np.cumsum(mark)[:n] > 0
 
 
+def whole_windows(found: Words, c: pa.Array, min_words: int) -> np.ndarray:
+    """Which words start a whole window of their text that is a candidate. c: for each text its packed runs of starts, null for all."""
+    n = len(found.start)
+    edge = np.zeros(n + 1, np.int64)
+    every = np.flatnonzero(np.asarray(c.is_null()) & (np.diff(found.first) >= min_words))
+    edge[found.first[every]] += 1
+    edge[found.first[every + 1] - min_words + 1] -= 1
+    packed = [x or b"" for x in c.to_pylist()] if c.null_count < len(c) else []
+    if packed:
+        runs = np.frombuffer(b"".join(packed), "<i4").reshape(-1, 2) + found.first[np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])][:, None]
+        edge[runs[:, 0]] += 1
+        edge[runs[:, 1]] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
 def emitted(source: DataFrame, min_words: int, length: int, last: bool) -> DataFrame:
     """(_key, _w, _h, _g, _at): the windows of one level that are still candidates.
 
@@ -80,39 +99,29 @@ def emitted(source: DataFrame, min_words: int, length: int, last: bool) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, times, first, second, at = [], [], [], [], []
-            for t, key, w, c in zip(*(x.to_pylist() for x in batch.columns)):
-                found = words(t)
-                if len(found) < min_words:
-                    continue
-                h = word_hashes(found)
-                if c is None:
-                    starts = np.arange(len(h) - min_words + 1)
-                else:
-                    runs = np.frombuffer(c, "<i4").reshape(-1, 2)
-                    starts = np.concatenate([np.arange(a, b) for a, b in runs])
-                if last:
-                    own, pos, times_each = windows(h, min_words)[starts], starts, np.full(len(starts), w, np.int32)
-                    other = windows(mixed(h + np.uint64(0x632BE59BD9B4E019)), min_words)[starts]
-                else:
-                    values, least = inner(h, min_words, length)
-                    chosen = np.unique(least[starts])
-                    own, n = np.unique(values[chosen], return_counts=True)
-                    pos, times_each = np.full(len(own), -1, np.int32), np.where(n > 1, 2, w).astype(np.int32)
-                    other = np.zeros(len(own), np.uint64)
-                keys += [key] * len(own)
-                times.append(times_each)
-                first.append(own.view(np.int64))
-                second.append(other.view(np.int64))
-                at.append(pos.astype(np.int32))
-                if sum(map(len, first)) > 200_000:
-                    yield pack(keys, times, first, second, at)
-                    keys, times, first, second, at = [], [], [], [], []
-            if keys:
-                yield pack(keys, times, first, second, at)
-
-    def pack(keys, times, first, second, at) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(times)), pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), pa.array(np.concatenate(at))], names=schema.names)
+            t, keys, w, c = batch.columns
+            found = Words(t)
+            h, row, w = found.hashes(), found.texts(), w.to_numpy()
+            starts = np.flatnonzero(whole_windows(found, c, min_words))
+            if not len(starts):
+                continue
+            if last:
+                own, other = windows(h, min_words)[starts], windows(mixed(h + np.uint64(0x632BE59BD9B4E019)), min_words)[starts]
+                of = row[starts]
+                pos, times = starts - found.first[of], w[of]
+            else:
+                values, least = inner(h, min_words, length)
+                chosen = np.unique(least[starts])
+                order = np.lexsort((values[chosen], row[chosen]))
+                own, of = values[chosen][order], row[chosen][order]
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (of[1:] != of[:-1])]))
+                n = np.diff(np.append(new, len(own)))
+                own, of = own[new], of[new]
+                pos, times, other = np.full(len(own), -1), np.where(n > 1, 2, w[of]), np.zeros(len(own), np.uint64)
+            for k in range(0, len(own), 200_000):
+                cut = slice(k, k + 200_000)
+                columns = [keys.take(pa.array(of[cut])), times[cut].astype(np.int32), own[cut].view(np.int64), other[cut].view(np.int64), pos[cut].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:])], names=schema.names)
 
     return source.select("_t", "_key", "_w", "_c").mapInArrow(common.tidy(run), schema)
 
@@ -123,20 +132,26 @@ def survivors(source: DataFrame, packed: DataFrame, min_words: int, length: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t, key, w, c, hit in zip(*(x.to_pylist() for x in batch.columns)):
-                h = word_hashes(words(t))
-                values, least = inner(h, min_words, length)
-                good = np.isin(values, np.array(hit, np.int64).view(np.uint64))[least]
-                if c is not None:
-                    keep = np.zeros(len(good), bool)
-                    for a, b in np.frombuffer(c, "<i4").reshape(-1, 2):
-                        keep[a:b] = True
-                    good &= keep
-                if good.any():
-                    rows.append((key, w, np.stack(spans(good), 1).astype("<i4").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f) for x, f in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], names=schema.names)
+            t, keys, w, c, hit = batch.columns
+            found = Words(t)
+            row = found.texts()
+            values, least = inner(found.hashes(), min_words, length)
+            starts = np.flatnonzero(whole_windows(found, c, min_words))
+            chosen = np.unique(least[starts])
+            # a text's own hits: the numbers of both texts go into what is compared
+            hits = hit.flatten().to_numpy().view(np.uint64) ^ mixed(np.repeat(np.arange(len(hit)), hit.value_lengths().to_numpy()).astype(np.uint64))
+            again = np.zeros(len(row), bool)
+            again[chosen] = np.isin(values[chosen] ^ mixed(row[chosen].astype(np.uint64)), hits)
+            good = np.zeros(len(row), bool)
+            good[starts] = again[least[starts]]
+            a, b = spans(good)  # a text's last words start no whole window, so that no run goes from one text to the next
+            of, where = np.unique(row[a], return_index=True)
+            if not len(of):
+                continue
+            packed_runs = np.stack([a - found.first[row[a]], b - found.first[row[a]]], 1).astype("<i4")
+            runs = [x.tobytes() for x in np.split(packed_runs, where[1:])]
+            of = pa.array(of)
+            yield pa.RecordBatch.from_arrays([keys.take(of), w.take(of), pa.array(runs, pa.binary())], names=schema.names)
 
     return source.join(packed, "_key").select("_t", "_key", "_w", "_c", "_hit").mapInArrow(common.tidy(run), schema)
 
@@ -223,17 +238,18 @@ def with_runs(df: DataFrame, text: str, min_words: int, keep: list[str]) -> Data
     return with_text_key(plain, "__text", names).join(common.small(runs, size, 1), "_key", "left").select(*names, "_t", "_runs")
 
 
-def kept_words(found: list[bytes], runs: bytes | None, min_words: int) -> list[bytes]:
-    if not runs:
-        return found
+def kept_spans(n: int, runs: bytes | None, min_words: int) -> list[tuple[int, int]]:
+    """Starts and ends of what stays of n words."""
     if runs == ALL:
-        return [] if len(found) >= min_words else found
-    gone = np.frombuffer(runs, "<i4").reshape(-1, 2)
-    out, start = [], 0
-    for a, b in gone.tolist():
-        out += found[start:a]
-        start = b
-    return out + found[start:]
+        gone = [[0, n]] if n >= min_words else []
+    else:
+        gone = np.frombuffer(runs or b"", "<i4").reshape(-1, 2).tolist()
+    edges = [0, *(x for run in gone for x in run), n]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+
+
+def kept_words(found: list[bytes], runs: bytes | None, min_words: int) -> list[bytes]:
+    return [x for a, b in kept_spans(len(found), runs, min_words) for x in found[a:b]]
 
 
 def digest(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -242,13 +258,14 @@ def digest(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, sha = [], [], []
-            for t, r in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                found = words(t)
-                left = kept_words(found, r, min_words)
-                n.append(len(found))
-                gone.append(len(found) - len(left))
-                sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            found = Words(batch.column(batch.num_columns - 2))
+            n, gone, sha = np.diff(found.first), [], []
+            plain, start, end = found.spaced()
+            plain = memoryview(plain)
+            for k, r, size in zip(found.first.tolist(), batch.column(batch.num_columns - 1).to_pylist(), n.tolist()):
+                parts = [(k + a, k + b) for a, b in kept_spans(size, r, min_words)]
+                gone.append(size - sum(b - a for a, b in parts))
+                sha.append(hashlib.sha256(b" ".join([plain[start[a] : end[b - 1]] for a, b in parts])).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=schema.names)
 
     return with_runs(df, text, min_words, list(keep)).mapInArrow(common.tidy(run), schema)

@@ -3,10 +3,12 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 
 from barloom.llm import bpe, mixing, neardup, substrings, tokencount, toxicity
 from barloom.llm.queries import op5_token_counts, op7_near_duplicates, op8_substring_dedup, op9_byte_bpe, op10_toxicity
-from barloom.llm.wordhash import windows, word_hashes, words
+from barloom.llm.wordhash import Words, minima, windows, word_hashes, words
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 DIR = "/root/testdata/sf0.001"
@@ -169,6 +171,61 @@ def test_levels_and_windows():
         assert all(len(v) == 1 for v in same.values())
 
 
+def test_words_of_a_column():
+    rng = random.Random(2)
+    signs = "ab\x00é漢\x1c\x85\xa0 \t\n\x0b\x0c\r  "
+    tables = [[None if rng.random() < 0.1 else "".join(rng.choices(signs, k=rng.choice([0, 1, 5, 300]))) for _ in range(rng.randrange(9))] for _ in range(60)]
+    # around eight bytes and multiples of it, and where hashing goes over to whole words
+    tables.append([" ".join("a" * k + end for end in ("", "b", "\x00")) for k in range(150)] + ["y" * 9])
+    for texts in tables:
+        for kind, column in (("whole", pa.array(texts, pa.string())), ("slice", pa.array(["before  it", *texts, "after"], pa.large_string()).slice(1, len(texts)))):
+            found, each = Words(column), [words(t) for t in texts]
+            flat = [w for x in each for w in x]
+            assert np.diff(found.first).tolist() == [len(x) for x in each] and found.texts().tolist() == [k for k, x in enumerate(each) for _ in x], kind
+            assert [found.bytes[a:b].tobytes() for a, b in zip(found.start, found.end)] == flat
+            by_word = set(zip(flat, found.hashes().tolist()))
+            assert len(by_word) == len(set(flat)) == len({h for _, h in by_word})
+            plain, start, end = found.spaced()
+            assert plain.tobytes() == b"".join(b" ".join(x) for x in each) and [plain[a:b].tobytes() for a, b in zip(start, end)] == flat
+
+
+def test_words_of_a_column_cost_less():
+    """A pass over the texts of the substring query hashes every word; by one object and call for each it went over its CPU budget."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 12))) for _ in range(600)) for _ in range(300)]
+    column = pa.array(texts)
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: Words(column).hashes()) * 2 < least(lambda: [word_hashes(words(t)) for t in column.to_pylist()])
+
+
+def test_minima_are_leftmost():
+    rng = np.random.default_rng(5)
+    for n, span in ((1, 1), (7, 3), (40, 27), (200, 18), (5, 6)):
+        values = rng.integers(0, 6, n).astype(np.uint64) << np.uint64(61)
+        assert minima(values, span).tolist() == [k + int(np.argmin(values[k : k + span])) for k in range(n - span + 1)]
+
+
+def test_removal_in_batches_of_many_texts(spark):
+    """Texts side by side in a batch don't run into each other: windows end with their text, hits count for their own."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(400)]
+    rows = [(k, " ".join([word() for _ in range(rng.randrange(60))] + base[(c := rng.randrange(340)) : c + rng.randrange(30, 60)] + [word() for _ in range(rng.randrange(60))])) for k in range(300)]
+    # halves of a passage in neighbouring rows are no window of it
+    rows += [(400, " ".join(base[:34])), (401, " ".join(base[34:70])), (402, None), (403, " \n "), (404, "\n".join(base[10:60]) + " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, substrings.digest(df).collect()))
+    assert got == sorted(plain_removal(rows, 35)) and 0 < sum(r[2] > 0 for r in got) < len(rows)
+
+
 def test_removal_of_odd_rows(odd, none):
     rows = substrings.digest(odd).collect()
     assert len(rows) == odd.count() and substrings.digest(none).count() == 0
