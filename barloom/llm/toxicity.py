@@ -39,6 +39,8 @@ SAMPLE_ROWS = (4000, 1400)
 LEAST_TEXTS = 2
 #: Texts of a training step. A sample of a few hundred rows needs small ones, or the passes over it are too few steps to learn anything.
 BATCH_TEXTS = 64
+#: Steps of a pass over the sample at least; one of under LEAST_STEPS * BATCH_TEXTS texts has smaller steps for that.
+LEAST_STEPS = 4
 DIMS, EPOCHS, RATE, DECAY = 4, 24, 0.1, 0.05
 #: Added to the root of the second moment of a table row: rows of small gradients move less.
 FLOOR = 1e-6
@@ -141,6 +143,7 @@ def train(texts: list[str], labels: list[int], dims: int = DIMS, epochs: int = E
     order = rng.permutation(len(y))
     # built one at a time and kept in a file: the index arrays of all batches would take several times the memory of the texts' words
     held, places = tempfile.TemporaryFile(), []
+    batch_rows = min(batch_rows, -(-len(y) // LEAST_STEPS))
     for k in range(0, len(y), batch_rows):
         g = order[k : k + batch_rows]
         places.append(held.tell())

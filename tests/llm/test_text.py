@@ -395,6 +395,15 @@ def test_scores_of_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows) and toxicity.add_scores(none, toxicity.fit(none, labels)).count() == 0
 
 
+def test_toxicity_learns_from_a_few_rows(spark):
+    """The toxic rows of sf0.001 that are learned from: two steps a pass were too few to tell half of them from the others."""
+    docs, labels = (spark.read.parquet(f"{DIR}/{name}.parquet") for name in ("documents", "labels"))
+    score = toxicity.scorer(toxicity.fit(docs, labels))
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").where("crc32(cast(doc_id as string)) % 5 != 0").select("text", "toxic").collect()
+    bad, clean = ([score(r.text or "") for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(bad) >= 5 and sum(x >= 0.5 for x in bad) >= 0.8 * len(bad) and sum(x >= 0.5 for x in clean) <= 0.05 * len(clean)
+
+
 def test_query_of_toxicity(spark):
     folder = "/root/testdata/sf0.1"  # sf0.01 has 45 toxic rows to learn from, too few (see README)
     rows = {r.doc_id: r for r in op10_toxicity(spark, folder).collect()}
