@@ -114,6 +114,79 @@ def test_resynchronisation():
     assert tokencount.counts(["", "a"], own) == [0, 1]
 
 
+class Spy:
+    """A tokenizer that notes how many texts and code points it is given."""
+
+    def __init__(self, own):
+        self.own, self.given, self.calls = own, 0, 0
+
+    def to_str(self):
+        return self.own.to_str()
+
+    def encode(self, text, **k):
+        self.given, self.calls = self.given + len(text), self.calls + 1
+        return self.own.encode(text, **k)
+
+    def encode_batch_fast(self, texts, **k):
+        self.given, self.calls = self.given + sum(map(len, texts)), self.calls + len(texts)
+        return self.own.encode_batch_fast(texts, **k)
+
+
+def test_library_counts_a_piece_once():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(JSON)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["über", "word,", "it's.", "1st;", "end.\n\nNext", "a|b"], k=n)) for n in [200] * 50 + [20_000]]
+    want = [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+    spy = Spy(own)
+    assert tokencount.counts(texts, spy) == want
+    assert spy.given < sum(map(len, texts)) / 100
+
+
+def test_new_pieces_stay_together():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(JSON)
+    rng = random.Random(9)
+
+    def unique(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(n))
+
+    texts = [unique(100) for _ in range(20)]
+    spy = Spy(own)
+    assert tokencount.counts(texts, spy) == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert spy.calls == len(texts)
+    # chunks of pieces beside chunks of tokens
+    texts = ["".join(unique(200) + " the same, again." * 200 + "<|endoftext|>  " for _ in range(5)) for _ in range(3)]
+    for chunk, overlap in ((300, 20), (1000, 100)):
+        assert tokencount.counts(texts, own, chunk, overlap) == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_pieces_equal_library(monkeypatch):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u3000", "'s", "'ll", "'", ",", ".", "...", ";", "!?", ":", "|", "-", "word", " word", "É", "ɏ", "ß1", "12", "²", "Ⅷ", "中文", "日", "é\u0301", "\u200b", "😀", "\x00", "y" * 90]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(3000)]
+    texts = [t for t in texts for _ in range(2)]  # so that most pieces of a batch aren't new
+    monkeypatch.setattr(tokencount, "CACHE", 300)  # generations change often
+    with open(JSON, encoding="utf-8") as f:
+        spec = json.load(f)
+    token = spec["added_tokens"][0]
+    ways = [({}, True), ({"added_tokens": [token | {"content": "word, word", "normalized": True}]}, False), ({"added_tokens": [token | {"rstrip": True}]}, False), ({"normalizer": {"type": "Replace", "pattern": {"String": ","}, "content": "x"}}, False), ({"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, False), ({"pre_tokenizer": None}, False)]
+    for change, divisible in ways:
+        own = Tokenizer.from_str(json.dumps(spec | change))
+        some = texts if divisible else texts[:300]
+        assert tokencount.counter(own).divisible == divisible
+        for _ in range(2):
+            assert tokencount.counts(some, own) == [len(own.encode(t, add_special_tokens=False).ids) for t in some]
+        kept = tokencount.counter(own)
+        assert bool(kept.young) == bool(kept.old) == divisible and all(len(p) <= tokencount.LONGEST for p in [*kept.young, *kept.old])
+
+
 def test_count_rows(spark, odd, none):
     rows = tokencount.count_tokens(odd, JSON, chunk=4096, overlap=64).collect()
     assert len(rows) == odd.count() and tokencount.count_tokens(none, JSON).count() == 0
